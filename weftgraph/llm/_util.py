@@ -71,5 +71,9 @@ class Scratch:
 
 
 def ascii_lower(col):
-    """Lower-case A-Z only."""
+    """Lower-case A-Z only; ``lower`` does just that where every character is one byte."""
+    return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(_translated(col))
+
+
+def _translated(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
