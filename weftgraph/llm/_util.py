@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from weftgraph.session import ship
+
 #: Where the public tokenizer files lie; every operator takes a path, this is only the default.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -26,6 +28,7 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
 
     ``make`` is called once per partition, so models are built there and not per row.
     """
+    ship(df.sparkSession)
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
@@ -77,3 +80,9 @@ def ascii_lower(col):
 
 def _translated(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The same frame, after making sure that workers can import this package."""
+    ship(df.sparkSession)
+    return df

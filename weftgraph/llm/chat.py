@@ -13,7 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._util import map_batches
+
+from weftgraph.llm._util import map_batches, shipped
 from weftgraph.llm.bpe import RANKS, encode, encoding
 
 #: Reserved ids and how the template writes them; the ids lie above the 50,256 ranks and the free id 50256.
@@ -119,7 +120,7 @@ def read_back(turns: DataFrame, path: str = RANKS) -> DataFrame:
     import pyarrow as pa
 
     out = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return turns.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return shipped(turns).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def format_conversations(conversations: DataFrame, path: str = RANKS) -> DataFrame:

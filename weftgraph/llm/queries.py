@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontam, fingerprints, secrets, tokencount
+from weftgraph.llm import bpe, chat, decontam, fingerprints, minhash_dedup, secrets, tokencount
 from weftgraph.llm._util import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_scan, op5_chat_format, op6_fingerprint, op7_token_counts, op9_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op5_chat_format, op6_fingerprint, op7_token_counts, op9_decontamination, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle_sql(), "op9_decontamination": decontam.ORACLE}
+    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_secret_scan": secrets.oracle_sql(), "op9_decontamination": decontam.ORACLE}
