@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontam, fingerprints, minhash_dedup, secrets, tokencount
+from weftgraph.llm import bpe, chat, decontam, fingerprints, html_extract, minhash_dedup, quality, secrets, tokencount, toxicity
 from weftgraph.llm._util import table
 
 
@@ -17,6 +17,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -32,6 +40,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op5_chat_format, op6_fingerprint, op7_token_counts, op9_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_toxicity, op4_quality_knn, op5_chat_format, op6_fingerprint, op7_token_counts, op8_html_text, op9_decontamination, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
