@@ -123,7 +123,7 @@ def vote(model: dict, texts) -> list[float]:
         m = min(NEIGHBOURS, cos.shape[1])
         top = np.argpartition(-cos, m - 1, axis=1)[:, :m]
         w = np.maximum(np.take_along_axis(cos, top, 1), 1e-3) ** 8
-        s = (w * y[top]).sum(1) / w.sum(1)
+        s = np.clip((w * y[top]).sum(1) / w.sum(1), 0.0, 1.0)
         out += [float(v) for v in np.where(empty, base, s)]
     return out
 
