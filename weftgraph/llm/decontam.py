@@ -16,8 +16,10 @@ from weftgraph.llm._util import Scratch, ascii_lower
 
 #: Fixed value: everything that parts two words.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Prefix words up to this number are tested inside the scan; beyond it they are joined.
+#: Words of the benchmark, and prefix rows, up to this number are broadcast; beyond it they are joined by shuffle.
 INLINE = 20_000
+#: Most bits of the bitmap of prefix words that the scan carries; it only spares rows, the join decides.
+BITS = 1 << 22
 #: Documents with hits up to this number (some 150 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST = 100_000
 
@@ -34,6 +36,17 @@ def contexts(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
     return it.select("item", "size", F.size("w").alias("n"), "w", F.explode(F.expr("sequence(0, size(w) - size)")).alias("at"))
 
 
+def bitmap(prefix: DataFrame) -> tuple[Column, int]:
+    """The words' hash slots as one constant array of 64-bit pieces, and the number of bits."""
+    n, bits = prefix.count(), 1 << 12
+    while bits < BITS and bits < 64 * n:
+        bits *= 2
+    slot = F.pmod(F.xxhash64("word"), F.lit(bits))
+    got = prefix.select(slot.alias("b")).groupBy(F.expr("cast(b div 64 AS int)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("v")).collect()
+    held = dict.fromkeys(range(bits // 64), 0) | {r.k: r.v for r in got}  # at most BITS / 64 rows
+    return F.split(F.lit(",".join(str(held[k]) for k in range(bits // 64))), ",").cast("array<bigint>"), bits
+
+
 def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = 13, scratch: Scratch | None = None) -> DataFrame:
     """Where documents hold windows of items: ``uid`` (key and text hash), item, lo, hi (word
     positions, both inclusive): maximal matched runs around prefix words.
@@ -64,18 +77,12 @@ def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: s
         F.expr(f"slice(iw, q + 2, {around})").alias("ir"),
     )
     rare = scratch.save(rare)
-    prefix = rare.select("word").distinct()
+    held, bits = bitmap(rare.select("word").distinct())
     ctx = "named_struct('p', i, 'word', w[i], 'l', reverse(slice(w, greatest(i - {0}, 0) + 1, least(i, {0}))), 'r', slice(w, i + 2, {0}))".format(around)
-    if inline:
-        # at most INLINE words: they travel with the plan
-        held = [r[0] for r in prefix.collect()]
-        at = d.where("size(w) > 0").select("uid", "w", F.expr("sequence(0, size(w) - 1)").alias("s"), F.transform("w", lambda x: x.isin(held)).alias("is")) if held else d.limit(0).select("uid", "w", F.expr("array(0)").alias("s"), F.expr("array(false)").alias("is"))
-        at = at.where(F.array_contains("is", True)).select("uid", "w", F.expr("filter(s, i -> is[i])").alias("s"))
-        rows = at.select("uid", F.expr(f"inline(transform(s, i -> {ctx}))"))
-        found = rows.join(F.broadcast(rare), "word")
-    else:
-        rows = d.where("size(w) > 0").select("uid", F.expr(f"inline(transform(sequence(0, size(w) - 1), i -> {ctx}))"))
-        found = rows.join(rare, "word")
+    slot = f"pmod(xxhash64(x), {bits})"
+    at = d.withColumn("held", held).select("uid", "w", F.expr(f"filter(transform(w, (x, i) -> IF((shiftright(held[cast({slot} div 64 AS int)], cast({slot} % 64 AS int)) & 1L) = 1L, i, -1)), i -> i >= 0)").alias("s"))
+    rows = at.where("size(s) > 0").select("uid", F.expr(f"inline(transform(s, i -> {ctx}))"))
+    found = rows.join(F.broadcast(rare) if rare.limit(INLINE + 1).count() <= INLINE else rare, "word")
     same = "coalesce(array_position(zip_with({0}, slice({1}, 1, size({0})), (a, b) -> coalesce(a = b, false)), false) - 1, -1)"
     run = "IF({0} < 0, least(size({1}), size({2})), {0})"
     found = found.withColumns({"l_": F.expr(same.format("l", "il")), "r_": F.expr(same.format("r", "ir"))})
