@@ -188,10 +188,10 @@ def labelled(spark):
     for i in range(400):
         toxic, good = int(i % 4 == 0), int(i % 5 != 0)
         w = words(rng.randint(30, 80), 1000 + i, 500)
-        for _ in range(3 * toxic):
-            w.insert(rng.randrange(len(w)), rng.choice(["blargle", "snorkist", "fumbler"]))
         if not good:
             w = [x for x in w[:6] for _ in range(9)] + [x.upper() + "!!" for x in w[6:20]]
+        for _ in range(3 * toxic):  # last, so that every document that is labelled toxic holds terms
+            w.insert(rng.randrange(len(w)), rng.choice(["blargle", "snorkist", "fumbler"]))
         docs.append((i, " ".join(w)))
         labels.append((i, good, toxic))
     return docs, labels
