@@ -467,8 +467,13 @@ def random_geometric_graph(spark, num_nodes: int, radius: float, dim: int = 2, p
 def _make_geometric(spark, pts: DataFrame, radius: float, dim: int, p: float) -> Graph:
     cells = pts.withColumn("cell", F.transform("pos", lambda x: F.floor(x / radius)))
     around = F.expr("array(array())").cast("array<array<bigint>>")
+
+    def grown(k: int):
+        near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        return lambda a: F.transform(near, lambda d: F.array_append(a, F.element_at(F.col("cell"), k) + d))
+
     for k in range(1, dim + 1):
-        around = F.flatten(F.transform(around, lambda a, k=k: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.array_append(a, F.element_at(F.col("cell"), k) + d))))
+        around = F.flatten(F.transform(around, grown(k)))
     a = cells.select(F.col("id").alias("src"), F.col("pos").alias("x"), F.explode(around).alias("cell"))
     b = cells.select(F.col("id").alias("dst"), F.col("pos").alias("y"), "cell")
     far = maximum_distance(F.col("x"), F.col("y")) if math.isinf(p) else lp_distance(F.col("x"), F.col("y"), p)
