@@ -23,20 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a worker holds as Python objects at a time.
+ROWS = 512
+
+
+def slices(batches, rows: int = ROWS):
+    """Arrow batches of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """Run ``make() -> fn(dict of column lists) -> dict of column lists`` over Arrow batches.
 
-    ``make`` is called once per partition, so models are built there and not per row.
+    ``make`` is called once per partition, so models are built there and not per row. Only ROWS
+    rows at a time become Python objects.
     """
     ship(df.sparkSession)
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
         fn = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches):
+            out = fn(batch.to_pydict())
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -65,13 +76,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, upto: int | None = None) -> None:
-        """Delete the tables written so far (``upto``: only the first ones)."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for k in range(1, (self.n if upto is None else upto) + 1):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{k}")
-            p.getFileSystem(conf).delete(p, True)
-
 
 def ascii_lower(col):
     """Lower-case A-Z only; ``lower`` does just that where every character is one byte."""

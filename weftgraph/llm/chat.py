@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from weftgraph.llm._util import map_batches, shipped
+from weftgraph.llm._util import map_batches, shipped, slices
 from weftgraph.llm.bpe import RANKS, encode, encoding
 
 #: Reserved ids and how the template writes them; the ids lie above the 50,256 ranks and the free id 50256.
@@ -97,7 +97,7 @@ def read_back(turns: DataFrame, path: str = RANKS) -> DataFrame:
             n, all_, chars, loss, size = state
             return {"conv_id": conv, "n_turns": n, "turns_sha256": all_.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size}
 
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             for c, pos, ids, mask in zip(*(batch[k].to_pylist() for k in ("conv_id", "pos", "ids", "mask")), strict=True):
                 if state is None or c != conv or pos == 0:

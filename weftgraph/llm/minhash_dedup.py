@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from weftgraph.llm._util import Scratch, map_batches, shipped
+from weftgraph.llm._util import Scratch, map_batches, shipped, slices
 
 BANDS, ROWS = 36, 6
 #: SetSketch parameters: base, rate of the exponential variables, largest register.
@@ -36,7 +36,7 @@ SALT, BLOCK = 512, 192
 #: Keys up to this number (8 to 16 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST = 1_000_000
 #: Words whose hashes a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -234,7 +234,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
         import pyarrow as pa
 
         hub = None
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             h, kind, node, sk, st = (batch[c].to_pylist() for c in ("hub", "kind", "node", "sk", "st"))
             at = 0
@@ -291,7 +291,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scr
         import pyarrow as pa
 
         now, odd, other = None, [], []
-        for batch in batches:
+        for batch in slices(batches):
             links = []
             for key, ob, mb, kind, node, c, sk, st in zip(*(batch[x].to_pylist() for x in ("key", "ob", "mb", "kind", "node", "c", "sk", "st")), strict=True):
                 if (key, ob, mb) != now:
