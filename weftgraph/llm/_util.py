@@ -64,11 +64,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared checkpoint folder: they cut lineage and outlive executors."""
+    """Parquet tables in the shared checkpoint folder: they cut lineage and outlive executors.
+
+    Results are lazy and may read them at any later time, so they go when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
