@@ -586,8 +586,11 @@ def dot_round_trip(spark, d):
 
 
 def queries():
+    from weftgraph.plans import more_queries  # noqa: F401  registers itself
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(ORACLE)
