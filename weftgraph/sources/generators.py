@@ -501,7 +501,7 @@ def barabasi_albert_graph(spark, n: int, m: int, seed: int | None = None, initia
         raise ValueError("m is 1 or more and below n")
     rng = random.Random(seed)
     if initial_graph is None:
-        edges, at = [(0, i) for i in range(1, m + 1)], m + 1
+        edges, at = [(0, i) for i in range(1, m)], m  # a star of m nodes
     else:
         edges = [(r.src, r.dst) for r in initial_graph.E.select("src", "dst").collect()]
         at = initial_graph.num_nodes()
