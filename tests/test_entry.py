@@ -10,7 +10,7 @@ from weftgraph.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["degrees", "degree_centrality", "descendants", "connected_components", "topological_generations", "adjacency_matrix", "subgraph", "contract_nodes", "tensor_product", "find_pattern", "grid_graph", "closeness_centrality"]
+NAMES = ["degrees", "degree_centrality", "descendants", "connected_components", "topological_generations", "adjacency_matrix", "subgraph", "contract_nodes", "tensor_product", "find_pattern", "grid_graph", "closeness_centrality", "edge_list", "incident_edge_index_map", "lollipop_graph", "barabasi_albert_graph", "euclidean_distance"]
 
 
 def norm(rows):
@@ -25,8 +25,8 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got = Q.QUERIES[name](spark, DATA)
-    want = con.execute(Q.ORACLE[name]).df()
+    got = Q.queries()[name](spark, DATA)
+    want = con.execute(Q.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(tuple(r) for r in got.collect()) == norm(want[got.columns].itertuples(index=False, name=None))
 
