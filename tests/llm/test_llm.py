@@ -218,6 +218,20 @@ def test_toxicity_and_quality_on_held_out_rows(spark, odd):
     assert 2000 not in kept  # a misspelled term
 
 
+def learned(spark, docs):
+    """The lexicon of (text, toxic) rows."""
+    return dict(toxicity.learn_lexicon(spark.createDataFrame(docs, "text string, toxic int"), toxicity.Scratch(spark)))
+
+
+@pytest.mark.parametrize("known", [80_000, 3])
+def test_rare_terms_are_learned_beside_many_common_ones(spark, monkeypatch, known):
+    monkeypatch.setattr(toxicity, "KNOWN", known)
+    rng = random.Random(12)
+    common = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(13_000)]  # seven terms each
+    docs = [(" ".join(common), t) for t in [1] * 7 + [0] * 3] + [(f"q{i} blargle z{i}", 1) for i in range(6)] + [("w1 w2", 0)] * 40
+    assert set(learned(spark, docs)) == {"blargle"}
+
+
 def test_scores_without_labels_or_rows(spark):
     none, docs = spark.createDataFrame([], LAB), spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     assert len(rows(toxicity.toxic_scores(docs, none))) == 2
