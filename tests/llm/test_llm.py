@@ -232,6 +232,11 @@ def test_rare_terms_are_learned_beside_many_common_ones(spark, monkeypatch, know
     assert set(learned(spark, docs)) == {"blargle"}
 
 
+def test_terms_that_clean_documents_quote_are_learned(spark):
+    docs = [(f"q{i} blargle z{i}", 1) for i in range(60)] + [(f"said{i} \"blargle\" too", 0) for i in range(10)] + [(f"w{i} w2", 0) for i in range(600)]
+    assert set(learned(spark, docs)) == {"blargle"}
+
+
 def test_scores_without_labels_or_rows(spark):
     none, docs = spark.createDataFrame([], LAB), spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     assert len(rows(toxicity.toxic_scores(docs, none))) == 2
