@@ -237,6 +237,16 @@ def test_terms_that_clean_documents_quote_are_learned(spark):
     assert set(learned(spark, docs)) == {"blargle"}
 
 
+def test_misspelled_forms_beside_clean_words_and_stems(spark):
+    forms = ["blargle"] * 60 + ["snorker", "snorked", "snorkes", "snorking"] * 30
+    docs = [(i, f"q{i} {w} z{i}", 1) for i, w in enumerate(forms)] + [(5000 + i, f"w{i} w2", 0) for i in range(2000)]
+    docs += [(2000, "w1 blargla", 0), (2001, "w2 bargle", 0)] + [(3000 + i, f"v{i} bargle", 1) for i in range(5)]
+    trie = toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string, toxic int"))["trie"]
+    term, edits = trie.match(["blargl", "blargla", "bargle", "blargle", "snrker", "snorker", "snorkist", "narker"])
+    assert [(k >= 0) and int(e) for k, e in zip(term, edits, strict=True)] == [1, False, 1, 0, 1, 0, 0, False]
+    assert trie.terms[term[5]] == "snorker" and trie.terms[term[6]].endswith("*")
+
+
 def test_scores_without_labels_or_rows(spark):
     none, docs = spark.createDataFrame([], LAB), spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     assert len(rows(toxicity.toxic_scores(docs, none))) == 2
