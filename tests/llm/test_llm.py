@@ -247,6 +247,25 @@ def test_misspelled_forms_beside_clean_words_and_stems(spark):
     assert trie.terms[term[5]] == "snorker" and trie.terms[term[6]].endswith("*")
 
 
+def test_lexicon_keeps_strong_words_beside_many_stems(spark):
+    rng = random.Random(8)
+    forms = [s + e for s in {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(450)} for e in ("a", "be", "ci", "dok")]
+    docs = [(" ".join(rng.sample(forms, len(forms))), 1) for _ in range(8)] + [(f"q{i} blargle z{i}", 1) for i in range(40)] + [("w1 w2", 0)] * 200
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(docs, "text string, toxic int"), toxicity.Scratch(spark))
+    assert lexicon[0][0] == "blargle" and sum(t.endswith("*") for t, _ in lexicon) >= 440
+
+
+def test_terms_beyond_the_bytes_of_the_table_are_matched_without_edits():
+    terms, most = ["blargle", "snorkist", "fumbler", "bomen*", "fumble"], 4_200
+    whole = toxicity.FuzzyTrie.within(terms)
+    trie = toxicity.FuzzyTrie.within(terms, most)
+    assert not whole.more and trie.more and trie.table.nbytes <= most < whole.table.nbytes
+    words_ = [*terms[:3], "bomenhaft", "fumble", "blrgle", "w1"]
+    for t in (whole, trie):
+        got = [(int(k), int(e) if k >= 0 else 0) for k, e in zip(*t.match(words_), strict=True)]
+        assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (0, 1), (-1, 0)]
+
+
 def test_scores_without_labels_or_rows(spark):
     none, docs = spark.createDataFrame([], LAB), spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     assert len(rows(toxicity.toxic_scores(docs, none))) == 2
