@@ -146,6 +146,15 @@ def test_secret_spans_against_brute_force(spark, odd):
     assert clean[10].startswith("é😀 [REDACTED]' token:short")
 
 
+def test_entropy_spans_that_base_spans_cover_in_part(spark):
+    payload, tail = "q7Zp0Lx9Vb3Nf6Tg1Hy8kW4mR2", "9f3b7c20d4e851a6" * 2 + "deadbeef"
+    docs = [(1, f"a {payload}--{tail} b"), (2, f"token={payload} c"), (3, f"{tail} d")]
+    df = spark.createDataFrame(docs, DOC)
+    n = len(payload) + 2
+    assert [r["spans"] for r in rows(secrets.span_digests(df).orderBy("doc_id"))] == [f"entropy:2:{n + 42},hex:{n + 2}:{n + 42}", f"assign:0:{n + 4}", "hex:0:40"]
+    assert [r["text"] for r in rows(secrets.redact(secrets.find_secrets(df)).orderBy("doc_id"))] == ["a [REDACTED] b", "[REDACTED] c", "[REDACTED] d"]
+
+
 # --- 3 and 4 -----------------------------------------------------------------------------------
 
 

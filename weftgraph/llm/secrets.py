@@ -75,7 +75,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     """All columns plus ``out``: array<struct<start,k,end,kind>> sorted by start, then kind.
 
     Positions are code points, the end is exclusive. Base kinds keep every match; entropy spans
-    that overlap a base span are dropped, so they only add. A null text is empty and has none; an
+    that base spans cover wholly are dropped, so they only add. A null text is empty and has none; an
     existing column of the output's name is replaced; names that start with ``_s_`` are internal.
     No shuffle: each row is scanned by itself, whole.
     """
@@ -104,8 +104,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
         found[kind] = _spans(kind, f"_s_{kind}_g", f"_s_{kind}_h", value, least)
     df = df.withColumns({f"_s_{k}": c for k, c in found.items()})
     base = F.concat(*(F.col(f"_s_{k}") for k, *_ in BASE))
-    df = df.withColumn("_s_base", base)
-    extra = F.expr("filter(_s_entropy, e -> NOT exists(_s_base, b -> b.start < e.end AND e.start < b.end))")
+    df = df.withColumn("_s_base", F.array_sort(base))
+    extra = F.expr("filter(_s_entropy, e -> aggregate(_s_base, e.start, (at, b) -> IF(b.start <= at AND b.end > at, b.end, at)) < e.end)")
     df = df.withColumn(out, F.array_sort(F.concat("_s_base", extra)))
     return df.drop(*(c for c in df.columns if c.startswith("_s_")))
 
