@@ -454,6 +454,16 @@ def test_decontamination_of_nothing(spark):
     assert rows(decontam.contamination(spark.createDataFrame([], DOC), none)) == []
 
 
+
+def test_html_of_open_heads_and_embedded_content():
+    crf, prose = html_extract.model(), "A sentence of the story, with words enough to count."
+    for head in ("<head><title>t</title><body>", "<head><meta charset=utf-8><style>p {}</style>", "<title>t</title>", "<head><title>t</title></head><body>"):
+        assert html_extract.extract(f"<!DOCTYPE html><html>{head}<article><h1>A title</h1><p>{prose}</p></article>", crf) == f"A title\n\n{prose}"
+    inner = f"<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is meant. {prose}</p><noscript><p>{prose} One.</p></noscript><object><p>{prose} Two.</p></object><video><p>{prose} Three.</p></video>"
+    want = [f"Here x=2 is meant. {prose}", f"{prose} One.", f"{prose} Two.", f"{prose} Three."]
+    assert html_extract.extract(f"<html><head></head><body><article>{inner}<script>no()</script><select><option>no</select></article>", crf).split("\n\n") == want
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 

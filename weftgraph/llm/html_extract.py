@@ -19,7 +19,12 @@ from weftgraph.llm._util import map_batches
 #: HTML elements by how they nest.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("script style template noscript iframe svg math head title object canvas audio video select textarea".split())
+#: So are embedded content and what it consists of.
+INLINE |= frozenset("audio canvas iframe noscript object picture video math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose merror mmultiscripts svg g path circle ellipse rect line polyline polygon defs use symbol text tspan textpath desc".split())
+#: Parts without text of the page; form controls among them.
+DROPPED = frozenset("script style template head title select textarea".split())
+#: What a head may hold: another tag, or text, ends one that is open.
+HEAD = frozenset("base link meta title script style template".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 #: An opening tag of the key closes an open one of the value.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,6 +69,8 @@ def blocks(page: str | None):
     while at < n:
         m = _tag.search(page, at)
         text = page[at : m.start() if m else n]
+        if stack and stack[-1][0] == "head" and (text.strip() or m and not m[1] and m[2] and m[2].lower() not in HEAD):
+            close("head")
         if text and not dropped:
             buf.append(text)
             if in_link:
@@ -75,7 +82,7 @@ def blocks(page: str | None):
         if not name:
             continue
         if name in INLINE:
-            if name == "br":
+            if name in ("br", "text", "desc"):
                 buf.append(" ")
             elif name == "a":
                 in_link = max(0, in_link + (-1 if m[1] else 1))
