@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ def brute_spans(text):
         for m in re.finditer(pattern, text):
             if len(m[group]) >= least:
                 out.append((m.start(), k, m.end(), kind))
-    base = list(out)
+    base = sorted(out)
     for m in re.finditer(secrets.CANDIDATE, text):
         s = m[1]
         if any(re.search(p, s) for p in secrets.ALLOW):
@@ -123,7 +124,10 @@ def brute_spans(text):
         for i in range(len(s) - secrets.WINDOW + 1):
             w = s[i : i + secrets.WINDOW]
             best = max(best, -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)))
-        if best >= need and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+        at = m.start()
+        for b in base:
+            at = b[2] if b[0] <= at < b[2] else at
+        if best >= need and at < m.end():
             out.append((m.start(), 3, m.end(), "entropy"))
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
 
@@ -155,6 +159,37 @@ def test_entropy_spans_that_base_spans_cover_in_part(spark):
     assert [r["text"] for r in rows(secrets.redact(secrets.find_secrets(df)).orderBy("doc_id"))] == ["a [REDACTED] b", "[REDACTED] c", "[REDACTED] d"]
 
 
+def test_secret_spans_of_random_texts(spark):
+    rng = random.Random(5)
+    frag = ["password=", "token: ", "AKIA", "abcdef0123456789", "é", "😀", " ", "\n", "secret", "=", ":", "-", "_", "/", "q7Zp0Lx9Vb3Nf6Tg1Hy8", "Zk3/9aQ+7bT1xW5yR0pL2mN8==", "deadbeefdeadbeef", "ABCDEFGHIJKLMNOP", "x", "1", "ab/12/", "'", "prose words here. "]
+    docs = [(i, "".join(rng.choice(frag) for _ in range(rng.randint(0, 60 if i < 200 else 2500)))) for i in range(220)]
+    found = secrets.find_secrets(spark.createDataFrame(docs, DOC))
+    got = {r["doc_id"]: r["spans"] for r in rows(secrets.span_digests(spark.createDataFrame(docs, DOC)))}
+    assert got == {i: brute_spans(t) for i, t in docs}
+    for r in rows(secrets.redact(found)):
+        want, runs_ = "", []
+        for x in r["secrets"]:
+            if runs_ and x["start"] < runs_[-1][1]:
+                runs_[-1][1] = max(runs_[-1][1], x["end"])
+            else:
+                runs_.append([x["start"], x["end"]])
+        at, text = 0, dict(docs)[r["doc_id"]]
+        for a, b in runs_:
+            want, at = want + text[at:a] + "[REDACTED]", b
+        assert r["text"] == want + text[at:]
+
+
+def test_secret_scan_of_hostile_long_texts(spark):
+    n, rng = 1_000_000, random.Random(3)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWYZabcdefghijklmnopqrstuvwyz23456789+/"
+    docs = [(1, ("ab/12/" * n)[:n]), (2, "".join(rng.choice(mixed) for _ in range(n // 4))), (3, ("0123456789abcdef " * n)[:n]), (4, ("token=a " * n)[:n]), (5, "password" + " " * n), (6, ("token=abcdefghijklmnop " * n)[:n])]
+    start = time.time()
+    got = {r["doc_id"]: r for r in rows(secrets.span_digests(spark.createDataFrame(docs, DOC)))}
+    assert time.time() - start < 60
+    assert got[1]["spans"] == got[4]["spans"] == got[5]["spans"] == "" and got[2]["spans"] == f"entropy:0:{n // 4}"
+    assert got[3]["n_hex"] == n // 17 and got[6]["n_assign"] == n // 23
+
+
 # --- 3 and 4 -----------------------------------------------------------------------------------
 
 
