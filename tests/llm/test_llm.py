@@ -382,6 +382,16 @@ def test_token_counts_equal_the_library(spark):
     assert rows(tokencount.token_counts(spark.createDataFrame([], DOC))) == []
 
 
+def test_token_counts_of_random_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(tokencount.MODEL), random.Random(1)
+    pool = [chr(i) for i in range(0x20)] + ["\x7f", "\x80", "\x85", "\xa0", "\u2028", "\u200b", "\ufeff", "\u3000", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'s", "'re"] + list("abcdeEIΣσςİıßéñ漢字😀1 2'sStT<|>-_.,!\n ") + [" "] * 3
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(100_000)] + ["\x00'", "\x1f>", "'\x1c", "x" * 300 + " " + "x" * 300]
+    count = tokencount.counter(tokencount.MODEL, tokencount.prove())
+    assert count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_byte_bpe_equals_the_library(spark):
     docs = list(enumerate(TEXTS)) + [(3, "again"), (3, "again"), (50, " ".join(words(40_000, 4)))]
     df = spark.createDataFrame(docs, DOC).withColumn("ids", F.lit(1))
@@ -412,7 +422,7 @@ def test_html_extraction(spark):
     crf, wrong, n = html_extract.model(), 0, 0
     for page, good in html_extract.training_pages(60, seed=123):
         got = html_extract.extract(page, crf)
-        for b, *_ in html_extract.blocks(page):
+        for b, *_ in html_extract.Page(page).blocks:
             n += 1
             wrong += (b in good) != (b in got.split("\n\n"))
     assert wrong <= 0.03 * n
@@ -499,6 +509,44 @@ def test_html_of_open_heads_and_embedded_content():
     assert html_extract.extract(f"<html><head></head><body><article>{inner}<script>no()</script><select><option>no</select></article>", crf).split("\n\n") == want
 
 
+#: Pages written by hand after common layouts, and the blocks of their main text.
+BY_HAND = [
+    ("""<!doctype html><html><head><title>Bread</title></head><body class="single-post"><div id="page"><header id="masthead" class="site-header"><h2 class="site-title"><a href="/">Baking notes</a></h2></header>
+     <nav class="main-navigation"><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav>
+     <main id="main"><article class="post hentry"><h1 class="entry-title">Baking bread in a cold kitchen</h1><div class="entry-content"><p>The dough wants warmth, but a cold room only makes it slower. Give it a night.</p>
+     <h2>What you need</h2><ul><li>Five hundred grams of flour and some patience.</li><li>Water, salt and a little yeast from the shop.</li></ul><blockquote><p>Slow dough is good dough, my teacher used to say.</p></blockquote></div></article>
+     <div id="comments" class="comments-area"><h3>Two thoughts</h3><ol class="comment-list"><li class="comment"><p>Worked well for me, thank you for this!</p></li></ol></div></main>
+     <aside class="widget-area sidebar"><h3>Recent posts</h3><ul><li><a href="/a">Rye</a></li></ul></aside><footer class="site-footer"><p>&copy; 2020 Baking notes. All rights reserved.</p></footer></div></body></html>""",
+     ["Baking bread in a cold kitchen", "The dough wants warmth, but a cold room only makes it slower. Give it a night.", "What you need", "Five hundred grams of flour and some patience.", "Water, salt and a little yeast from the shop.", "Slow dough is good dough, my teacher used to say."]),
+    ("""<html><body><div class="cookie-banner"><p>We use cookies to make this site better for you.</p><button>Accept</button></div><div class="menu"><a href=/w>World</a> <a href=/s>Sport</a></div>
+     <div class="article-body"><h1>Harbour opens after the storm</h1><p>The harbour opened again on Monday, three days after the storm had passed over the coast.</p><div class="ad">Buy two shoes for the price of one today.</div>
+     <p>Boats left at dawn, and the first fish was sold before noon, the port said.</p></div><div class="related-posts"><h3>Read more</h3><p><a href=/x>Storm warning for the north</a></p></div><div id=footer>&copy; The Paper</div></body></html>""",
+     ["Harbour opens after the storm", "The harbour opened again on Monday, three days after the storm had passed over the coast.", "Boats left at dawn, and the first fish was sold before noon, the port said."]),
+]
+
+
+def test_html_pages_written_by_hand():
+    crf = html_extract.model()
+    for page, want in BY_HAND:
+        assert html_extract.extract(page, crf).split("\n\n") == want
+
+
+def test_html_of_hostile_long_pages():
+    crf, n, head = html_extract.model(), 1_000_000, "<article><p>A sentence of the story, with words enough to count.</p>"
+    hostile = ["<a" * (n // 2), '<a "' * (n // 4), '<a "' * (n // 4 + 1) + ">", '<a ">"' * (n // 6), "<a '\">\"" * (n // 7), "<div>x" * (n // 6), "<" * n, "<!--" * (n // 4), "<![CDATA[" * (n // 9) + ">", "&#" + "9" * n, "&#" + "0" * n + "65;", "</div>" * (n // 6), "<script>" * (n // 8)]
+    hostile.append("".join(f"<div class={''.join(chr(97 + int(c)) for c in str(i))}>x" for i in range(n // 18)))
+    start = time.time()
+    for page in hostile:
+        assert html_extract.extract(head + page, crf).startswith("A sentence of the story, with words enough to count.")
+    assert time.time() - start < 60
+
+
+def test_html_tags():
+    found = [(t, n, c) for t, n, c, _ in html_extract.scan("a<b x='>'>c</b ><!-- <i> -->d< e <p q=\"u>f</p><xmp><b></xmp>")]
+    assert found == [("a", "b", False), ("c", "b", True), ("", "", False), ("d< e ", "p", False), ("f", "p", True), ("", "xmp", False), ("<b>", "xmp", True), ("", "", False)]
+    assert [b[:2] for b in html_extract.Page("<p>&#x41;&#65;&#99999999999;&amp;lt;<p>two <b>w</b>").blocks] == [("AA\ufffd&lt;", "p"), ("two w", "p")]
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 

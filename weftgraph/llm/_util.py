@@ -14,8 +14,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftgraph.session import ship
 
-#: Where the public tokenizer files lie; every operator takes a path, this is only the default.
-TOKENIZERS = "/opt/tokenizers"
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; every operator takes a path, this is only the default."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +57,14 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is set (tests)."""
+    """The shared folder that the session names; a temporary one only where none is set and the master is local (tests)."""
     sc = spark.sparkContext
     set_ = sc._jsc.sc().getCheckpointDir()
     if set_.isDefined():
         return set_.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 

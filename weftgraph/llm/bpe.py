@@ -8,9 +8,9 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._util import TOKENIZERS, map_batches
+from weftgraph.llm._util import map_batches, vocabulary
 
-RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+RANKS = vocabulary("byte_bpe_50k.tiktoken")
 #: Fixed value: the pre-token pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts longer than this many characters are encoded in pieces.

@@ -13,16 +13,18 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
-from weftgraph.llm._util import TOKENIZERS, map_batches
+from weftgraph.llm._util import map_batches, vocabulary
 
-MODEL = f"{TOKENIZERS}/word_bpe_49k.json"
+MODEL = vocabulary("word_bpe_49k.json")
 #: Fixed value: the pre-token pattern of the model file, with \s spelled out.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Distinct merged pre-tokens that a worker keeps.
-CACHE = 400_000
+#: Distinct pieces that a worker keeps, and characters of the longest that it keeps (some 100 MB at most).
+CACHE, LONGEST = 400_000, 64
 
 _state: dict = {}
 _separators = re.compile(r"[\x1c-\x1f]")
+#: Letters of byte-level vocabularies that stand for themselves; every other byte has another letter.
+_plain = re.compile(r"[\x21-\x7e]*")
 
 
 def byte_letters() -> dict[int, str]:
@@ -85,7 +87,7 @@ def _library(path):
         tok.no_truncation()
         tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
+            special = sorted((t["content"] for t in json.load(f)["added_tokens"]), key=len, reverse=True)
         _state[path] = (tok, regex.compile(PRETOKEN), re.compile("|".join(map(re.escape, special)) or r"(?!)"), {})
     return _state[path]
 
@@ -107,7 +109,7 @@ def counter(path: str, whole: frozenset[str]):
     model, letters = tok.model, str.maketrans(byte_letters())
 
     def merge(word):
-        return len(model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters)))
+        return len(model.tokenize(word if _plain.fullmatch(word) else word.encode().decode("latin-1").translate(letters)))
 
     def piece(words):
         return sum(1 if w in whole else merge(w) for w in pre.findall(words))
@@ -121,16 +123,18 @@ def counter(path: str, whole: frozenset[str]):
         for text in texts:
             words, n = [], 0
             if text:
-                parts = special.split(text) if "<|" in text else [text]
+                parts = special.split(text)
                 n = len(parts) - 1
                 for part in parts:
                     words += cut(_normal(part))
             for w in words:
-                if w not in cache:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = piece(w)
-                n += cache[w]
+                if (k := cache.get(w)) is None:
+                    k = piece(w)
+                    if len(w) <= LONGEST:
+                        if len(cache) >= CACHE:
+                            cache.clear()
+                        cache[w] = k
+                n += k
             found.append(n)
         return found
 
