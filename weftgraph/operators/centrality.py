@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from weftgraph.errors import FailedToConverge
 from weftgraph.graph import Graph, Weight, weight_column
 from weftgraph.operators import kernels as K
-from weftgraph.operators.local import fan_out
+from weftgraph.operators import levels
+from weftgraph.operators.local import can_broadcast, fan_out
 from weftgraph.operators.traversal import bfs_distances
 from weftgraph.plans.fixpoint import checkpoint
 
@@ -37,13 +38,16 @@ def out_degree_centrality(graph: Graph) -> DataFrame:
 
 
 def betweenness_centrality(graph: Graph, normalized: bool = True, endpoints: bool = False) -> DataFrame:
-    """Brandes' sums over sources; each worker adds up its own sources before the shuffle."""
+    """Brandes' sums over sources; each worker adds up its own sources before the shuffle. Beyond the broadcast bound by joins."""
     def kernel(g, s):
         order, delta, *_ = K.brandes(g, s)
         return [(v, delta[v] + (1.0 if endpoints else 0.0) if v != s else float(len(order) - 1) if endpoints else 0.0) for v in order]
 
     n = graph.num_nodes()
-    sums = fan_out(graph, kernel, "id bigint, c double").groupBy("id").agg(F.sum("c").alias("c"))
+    if can_broadcast(graph):
+        sums = fan_out(graph, kernel, "id bigint, c double").groupBy("id").agg(F.sum("c").alias("c"))
+    else:
+        sums = levels.vertex_dependencies(graph, endpoints)
     if normalized:
         pairs = n * (n - 1) if endpoints else (n - 1) * (n - 2)
         scale = 1 / pairs if n > (1 if endpoints else 2) else 1.0
@@ -58,7 +62,10 @@ def edge_betweenness_centrality(graph: Graph, normalized: bool = True) -> DataFr
 
     n = graph.num_nodes()
     scale = (1 / (n * (n - 1)) if n > 1 else 1.0) if normalized else (1.0 if graph.directed else 0.5)
-    sums = fan_out(graph, kernel, "eid bigint, c double").groupBy("eid").agg(F.sum("c").alias("c"))
+    if can_broadcast(graph):
+        sums = fan_out(graph, kernel, "eid bigint, c double").groupBy("eid").agg(F.sum("c").alias("c"))
+    else:
+        sums = graph.arcs().select("eid", "src", "dst").join(levels.arc_dependencies(graph), ["src", "dst"]).groupBy("eid").agg(F.sum("c").alias("c"))
     return graph.E.select("eid").join(sums, "eid", "left").select("eid", (F.coalesce("c", F.lit(0.0)) * scale).alias("score"))
 
 
@@ -73,9 +80,17 @@ def closeness_centrality(graph: Graph, wf_improved: bool = True) -> DataFrame:
         c = r / total if total else 0.0
         return [(s, c * r / (n - 1) if wf_improved and n > 1 else c)]
 
+    if not can_broadcast(g):
+        return _closeness(levels.reach_sums(g), n, wf_improved)
     return fan_out(g, kernel, "id bigint, score double")
 
 
+def _closeness(sums: DataFrame, n: int, wf_improved: bool) -> DataFrame:
+    """id, score from (s, r, total)."""
+    c = F.when(F.col("total") > 0, F.col("r") / F.col("total")).otherwise(0.0)
+    return sums.select(F.col("s").alias("id"), (c * F.col("r") / (n - 1) if wf_improved and n > 1 else c).alias("score"))
+
+
 def newman_weighted_closeness_centrality(graph: Graph, weight: Weight = None, wf_improved: bool = True, default: float = 1.0) -> DataFrame:
     n = graph.num_nodes()
 
@@ -85,6 +100,13 @@ def newman_weighted_closeness_centrality(graph: Graph, weight: Weight = None, wf
         c = r / total if total else 0.0
         return [(s, c * r / (n - 1) if wf_improved and n > 1 else c)]
 
+    if not can_broadcast(graph):
+        from weftgraph.operators.paths import all_pairs_by_joins
+
+        back = graph.weighted(weight, default).select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("w")).alias("payload"))
+        pairs = all_pairs_by_joins(graph.with_(E=back, directed=True), "payload").groupBy(F.col("src").alias("s")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"))
+        sums = graph.V.select(F.col("id").alias("s")).join(pairs, "s", "left").select("s", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("total", F.lit(0.0)).alias("total"))
+        return _closeness(sums, n, wf_improved)
     return fan_out(graph, kernel, "id bigint, score double", weight, default)
 
 
@@ -222,7 +244,7 @@ def group_closeness_centrality(graph: Graph, group) -> float:
 def group_betweenness_centrality(graph: Graph, group, normalized: bool = True) -> float:
     """Over pairs outside the group: the share of shortest paths that are lost, or made longer, without the group."""
     s, k, n = _group(graph, group)
-    members = {r[0] for r in s.collect()}
+    members = {r[0] for r in s.collect()}  # the caller's list
 
     def kernel(g, v):
         if v in members:
@@ -238,7 +260,7 @@ def group_betweenness_centrality(graph: Graph, group, normalized: bool = True) -
                     clean[b] = clean.get(b, 0.0) + clean[a]
         return [(sum(1 - clean.get(t, 0.0) / sigma[t] for t in order if t != v and t not in members),)]
 
-    total = fan_out(graph, kernel, "c double").agg(F.sum("c")).head()[0] or 0.0
+    total = (fan_out(graph, kernel, "c double").agg(F.sum("c")).head()[0] or 0.0) if can_broadcast(graph) else levels.lost_share(graph, s)
     if not graph.directed:
         total /= 2
     if normalized:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from weftgraph.errors import DAGHasCycle, InvalidNode, NullGraph
 from weftgraph.graph import Graph, Weight, condition, number
 from weftgraph.operators import kernels as K
-from weftgraph.operators.local import as_whole, by_component, can_broadcast
+from weftgraph.operators.local import as_whole, by_component
 from weftgraph.operators.traversal import reach
 from weftgraph.plans.fixpoint import checkpoint
 
@@ -52,12 +52,11 @@ def topological_sort(graph: Graph) -> DataFrame:
 
 def lexicographical_topological_sort(graph: Graph, key, reverse: bool = False, initial: list[int] | None = None) -> DataFrame:
     """pos, id by Kahn's algorithm with a heap of (key, id); ``key``: Column, SQL or callable of the payload."""
-    keys = {r.id: r.k for r in graph.V.select("id", condition(key, F.col("payload"), "string").cast("string").alias("k")).collect()} if can_broadcast(graph) else {}
     if initial is not None:
         bad = graph.node_frame(initial).join(graph.V, "id", "left_anti")
         if not bad.isEmpty():
             raise ValueError("an initial node does not exist")
-    return as_whole(graph, lambda g: K.lexicographic(g, keys, reverse, initial), "pos bigint, id bigint")
+    return as_whole(graph, lambda g: K.lexicographic(g, {v: x or "" for v, x in g.node.items()}, reverse, initial), "pos bigint, id bigint", node=condition(key, F.col("payload"), "string"))
 
 
 def _longest(graph: Graph, weight: Weight, integer: bool, default: float = 1.0) -> DataFrame:
@@ -138,29 +137,44 @@ def collect_runs(graph: Graph, pred) -> DataFrame:
     """run: ids of maximal chains of nodes that pass and have one successor."""
     if not is_directed_acyclic_graph(graph):
         raise DAGHasCycle("the graph has a cycle")
-    marked = graph.with_(V=graph.V.select("id", condition(pred, F.col("payload")).alias("payload")))
-    passes = {r.id: r.payload for r in marked.V.collect()} if can_broadcast(graph) else {}
-    return by_component(graph, lambda g: K.runs(g, passes), "run array<bigint>")
+    return by_component(graph, lambda g: K.runs(g, {v: x == "true" for v, x in g.node.items()}), "run array<bigint>", node=condition(pred, F.col("payload")).cast("boolean"))
 
 
 def collect_bicolor_runs(graph: Graph, pred, colour) -> DataFrame:
     """run: blocks of nodes that share two edge colours."""
     if not is_directed_acyclic_graph(graph):
         raise DAGHasCycle("the graph has a cycle")
-    passes = {r[0]: r[1] for r in graph.V.select("id", condition(pred, F.col("payload"))).collect()} if can_broadcast(graph) else {}
-    colours = {r[0]: r[1] for r in graph.E.select("eid", condition(colour, F.col("payload"), "bigint").cast("bigint")).collect()}
-    return by_component(graph, lambda g: K.bicolor_runs(g, passes, colours), "run array<bigint>")
+
+    def kernel(g):
+        return K.bicolor_runs(g, {v: None if x is None else x == "true" for v, x in g.node.items()}, {e: None if x is None else int(x) for e, x in g.edge.items()})
+
+    return by_component(graph, kernel, "run array<bigint>", node=condition(pred, F.col("payload")).cast("boolean"), edge=condition(colour, F.col("payload"), "bigint").cast("bigint"))
 
 
 def transitive_reduction(graph: Graph) -> tuple[Graph, DataFrame]:
     """The fewest edges with the same reachability, and (old_id, new_id)."""
     if not is_directed_acyclic_graph(graph):
         raise ValueError("the graph has a cycle")
-    once = graph.E.groupBy("src", "dst").agg(F.min("eid").alias("eid"), F.max_by("payload", "eid").alias("payload"))
-    closure = checkpoint(transitive_closure(graph))
-    # an edge goes if a successor of its tail, other than its head, reaches its head
-    detour = once.select("src", F.col("dst").alias("mid")).join(closure.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-    E = once.join(detour, ["src", "dst"], "left_anti").select("eid", "src", "dst", "payload")
+    once = checkpoint(graph.E.groupBy("src", "dst").agg(F.min("eid").alias("eid"), F.max_by("payload", "eid").alias("payload")))
+    gens = checkpoint(_generations(graph)[0])
+    # an edge can only go if its head lies more than one generation on, and a successor of its tail leads there:
+    # the walk goes from such tails and stops at the generation of their farthest head
+    arcs = once.join(gens.select(F.col("id").alias("src"), F.col("generation").alias("g")), "src").join(gens.select(F.col("id").alias("dst"), F.col("generation").alias("h")), "dst")
+    arcs = checkpoint(arcs.select("src", "dst", "g", "h"))
+    far = checkpoint(arcs.where("h > g + 1").groupBy(F.col("src").alias("s")).agg(F.max("h").alias("last")))
+    # (s, at): at is reached from s by two edges or more
+    step = far.join(arcs.withColumnRenamed("src", "s"), "s").where("h < last").select("s", "last", F.col("dst").alias("at"))
+    seen = front = checkpoint(step.distinct())
+    reached = None
+    while not front.isEmpty():
+        new = front.join(arcs.select(F.col("src").alias("at"), F.col("dst").alias("to"), "h"), "at").where("h <= last").select("s", "last", F.col("to").alias("at"), "h")
+        new = checkpoint(new.distinct())
+        hit = new.select(F.col("s").alias("src"), F.col("at").alias("dst"))
+        reached = hit if reached is None else reached.union(hit)
+        front = checkpoint(new.where("h < last").select("s", "last", "at").join(seen, ["s", "at"], "left_anti"))
+        seen = checkpoint(seen.unionByName(front))
+    E = once if reached is None else once.join(reached.distinct(), ["src", "dst"], "left_anti")
+    E = E.select("eid", "src", "dst", "payload")
     g, names = graph.with_(E=E, multigraph=False).subgraph_with_nodemap(graph.V)
     return g, names.select("old_id", "new_id")
 

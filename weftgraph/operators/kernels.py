@@ -1181,7 +1181,7 @@ def bipartite_edges(g, left):
 
 
 def token_swaps(g, mapping, trials=4, seed=0):
-    """Swaps along edges that bring each token to its place; the shortest of several random runs."""
+    """Swaps along edges that bring each token to its place; the shortest of several random runs, or a run along a spanning tree if all go in circles."""
     import random
 
     dist = {t: bfs(g, t) for t in set(mapping.values())}
@@ -1204,11 +1204,61 @@ def token_swaps(g, mapping, trials=4, seed=0):
                 tok[x] = a
             if b is not None:
                 tok[v] = b
-            if len(swaps) > 4 * len(g.ids) ** 2:
+            if len(swaps) > 4 * len(g.ids) ** 2:  # going in circles: this run does not count
+                swaps = None
                 break
-        if best is None or len(swaps) < len(best):
+        if swaps is not None and (best is None or len(swaps) < len(best)):
             best = swaps
-    return [(i, a, b) for i, (a, b) in enumerate(best or [])]
+    if best is None:
+        best = _tree_swaps(g, mapping)
+    return [(i, a, b) for i, (a, b) in enumerate(best)]
+
+
+def _tree_swaps(g, mapping):
+    """Swaps that always end: leaves of a spanning tree get their token one after the other and drop out. A leaf that
+    no token wants gives its own away to the nearest place without one."""
+    parent, order = {}, []
+    for s in g.ids:
+        if s in parent:
+            continue
+        parent[s], todo = None, deque([s])
+        while todo:
+            v = todo.popleft()
+            order.append(v)
+            for x in g.neighbors(v):
+                if x not in parent:
+                    parent[x] = v
+                    todo.append(x)
+    near = {v: set() for v in g.ids}
+    for v, p in parent.items():
+        if p is not None:
+            near[v].add(p)
+            near[p].add(v)
+    tok, swaps = dict(mapping), []
+    for leaf in reversed(order):
+        start = next((v for v, t in tok.items() if t == leaf), None)
+        if start is not None or leaf in tok:
+            via, todo = {leaf: None}, deque([leaf])
+            while todo and start not in via:
+                v = todo.popleft()
+                if start is None and v not in tok:
+                    start = v
+                for x in near[v]:
+                    if x not in via:
+                        via[x] = v
+                        todo.append(x)
+            while via[start] is not None:
+                x = via[start]
+                swaps.append((start, x))
+                a, b = tok.pop(start, None), tok.pop(x, None)
+                if a is not None:
+                    tok[x] = a
+                if b is not None:
+                    tok[start] = b
+                start = x
+        for x in near.pop(leaf):
+            near[x].discard(leaf)
+    return swaps
 
 
 # --- matching of graphs ------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 ``by_component`` runs a kernel once per weakly connected part, so parts run in parallel;
 ``as_whole`` runs it once for algorithms whose result depends on the whole graph;
-``fan_out`` runs it per source vertex over a broadcast copy of the edges, whose number is checked.
+``fan_out`` runs it per source vertex over a broadcast copy of the graph, whose size is checked.
+What a kernel must know of vertices and edges beside the weight travels in their rows.
 """
 
 from __future__ import annotations
@@ -10,20 +11,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, Weight, weight_column
 
-#: Edges that may be broadcast to every worker (about 100 bytes each there).
+#: Vertices, and edges, that may be broadcast to every worker (about 100 bytes each there).
 BROADCAST_EDGES = 2_000_000
+#: Vertices and edges that a sequential kernel takes in one task (some 500 bytes each, so 2 GB); on more it is refused before it starts.
+TASK_ROWS = 4_000_000
 
 
 class Local:
-    """A graph in one task: ids in order, edges (eid, u, v, w) by eid, arcs out of and into each vertex."""
+    """A graph in one task: ids in order, edges (eid, u, v, w) by eid, arcs out of and into each vertex; what was carried for vertices and edges."""
 
-    def __init__(self, ids, edges, directed):
+    def __init__(self, ids, edges, directed, node=None, edge=None):
         self.ids = sorted(ids)
+        self.node, self.edge = node or {}, edge or {}
         self.directed = directed
         self.edges = sorted(edges)
         self.out = {i: [] for i in self.ids}
@@ -42,23 +46,29 @@ class Local:
         return list(dict.fromkeys([x for x, *_ in self.out[v]] + [x for x, *_ in self.into[v]]))
 
 
-def _rows(graph: Graph, key: DataFrame | None, weight: Weight, default: float) -> DataFrame:
-    w = weight_column(weight, default)
-    nodes = graph.V.select("id", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("eid"), F.lit(None).cast("double").alias("w"))
-    edges = graph.E.select(F.col("src").alias("id"), F.col("src").alias("a"), F.col("dst").alias("b"), "eid", w.alias("w"))
+def _rows(graph: Graph, key: DataFrame | None, weight: Weight, default: float, node: Column | None = None, edge: Column | None = None) -> DataFrame:
+    """Vertices and edges as rows (k, id, a, b, eid, w, x); ``node`` and ``edge`` are columns carried in x as text."""
+    w, none = weight_column(weight, default), F.lit(None).cast("string")
+    x, y = (none if c is None else c.cast("string") for c in (node, edge))
+    nodes = graph.V.select("id", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("eid"), F.lit(None).cast("double").alias("w"), x.alias("x"))
+    edges = graph.E.select(F.col("src").alias("id"), F.col("src").alias("a"), F.col("dst").alias("b"), "eid", w.alias("w"), y.alias("x"))
     rows = nodes.union(edges)
     return rows.withColumn("k", F.lit(0).cast("bigint")) if key is None else rows.join(key.select("id", F.col("component").alias("k")), "id")
 
 
 def _apply(rows: DataFrame, kernel: Callable[[Local], Iterable[tuple]], schema: str, directed: bool) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in _split(schema)]
+    big = rows.select("k").groupBy("k").count().where(F.col("count") > TASK_ROWS).head()
+    if big is not None:
+        raise ValueError(f"a part of {big['count']} vertices and edges: this algorithm is sequential, and a task takes {TASK_ROWS}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = pdf["b"].isna()
-        e = pdf[~node]
-        edges = list(zip(e["eid"].astype("int64"), e["a"].astype("int64"), e["b"].astype("int64"), e["w"].astype(float), strict=True))
-        edges = [(int(i), int(a), int(b), float(w)) for i, a, b, w in edges]
-        got = list(kernel(Local([int(x) for x in pdf[node]["a"]], edges, directed)))
+        at = pdf["b"].isna()
+        v, e = pdf[at], pdf[~at]
+        edges = list(zip(e["eid"].astype("int64").tolist(), e["a"].tolist(), e["b"].astype("int64").tolist(), e["w"].astype(float).tolist(), strict=True))
+        ids = v["a"].tolist()
+        g = Local(ids, edges, directed, dict(zip(ids, v["x"], strict=True)), {i: x for (i, *_), x in zip(edges, e["x"], strict=True)})
+        got = list(kernel(g))
         return pd.DataFrame(got, columns=names) if got else pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
 
     return rows.groupBy("k").applyInPandas(run, schema)
@@ -76,28 +86,28 @@ def _split(schema: str) -> list[str]:
     return [*out, cur]
 
 
-def by_component(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0) -> DataFrame:
+def by_component(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0, node: Column | None = None, edge: Column | None = None) -> DataFrame:
     from weftgraph.operators.components import labels
 
-    return _apply(_rows(graph, labels(graph), weight, default), kernel, schema, graph.directed)
+    return _apply(_rows(graph, labels(graph), weight, default, node, edge), kernel, schema, graph.directed)
 
 
-def as_whole(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0) -> DataFrame:
-    return _apply(_rows(graph, None, weight, default), kernel, schema, graph.directed)
+def as_whole(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0, node: Column | None = None, edge: Column | None = None) -> DataFrame:
+    return _apply(_rows(graph, None, weight, default, node, edge), kernel, schema, graph.directed)
 
 
 def can_broadcast(graph: Graph) -> bool:
-    return graph.E.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
+    return all(df.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES for df in (graph.E, graph.V))
 
 
 def fan_out(graph: Graph, kernel: Callable[[Local, int], Iterable[tuple]], schema: str, weight: Weight = None, default: float = 1.0, sources: DataFrame | None = None) -> DataFrame:
     """Rows of ``kernel(graph, source)`` for every source; sources are spread over the workers.
 
-    Graphs of more than BROADCAST_EDGES edges are refused here; callers that have a join-based form
-    use that instead.
+    Graphs of more than BROADCAST_EDGES vertices or edges are refused here; callers that have a
+    join-based form (:mod:`weftgraph.operators.levels`) use that instead.
     """
     if not can_broadcast(graph):
-        raise ValueError(f"more than {BROADCAST_EDGES} edges: use the distributed form of this operator")
+        raise ValueError(f"more than {BROADCAST_EDGES} vertices or edges: use the distributed form of this operator")
     spark = graph.spark
     edges = graph.E.select("eid", "src", "dst", weight_column(weight, default).alias("w")).toPandas()
     arrays = tuple(edges[c].to_numpy() for c in ("eid", "src", "dst", "w"))

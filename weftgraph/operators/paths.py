@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from weftgraph.errors import NegativeCycle, NoPathFound
 from weftgraph.graph import Graph, Weight, condition
 from weftgraph.operators import kernels as K
+from weftgraph.operators import levels
 from weftgraph.operators.local import as_whole, can_broadcast, fan_out
 from weftgraph.operators.traversal import bfs_distances, reach
 from weftgraph.plans.fixpoint import checkpoint
@@ -28,23 +29,38 @@ def _relax(graph: Graph, arcs: DataFrame, source: int, rounds: int | None = None
     """id, dist, via (the vertex before; null at the source): label correcting.
 
     A round joins only vertices whose distance fell; each keeps its least (dist, via). With
-    ``rounds`` still falling distances mean a negative cycle.
+    ``rounds`` a negative cycle raises.
     """
     if not graph.has_node(source):
         raise IndexError(f"no node {source}")
+    return _settle(arcs, graph.node_frame([source]), rounds)
+
+
+def _circular(state: DataFrame, n: int) -> bool:
+    """Do the parents (via) of any vertices form a cycle? Steps to the parent double until they exceed ``n``."""
+    up = state.where("via IS NOT NULL").select("id", F.col("via").alias("to"))
+    up, k = checkpoint(up), 1
+    while k <= n and not up.isEmpty():
+        up = checkpoint(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("on")), "to").select("id", F.col("on").alias("to")))
+        k *= 2
+    return not up.isEmpty()
+
+
+def _settle(arcs: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """The relaxation from all ``sources`` at distance 0. With ``rounds`` (the number of vertices) the
+    parents are looked at after 8, 16, 32, ... rounds: they are circular only on a negative cycle."""
     arcs = checkpoint(arcs.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    state = graph.node_frame([source]).select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("via"))
-    state, front, n = checkpoint(state), None, 0
-    front = state
+    state = checkpoint(sources.select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("via")))
+    front, n = state, 0
     while True:
         n += 1
         step = arcs.join(front.select(F.col("id").alias("src"), "dist"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src").alias("v"))).alias("m"))
         new = checkpoint(step.join(state.select("id", "dist"), "id", "left").where("dist IS NULL OR m.d < dist - 1e-12 * greatest(1D, abs(dist))").select("id", F.col("m.d").alias("dist"), F.col("m.v").alias("via")))
         if new.isEmpty():
             return state
-        if rounds is not None and n > rounds:
-            raise NegativeCycle("a negative cycle can be reached")
         state = checkpoint(state.join(new.select("id"), "id", "left_anti").unionByName(new))
+        if rounds is not None and (n > rounds or n >= 8 and n & (n - 1) == 0 and _circular(state, rounds)):
+            raise NegativeCycle("a negative cycle can be reached")
         front = new
 
 
@@ -142,9 +158,14 @@ def astar_shortest_path(graph: Graph, node: int, goal, weight: Weight = None, es
     """``goal`` and ``estimate``: Column, SQL over the vertex row, or a callable of the payload."""
     if not graph.has_node(node):
         raise IndexError(f"no node {node}")
-    named = graph.V.select("id", condition(goal, F.col("payload")).alias("g"), condition(estimate, F.col("payload"), "double").cast("double").alias("h"))
-    info = {r.id: (r.g, r.h) for r in named.collect()} if can_broadcast(graph) else {}
-    row = as_whole(graph, lambda g: [(p,)] if (p := K.astar(g, node, lambda v: bool(info[v][0]), lambda v: info[v][1])) else [], "path array<bigint>", weight).head()
+    info = F.concat_ws(" ", condition(goal, F.col("payload")).cast("boolean").cast("string"), condition(estimate, F.col("payload"), "double").cast("double").cast("string"))
+
+    def kernel(g):
+        known = {v: x.split(" ") for v, x in g.node.items()}
+        path = K.astar(g, node, lambda v: known[v][0] == "true", lambda v: float(known[v][-1]))
+        return [(path,)] if path else []
+
+    row = as_whole(graph, kernel, "path array<bigint>", weight, node=info).head()
     if row is None:
         raise NoPathFound("no path to a goal")
     return list(row[0])
@@ -161,19 +182,30 @@ def all_pairs_dijkstra_path_lengths(graph: Graph, weight: Weight = None, default
     return fan_out(graph, lambda g, s: [(s, v, float(d)) for v, d in K.dijkstra(g, s)[0].items() if v != s], "src bigint, dst bigint, dist double", weight, default)
 
 
-def all_pairs_by_joins(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
-    """The relaxation of all sources at once, keyed (source, vertex); nothing is broadcast."""
+def all_pairs_by_joins(graph: Graph, weight: Weight = None, default: float = 1.0, paths: bool = False) -> DataFrame:
+    """src, dst, dist (or path): the relaxation of all sources at once, keyed (source, vertex); nothing is broadcast."""
     arcs = checkpoint(graph.weighted(weight, default).groupBy("src", "dst").agg(F.min("w").alias("w")))
-    state = checkpoint(graph.V.select(F.col("id").alias("s"), "id", F.lit(0.0).alias("dist")))
-    front, n = state, 0
+    state = checkpoint(graph.V.select(F.col("id").alias("s"), "id", F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("via")))
+    front = state
     while True:
-        n += 1
-        step = arcs.join(front.select("s", F.col("id").alias("src"), "dist"), "src").groupBy("s", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
-        new = checkpoint(step.join(state, ["s", "id"], "left").where("dist IS NULL OR d < dist - 1e-12 * greatest(1D, abs(dist))").select("s", "id", F.col("d").alias("dist")))
+        step = arcs.join(front.select("s", F.col("id").alias("src"), "dist"), "src").groupBy("s", F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src").alias("v"))).alias("m"))
+        new = step.join(state.select("s", "id", "dist"), ["s", "id"], "left").where("dist IS NULL OR m.d < dist - 1e-12 * greatest(1D, abs(dist))")
+        new = checkpoint(new.select("s", "id", F.col("m.d").alias("dist"), F.col("m.v").alias("via")))
         if new.isEmpty():
-            return state.where("s != id").select(F.col("s").alias("src"), F.col("id").alias("dst"), "dist")
+            break
         state = checkpoint(state.join(new.select("s", "id"), ["s", "id"], "left_anti").unionByName(new))
         front = new
+    if not paths:
+        return state.where("s != id").select(F.col("s").alias("src"), F.col("id").alias("dst"), "dist")
+    up = checkpoint(state.where("via IS NOT NULL").select("s", F.col("id").alias("head"), "via"))
+    todo, done = up.select("s", F.col("head").alias("dst"), "head", F.array("head").alias("path")), None
+    while True:  # a vertex is put before each path per round
+        todo = checkpoint(todo.join(up, ["s", "head"]).select("s", "dst", F.col("via").alias("head"), F.array_prepend("path", F.col("via")).alias("path")))
+        full = todo.where("head = s").select(F.col("s").alias("src"), "dst", "path")
+        done = full if done is None else done.union(full)
+        todo = todo.where("head != s")
+        if todo.isEmpty():
+            return done
 
 
 def _pair_paths(run):
@@ -186,6 +218,8 @@ def _pair_paths(run):
 
 def all_pairs_dijkstra_shortest_paths(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
     _checked(graph, weight, default)
+    if not can_broadcast(graph):
+        return all_pairs_by_joins(graph, weight, default, paths=True)
     return fan_out(graph, _pair_paths(K.dijkstra), "src bigint, dst bigint, path array<bigint>", weight, default)
 
 
@@ -203,12 +237,21 @@ def all_pairs_bellman_ford_path_lengths(graph: Graph, weight: Weight = None, def
 
 def all_pairs_bellman_ford_shortest_paths(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
     _no_negative_cycle(graph, weight, default)
+    if not can_broadcast(graph):
+        return all_pairs_by_joins(graph, weight, default, paths=True)
     return fan_out(graph, _pair_paths(K.bellman_ford), "src bigint, dst bigint, path array<bigint>", weight, default)
 
 
 def negative_edge_cycle(graph: Graph, weight: Weight = None, default: float = 1.0) -> bool:
-    row = as_whole(graph, lambda g: [(K.negative_cycle(g) is not None,)], "found boolean", weight, default).head()
-    return bool(row and row[0])
+    """The relaxation from every vertex at once; without a negative weight there is nothing to look for."""
+    arcs = checkpoint(graph.weighted(weight, default))
+    if arcs.where("w < 0").isEmpty():
+        return False
+    try:
+        _settle(arcs, graph.V.select("id"), graph.num_nodes())
+    except NegativeCycle:
+        return True
+    return False
 
 
 def find_negative_cycle(graph: Graph, weight: Weight = None) -> list[int]:
@@ -221,7 +264,10 @@ def find_negative_cycle(graph: Graph, weight: Weight = None) -> list[int]:
 def distance_matrix(graph: Graph, as_undirected: bool = False, null_value: float = 0.0, dense: bool = False) -> DataFrame:
     """src, dst, dist in hops for pairs that are reached; ``dense`` adds the rest as ``null_value``."""
     g = graph.with_(directed=False) if as_undirected else graph
-    out = fan_out(g, lambda x, s: [(s, v, float(d)) for v, d in K.bfs(x, s).items()], "src bigint, dst bigint, dist double")
+    if can_broadcast(g):
+        out = fan_out(g, lambda x, s: [(s, v, float(d)) for v, d in K.bfs(x, s).items()], "src bigint, dst bigint, dist double")
+    else:
+        out = levels.hops(g).select(F.col("s").alias("src"), F.col("id").alias("dst"), "dist")
     if not dense:
         return out
     ids = graph.V.select("id")
@@ -261,7 +307,11 @@ def unweighted_average_shortest_path_length(graph: Graph, as_undirected: bool =
     if n <= 1:
         return math.nan
     g = graph.with_(directed=False) if as_undirected else graph
-    total, pairs = fan_out(g, lambda x, s: [(float(sum(d.values())), len(d) - 1) for d in [K.bfs(x, s)]], "total double, pairs bigint").agg(F.sum("total"), F.sum("pairs")).head()
+    if can_broadcast(g):
+        sums = fan_out(g, lambda x, s: [(float(sum(d.values())), len(d) - 1) for d in [K.bfs(x, s)]], "total double, r bigint")
+    else:
+        sums = levels.reach_sums(g)
+    total, pairs = sums.agg(F.sum("total"), F.sum("r")).head()
     if disconnected:
         return total / pairs if pairs else math.nan
     return total / (n * (n - 1)) if pairs == n * (n - 1) else math.inf

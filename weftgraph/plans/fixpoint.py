@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that spark.checkpoint.dir names (a temporary one only if unset)."""
+    """``df.checkpoint()`` in the folder that spark.checkpoint.dir names (a temporary one only if unset and the master is local)."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoint"))
     return df.checkpoint()
 
 

@@ -503,13 +503,19 @@ def barabasi_albert_graph(spark, n: int, m: int, seed: int | None = None, initia
     if initial_graph is None:
         edges, at = [(0, i) for i in range(1, m)], m  # a star of m nodes
     else:
-        edges = [(r.src, r.dst) for r in initial_graph.E.select("src", "dst").collect()]
         at = initial_graph.num_nodes()
+        if not m <= at <= n:
+            raise ValueError("the initial graph must have at least m nodes and at most n")
+        edges = [(r.src, r.dst) for r in initial_graph.E.select("src", "dst").collect()]
     ends = [v for e in edges for v in e]
     for v in range(at, n):
         to: set[int] = set()
+        if v < at + 2 * m:  # few nodes have an edge yet; where they are too few, the others are as good
+            some = sorted(set(ends))
+            if len(some) < m:
+                to = {*some, *rng.sample(sorted(set(range(v)) - set(some)), m - len(some))}
         while len(to) < m:
-            to.add(rng.choice(ends) if ends else rng.randrange(v))
+            to.add(rng.choice(ends))
         for x in sorted(to):
             edges.append((v, x))
             ends += [v, x]
