@@ -393,6 +393,8 @@ class Graph:
             raise IndexError(f"no node {node}")
         return self.remove_node(node)
 
+    delete_node = without
+
     def remove_edge_from_index(self, eid: int) -> Graph:
         return self.with_(E=self.E.where(F.col("eid") != eid))
 
@@ -423,6 +425,8 @@ class Graph:
         kind = self.V.schema["payload"].dataType
         return self.with_(self.V.withColumn("payload", F.when(F.col("id") == node, F.lit(payload).cast(kind)).otherwise(F.col("payload"))))
 
+    update_node = set_node_data
+
     def add_child(self, parent: int, payload, edge) -> tuple[Graph, int]:
         g, new = self.add_node(payload)
         return g.add_edge(parent, new, edge)[0], new

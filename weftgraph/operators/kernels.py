@@ -1264,9 +1264,9 @@ def _tree_swaps(g, mapping):
 # --- matching of graphs ------------------------------------------------------------------------
 
 
-def embeddings(target, pattern, node_ok=None, edge_ok=None, induced=True, exact=False, call_limit=None):
+def embeddings(target, pattern, node_ok=None, edge_ok=None, induced=True, exact=False, call_limit=None, id_order=False):
     """Maps of the pattern's vertices into the target that keep edge multiplicities: depth first,
-    most constrained vertices first, candidates from mapped neighbours."""
+    most constrained vertices first (or by id), candidates from mapped neighbours."""
     def table(g):
         m = {}
         for v in g.ids:
@@ -1282,7 +1282,7 @@ def embeddings(target, pattern, node_ok=None, edge_ok=None, induced=True, exact=
         return
     order, left = [], set(pattern.ids)
     while left:
-        v = max(left, key=lambda x: (len(pn[x] & set(order)), len(pn[x]), -x))
+        v = min(left) if id_order else max(left, key=lambda x: (len(pn[x] & set(order)), len(pn[x]), -x))
         order.append(v)
         left.discard(v)
     calls = 0

@@ -91,8 +91,8 @@ def _local(graph: Graph) -> Local:
     return Local([r[0] for r in graph.V.select("id").collect()], [(r[0], r[1], r[2], 0.0) for r in graph.E.select("eid", "src", "dst").collect()], graph.directed)
 
 
-def vf2_mapping(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, subgraph: bool = False, induced: bool = True, call_limit: int | None = None):
-    """Maps {id of first: id of second}, one by one. Matchers are callables of two payloads."""
+def vf2_mapping(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, subgraph: bool = False, induced: bool = True, call_limit: int | None = None, id_order: bool = True):
+    """Maps {id of first: id of second}, one by one. Matchers are callables of two payloads. ``id_order``: vertices are matched by id, else the most constrained ones first; the maps are the same."""
     a, b = _local(first), _local(second)
     if first.directed != second.directed:
         raise TypeError("both graphs must be of one kind")
@@ -113,11 +113,11 @@ def vf2_mapping(first: Graph, second: Graph, node_matcher=None, edge_matcher=Non
                     return False
                 left.pop(i)
             return True
-    for found in K.embeddings(a, b, node_ok, edge_ok, induced, not subgraph, call_limit):
+    for found in K.embeddings(a, b, node_ok, edge_ok, induced, not subgraph, call_limit, id_order):
         yield {t: p for p, t in sorted(found.items(), key=lambda x: x[1])}
 
 
-def is_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, call_limit: int | None = None) -> bool:
+def is_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, call_limit: int | None = None, id_order: bool = True) -> bool:
     """Sizes and degree sequences are compared as aggregations first."""
     def degrees(g):
         return g.degrees().groupBy("in_degree", "out_degree").count() if g.directed else g.degrees().groupBy("degree").count()
@@ -126,15 +126,15 @@ def is_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=N
         return False
     if not degrees(first).exceptAll(degrees(second)).isEmpty():
         return False
-    return next(vf2_mapping(first, second, node_matcher, edge_matcher, call_limit=call_limit), None) is not None
+    return next(vf2_mapping(first, second, node_matcher, edge_matcher, call_limit=call_limit, id_order=id_order), None) is not None
 
 
 def is_isomorphic_node_match(first: Graph, second: Graph, matcher) -> bool:
     return is_isomorphic(first, second, node_matcher=matcher)
 
 
-def is_subgraph_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, induced: bool = True, call_limit: int | None = None) -> bool:
-    return next(vf2_mapping(first, second, node_matcher, edge_matcher, True, induced, call_limit), None) is not None
+def is_subgraph_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, induced: bool = True, call_limit: int | None = None, id_order: bool = False) -> bool:
+    return next(vf2_mapping(first, second, node_matcher, edge_matcher, True, induced, call_limit, id_order), None) is not None
 
 
 def find_pattern(graph: Graph, pattern: Graph, induced: bool = False) -> DataFrame:

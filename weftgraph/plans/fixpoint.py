@@ -5,20 +5,35 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that spark.checkpoint.dir names (a temporary one only if unset and the master is local)."""
-    spark: SparkSession = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder: what spark.checkpoint.dir names; a temporary one only if it is unset and the master is local."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def spot(spark: SparkSession) -> str:
+    """A new folder there that goes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in that folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 

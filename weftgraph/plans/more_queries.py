@@ -11,7 +11,6 @@ from weftgraph.functions import distances as Di
 from weftgraph.operators import coloring as Col
 from weftgraph.operators import components as Co
 from weftgraph.operators import dag as D
-from weftgraph.operators import layouts as L
 from weftgraph.operators import paths as P
 from weftgraph.operators import products as Pr
 from weftgraph.operators import traversal as T
@@ -459,11 +458,6 @@ def is_subgraph_isomorphic(spark, d):
     return _row(spark, found=Pr.is_subgraph_isomorphic(trade(spark, d), G.directed_cycle_graph(spark, 3), induced=False))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM nation")
-def spring_layout(spark, d):
-    return _row(spark, n=L.spring_layout(trade(spark, d)).where("isnotnull(x) AND isnotnull(y)").count())
-
-
 # --- generators, files, distances --------------------------------------------------------------
 
 

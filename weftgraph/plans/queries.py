@@ -158,22 +158,12 @@ def katz_centrality(spark, d):
     return C.katz_centrality(trade(spark, d), 0.02, tol=1e-12).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
-def eigenvector_centrality(spark, d):
-    return C.eigenvector_centrality(trade(spark, d, False), max_iter=500).select("id", F.round("score", 4).alias("score"))
-
-
 @query(TRADE + """, s AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM e), n AS (SELECT x AS u, y AS t FROM s UNION ALL SELECT y, x FROM s)
 SELECT round(coalesce((SELECT count(*) FROM n p JOIN n q ON p.t = q.u JOIN n r ON q.t = r.u AND r.t = p.u) / (SELECT sum(c * (c - 1)) FROM (SELECT u, count(*) AS c FROM n GROUP BY u)), 0), 6) AS transitivity""")
 def transitivity(spark, d):
     return _row(spark, transitivity=round(C.transitivity(trade(spark, d, False)), 6))
 
 
-@query()
-def core_number(spark, d):
-    return C.core_number(supply(spark, d))
-
-
 @query(TRADE + " SELECT round((SELECT count(DISTINCT dst) FROM e WHERE src IN (1, 2) AND dst NOT IN (1, 2)) / 23, 6) AS score")
 def group_degree_centrality(spark, d):
     return _row(spark, score=round(C.group_degree_centrality(trade(spark, d), [1, 2]), 6))
@@ -204,16 +194,6 @@ def edge_betweenness_centrality(spark, d):
     return C.edge_betweenness_centrality(trade(spark, d)).select("eid", F.round("score", 6).alias("score"))
 
 
-@query()
-def newman_weighted_closeness_centrality(spark, d):
-    return C.newman_weighted_closeness_centrality(trade(spark, d), "payload").select("id", F.round("score", 4).alias("score"))
-
-
-@query()
-def group_betweenness_centrality(spark, d):
-    return _row(spark, score=round(C.group_betweenness_centrality(trade(spark, d), [1, 2]), 6))
-
-
 # --- paths -------------------------------------------------------------------------------------
 
 
@@ -268,21 +248,6 @@ def has_path(spark, d):
     return _row(spark, found=P.has_path(trade(spark, d), 0, 7))
 
 
-@query()
-def dijkstra_shortest_paths(spark, d):
-    return P.dijkstra_shortest_paths(trade(spark, d), 0, None, "payload")
-
-
-@query()
-def all_shortest_paths(spark, d):
-    return P.single_source_all_shortest_paths(trade(spark, d), 0)
-
-
-@query()
-def k_shortest_path_lengths(spark, d):
-    return P.k_shortest_path_lengths(trade(spark, d), 0, 3, "payload")
-
-
 # --- traversal and connectivity ----------------------------------------------------------------
 
 
@@ -346,12 +311,6 @@ def bridges(spark, d):
     return Co.bridges(tree(spark, d))
 
 
-@query()
-def stoer_wagner_min_cut(spark, d):
-    value, side = Co.stoer_wagner_min_cut(trade(spark, d, False), "payload")
-    return _row(spark, value=value, side=str(side))
-
-
 @query(TREE + " SELECT true AS planar")
 def is_planar(spark, d):
     return _row(spark, planar=Co.is_planar(tree(spark, d)))
@@ -405,21 +364,6 @@ def minimum_spanning_edges(spark, d):
     return Tr.minimum_spanning_edges(trade(spark, d, False), "payload")
 
 
-@query()
-def steiner_tree(spark, d):
-    return Tr.steiner_tree(trade(spark, d, False), [0, 3, 7], "payload").weighted_edge_list()
-
-
-@query()
-def max_weight_matching(spark, d):
-    return Col.max_weight_matching(trade(spark, d, False), weight="payload")
-
-
-@query()
-def greedy_color(spark, d):
-    return Col.greedy_color(trade(spark, d, False))
-
-
 @query(TREE + ", r AS (SELECT id, 0 AS g FROM v WHERE id < 100 UNION ALL SELECT e.dst, g + 1 FROM r JOIN e ON e.src = r.id) SELECT id, (1 - g % 2)::BIGINT AS color FROM r")
 def two_color(spark, d):
     return Col.two_color(tree(spark, d).with_(directed=False))
@@ -586,7 +530,7 @@ def dot_round_trip(spark, d):
 
 
 def queries():
-    from weftgraph.plans import more_queries  # noqa: F401  registers itself
+    from weftgraph.plans import further_queries, more_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -12,20 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.errors import JSONDeserializationError, JSONSerializationError
-from weftgraph.graph import Graph, Weight, number, weight_column
+from weftgraph.graph import Graph, Weight, condition, number, weight_column
 
 MAP = "map<string,string>"
 
 
-def _text(spark: SparkSession, path: str) -> str:
-    """One document, through Spark's readers, so any store that they open will do; gzip by suffix."""
+def _text(spark: SparkSession, path: str, compression: str | None = None) -> str:
+    """One document, through Spark's readers, so any store that they open will do; gzip by its first bytes, or by ``compression``."""
     import gzip
 
     got = spark.read.format("binaryFile").load(path).select("content").head()
     if got is None:
         raise FileNotFoundError(path)
     raw = bytes(got[0])
-    return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
+    if compression not in (None, "gzip"):
+        raise ValueError(f"unknown compression {compression}")
+    return (gzip.decompress(raw) if compression == "gzip" or raw[:2] == b"\x1f\x8b" else raw).decode()
 
 
 def _write(spark: SparkSession, path: str, text: str, compression: str | None = None) -> None:
@@ -153,12 +156,20 @@ def _from_json(spark: SparkSession, frame: DataFrame) -> Graph:
     return Graph(V, E, bool(head.directed), True if head.multigraph is None else head.multigraph, head.attrs)
 
 
-def parse_node_link_json(spark: SparkSession, data: str) -> Graph:
-    return _from_json(spark, spark.createDataFrame([(data,)], "s string"))
+def _with_attrs(g: Graph, graph_attrs, node_attrs, edge_attrs) -> Graph:
+    """Payloads made of the data maps: Columns, SQL over the row, or callables of the map that return text; ``graph_attrs`` is a callable of the dict."""
+    V, E = (df if fn is None else df.withColumn("payload", condition(fn, F.col("payload"), "string")) for df, fn in ((g.V, node_attrs), (g.E, edge_attrs)))
+    return g.with_(V, E, attrs=g.attrs if graph_attrs is None else graph_attrs(g.attrs))
 
 
-def from_node_link_json_file(spark: SparkSession, path: str) -> Graph:
-    return _from_json(spark, spark.read.text(path, wholetext=True).select(F.col("value").alias("s")))
+def parse_node_link_json(spark: SparkSession, data: str, graph_attrs=None, node_attrs=None, edge_attrs=None) -> Graph:
+    """From node-link JSON; payloads are the data maps, or what the three functions make of them."""
+    return _with_attrs(_from_json(spark, spark.createDataFrame([(data,)], "s string")), graph_attrs, node_attrs, edge_attrs)
+
+
+def from_node_link_json_file(spark: SparkSession, path: str, graph_attrs=None, node_attrs=None, edge_attrs=None) -> Graph:
+    """The same from a file."""
+    return _with_attrs(_from_json(spark, spark.read.text(path, wholetext=True).select(F.col("value").alias("s"))), graph_attrs, node_attrs, edge_attrs)
 
 
 def node_link_json(graph: Graph, path: str | None = None, graph_attrs: dict[str, str] | None = None, node_attrs: str | None = None, edge_attrs: str | None = None) -> str | None:
@@ -185,10 +196,32 @@ def node_link_json(graph: Graph, path: str | None = None, graph_attrs: dict[str,
 TYPES = {"boolean": lambda s: s.strip().lower() == "true", "int": int, "long": int, "float": float, "double": float, "string": str}
 
 
-def read_graphml(spark: SparkSession, path: str) -> list[Graph]:
+class GraphMLDomain:
+    """What a key is for."""
+
+    Node, Edge, Graph, All = "node", "edge", "graph", "all"
+
+
+class GraphMLType:
+    """How the values of a key are read."""
+
+    Boolean, Int, Long, Float, Double, String = "boolean", "int", "long", "float", "double", "string"
+
+
+class GraphMLKey(NamedTuple):
+    """A key of a GraphML document, for ``write_graphml``."""
+
+    id: str
+    domain: str
+    name: str
+    ty: str
+    default: object = None
+
+
+def read_graphml(spark: SparkSession, path: str, compression: str | None = None) -> list[Graph]:
     """All graphs of a document; payloads are map<string,string> of the values as typed by the keys, with defaults and the file's id."""
     try:
-        root = ElementTree.fromstring(_text(spark, path))
+        root = ElementTree.fromstring(_text(spark, path, compression))
     except ElementTree.ParseError as err:
         raise ValueError(f"not XML: {err}") from err
     strip = lambda t: t.rpartition("}")[2]
@@ -241,7 +274,7 @@ def read_graphml(spark: SparkSession, path: str) -> list[Graph]:
 
 
 def write_graphml(graph: Graph, path: str, keys: list[tuple] | None = None, compression: str | None = None) -> None:
-    """Payload maps or structs as data elements. ``keys``: (id, domain, name, type, default); without them they are inferred (d1, d2, ...)."""
+    """Payload maps or structs as data elements. ``keys``: GraphMLKey or such tuples; without them they are inferred (d1, d2, ...)."""
     def fields(df):
         t = df.schema["payload"].dataType
         if t.typeName() == "struct":
