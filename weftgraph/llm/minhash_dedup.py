@@ -14,8 +14,12 @@ similarity says. The pipeline:
     links only; so no pair that shares a bucket stays untested unless it is connected already.
 4.  Final components; every document gets the smallest doc_id that it can reach.
 
-The only loss is of pairs that share no band: with 36 bands of 6 registers, 2e-5 at similarity 0.8
-and less above.
+Pairs are lost in two ways only: if they share no band (with 36 bands of 6 registers, 2e-5 at
+similarity 0.8 and less above), and if their registers speak so strongly against the similarity that
+the likelihood test gives them up (GIVE_UP; 2e-8 at similarity 0.8).
+
+Keys that many rows share (a text with many copies, a band that a large group of near copies has in
+common, the label of a giant component) do not meet in one task: see :func:`deal`.
 """
 
 from __future__ import annotations
@@ -29,12 +33,15 @@ from weftgraph.llm._util import Scratch, map_batches, shipped, slices
 BANDS, ROWS = 36, 6
 #: SetSketch parameters: base, rate of the exponential variables, largest register.
 BASE, RATE, LAST = 1.001, 20.0, 65_534
-#: Pairs are given up before the exact check if the threshold's log-likelihood is this much below the best.
+#: Pairs are given up before the exact check if the threshold's log-likelihood is this much below the best: twice
+#: that exceeds 32, which chi-square of one degree does with a chance of 2e-8.
 GIVE_UP = 16.0
 #: Members compared with one copy of a hub, and nodes of a block.
 SALT, BLOCK = 512, 192
 #: Keys up to this number (8 to 16 bytes each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST = 1_000_000
+#: A key is hot if it has more rows than a share of 1 / HOT of all, and than WARM. There are HOT such keys at most.
+HOT, WARM = 50_000, 128
 #: Words whose hashes a worker keeps.
 CACHE = 200_000
 
@@ -144,7 +151,7 @@ def _linked(a, b, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (binary, null without words), keys array<bigint> (one per band)."""
+    """doc_id, h, n_shingles, node (binary, null without words), keys array<bigint> (one per band) from doc_id, h, text."""
 
     def make():
         import numpy as np
@@ -165,11 +172,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     else:
                         nodes.append(None)
                         keys.append([])
-            return {"doc_id": cols["doc_id"], "n_shingles": np.array(n, np.int64), "node": nodes, "keys": keys}
+            return {"doc_id": cols["doc_id"], "h": cols["h"], "n_shingles": np.array(n, np.int64), "node": nodes, "keys": keys}
 
         return fn
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>")
+    return map_batches(docs.select("doc_id", "h", "text"), make, "doc_id bigint, h bigint, n_shingles bigint, node binary, keys array<bigint>")
 
 
 def node_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -198,6 +205,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
+def hot_keys(sizes: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """The keys of ``sizes`` (key, count) that have many rows; HOT at most, so they may be broadcast at any size."""
+    total = sizes.agg(F.sum("count")).head()[0] or 0
+    return scratch.save(sizes.where(F.col("count") > max(WARM, total // HOT)).select(key))
+
+
+def deal(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key at most (inner, left or left_semi).
+
+    Rows of hot keys stay where they are and meet a broadcast copy of their few partners; only the
+    others are dealt by the key, so no task gets more of one key than the bound of a cold one.
+    """
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    warm = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return left.join(hot, key, "left_anti").join(right, key, how).unionByName(warm)
+
+
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, c: the least label ``m`` that a node of ``nodes`` (node, m) reaches over ``links`` (a, b).
 
@@ -211,9 +237,10 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
         near = both.join(state.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("o"))
         new = state.join(near, "node", "left").select("node", "m", "c", F.least("c", "o").alias("n"))
         # the label is another node's id: take what that node has now
-        jump = new.groupBy(F.col("m").alias("n")).agg(F.min("n").alias("j"))
-        new = new.join(jump, "n", "left").select("node", "m", F.col("c").alias("old"), F.least("n", "j").alias("c"))
         new = scratch.save(new)
+        jump = scratch.save(new.groupBy(F.col("m").alias("n")).agg(F.min("n").alias("j")))
+        hot = hot_keys(new.groupBy("n").count(), "n", scratch)
+        new = scratch.save(deal(new, jump, "n", hot, "left").select("node", "m", F.col("c").alias("old"), F.least("n", "j").alias("c")))
         state = new.select("node", "m", "c")
         if new.where("c < old").isEmpty():
             return state.select("node", "c")
@@ -222,8 +249,9 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFram
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Verified links (a = hub, b) among ``pairs`` (hub, node): members stream past their hub's set."""
     pairs = scratch.save(pairs.select("hub", "node").distinct())
-    copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).cast("int").alias("s"))
-    members = pairs.join(copies, "hub").withColumn("salt", F.expr("cast(pmod(xxhash64(node), s) AS int)"))
+    sizes = scratch.save(pairs.groupBy("hub").count())
+    copies = sizes.select("hub", F.ceil(F.col("count") / SALT).cast("int").alias("s"))
+    members = deal(pairs, copies, "hub", hot_keys(sizes, "hub", scratch)).withColumn("salt", F.expr("cast(pmod(xxhash64(node), s) AS int)"))
     members = members.join(sets, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "sk", "st")
     hubs = copies.select(F.col("hub").alias("node"), "s").join(sets, "node").select(F.col("node").alias("hub"), F.explode(F.expr("sequence(0, s - 1)")).alias("salt"), F.lit(0).alias("kind"), "node", "sk", "st")
     rows = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
@@ -258,11 +286,11 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     return scratch.save(shipped(rows).mapInArrow(run, "a binary, b binary"))
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _block_links(members: DataFrame, sets: DataFrame, percent: int, hot: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between components within buckets: ``members`` (key, node, c, odd) lists the nodes of open
     buckets; each odd one is compared with every node of another component, block by block."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.sum(F.col("odd").cast("int")) / BLOCK).cast("int").alias("no"))
-    m = members.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    m = deal(members, scratch.save(sizes), "key", hot).withColumn("h", F.xxhash64("node"))
     left = m.where("odd").select("key", F.expr("cast(pmod(h, no) AS int)").alias("ob"), F.explode(F.expr("sequence(0, nb - 1)")).alias("mb"), F.lit(0).alias("kind"), "node", "c")
     right = m.select("key", F.explode(F.expr("sequence(0, no - 1)")).alias("ob"), F.expr("cast(pmod(h, nb) AS int)").alias("mb"), F.lit(1).alias("kind"), "node", "c")
     rows = left.unionByName(right).join(sets, "node").repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "kind")
@@ -315,14 +343,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Repeated rows fall in one component; rows of a null doc_id are never kept unless alone
     without an id to share. Other columns are not read.
     """
+    found = linked_rows(docs, k, percent)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def linked_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The same, and h, the hash of the row's text, so that rows of one doc_id can be told apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64(F.lit(2), "text").alias("h"), "text")
     sig = scratch.save(signatures(docs, k))
-    nodes = scratch.save(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), F.first("keys").alias("keys")))
+    nodes = scratch.save(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), F.first("keys").alias("keys"), F.count("*").alias("count")))
+    copied = hot_keys(nodes, "node", scratch)
     keyed = nodes.select("node", "m", F.posexplode("keys").alias("band", "key"))
-    many = scratch.save(keyed.groupBy("key").count().where("count > 1").select("key"))
-    rows = scratch.save(keyed.join(_small(many), "key"))
+    many = scratch.save(keyed.groupBy("key").count().where("count > 1"))
+    hot = hot_keys(many, "key", scratch)
+    few = many.limit(BROADCAST + 1).count() <= BROADCAST
+    rows = scratch.save(keyed.join(F.broadcast(many.select("key")), "key") if few else deal(keyed, many.select("key"), "key", hot))
     # the hub: one node per bucket, by an order that differs between groups of bands
     hubs = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("m", F.col("band") % 6)).alias("hub"))
     hubs = scratch.save(hubs)
@@ -330,22 +367,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.join(_small(wanted.withColumnRenamed("m", "doc_id")), "doc_id", "left_semi")
     sets = node_sets(texts, k).join(_small(rows.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.save(sets)
-    pairs = rows.join(hubs, "key").where("node != hub")
+    pairs = deal(rows, hubs, "key", hot).where("node != hub")
     links = _star_links(pairs, sets, percent, scratch)
     state = components(nodes, links, scratch)
     # open buckets: nodes outside the component of the hub
     labelled = rows.select("key", "node", "m").join(state, "node", "left").select("key", "node", F.coalesce("c", "m").alias("c"))
     heads = hubs.join(state.withColumnRenamed("node", "hub"), "hub", "left").join(nodes.select(F.col("node").alias("hub"), "m"), "hub").select("key", "hub", F.coalesce("c", "m").alias("hc"))
-    marked = scratch.save(labelled.join(heads, "key").where("node != hub").select("key", "node", "c", (F.col("c") != F.col("hc")).alias("odd")))
+    marked = scratch.save(deal(scratch.save(labelled), scratch.save(heads), "key", hot).where("node != hub").select("key", "node", "c", (F.col("c") != F.col("hc")).alias("odd")))
     open_ = marked.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("odd").cast("int")).alias("o"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("o > 0 AND n > 1 AND lo != hi")
-    members = scratch.save(marked.join(open_.select("key"), "key", "left_semi"))
+    members = scratch.save(deal(marked, scratch.save(open_.select("key")), "key", hot, "left_semi"))
     if not members.isEmpty():
-        more = _block_links(members, sets, percent, scratch)
+        more = _block_links(members, sets, percent, hot, scratch)
         if not more.isEmpty():
             state = components(nodes, links.union(more), scratch)
-    final = nodes.select("node", "m").join(state, "node", "left").select("node", F.coalesce("c", "m").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "node").join(final, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = scratch.save(nodes.select("node", "m").join(state, "node", "left").select("node", F.coalesce("c", "m").alias("component_id")))
+    out = sig.select("doc_id", "h", "n_shingles", "node")
+    out = deal(out.where("node IS NOT NULL"), final, "node", copied).unionByName(out.where("node IS NULL").withColumn("component_id", F.col("doc_id")))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "h")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
