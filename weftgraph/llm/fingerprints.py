@@ -32,30 +32,36 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), canon)), 16, "0") for seed in (0x5EED1, 0x5EED2))))
 
 
-def collisions(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """From rows (fingerprint, text): fingerprint, canon, n for buckets whose canonical bytes differ (n from 1); normally empty."""
-    dup = scratch.save(keyed.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
+def collisions(keys: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """From keys (uid, fingerprint) and texts (uid, text): uid, n (from 1) of texts in buckets whose canonical bytes differ; normally empty.
+
+    Only texts whose fingerprint occurs more than once are brought to canonical form again.
+    """
+    dup = scratch.save(keys.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
     few = dup.limit(BROADCAST + 1).count() <= BROADCAST
-    members = keyed.join(F.broadcast(dup) if few else dup, "fingerprint").withColumn("canon", canonical(F.col("text")))
+    held = scratch.save(keys.join(F.broadcast(dup) if few else dup, "fingerprint").select("uid", "fingerprint").distinct())
+    few = held.limit(BROADCAST + 1).count() <= BROADCAST
+    members = texts.join(F.broadcast(held) if few else held, "uid").withColumn("canon", canonical(F.col("text")))
     bad = scratch.save(members.groupBy("fingerprint").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo != hi").select("fingerprint"))
-    each = members.join(bad, "fingerprint").select("fingerprint", "canon").distinct()
-    return each.withColumn("n", F.dense_rank().over(W.partitionBy("fingerprint").orderBy("canon")))
+    each = members.join(bad, "fingerprint").select("uid", F.dense_rank().over(W.partitionBy("fingerprint").orderBy("canon")).alias("n"))
+    return scratch.save(each.distinct())
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """All columns plus ``out``. Equal canonical texts, and only those, have equal fingerprints.
 
-    A null text is empty; a column of the output's name is replaced.
+    A null text is empty; a column of the output's name is replaced; names that start with ``_f_``
+    are internal.
     """
-    scratch = Scratch(docs.sparkSession)
-    df = docs.drop(out).withColumn(out, digest(canonical(F.coalesce(text, F.lit("")))))
-    bad = scratch.save(collisions(df.select(F.col(out).alias("fingerprint"), F.coalesce(text, F.lit("")).alias("text")), scratch))
-    if bad.isEmpty():
+    scratch, one = Scratch(docs.sparkSession), F.coalesce(text, F.lit(""))
+    uid = F.struct(F.xxhash64(F.lit(1), one), F.xxhash64(F.lit(2), one), F.length(one))
+    df = docs.drop(out)
+    each = collisions(scratch.save(df.select(uid.alias("uid"), digest(canonical(one)).alias("fingerprint"))), df.select(uid.alias("uid"), one.alias("text")), scratch)
+    df = df.withColumn(out, digest(canonical(one)))
+    if each.isEmpty():
         return df
-    bad = bad.select(F.col("fingerprint").alias(out), F.col("canon").alias("_f_c"), F.col("n").alias("_f_n"))
-    df = df.withColumn("_f_c", canonical(F.coalesce(text, F.lit(""))))
-    df = df.join(bad, [out, "_f_c"], "left").withColumn(out, F.concat_ws("-", out, "_f_n"))
-    return df.drop("_f_c", "_f_n")
+    each = each.select(F.col("uid").alias("_f_u"), F.col("n").alias("_f_n"))
+    return df.withColumn("_f_u", uid).join(each, "_f_u", "left").withColumn(out, F.concat_ws("-", out, "_f_n")).drop("_f_u", "_f_n")
 
 
 def next_of(keys: DataFrame, order: list[str], carry: list[str]) -> DataFrame:
@@ -88,12 +94,14 @@ def edited_digests(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.xxhash64(F.lit(7), "text").alias("h"), "text")
-    marked = fingerprints(d)
-    keys = scratch.save(marked.select("doc_id", "h", F.length("text").cast("bigint").alias("n_chars"), "fingerprint"))
+    uid = F.struct("doc_id", "h").alias("uid")
+    keys = scratch.save(d.select("doc_id", "h", F.length("text").cast("bigint").alias("n_chars"), digest(canonical(F.col("text"))).alias("fingerprint")))
+    each = collisions(keys.select(uid, "fingerprint"), d.select(uid, "text"), scratch)
+    if not each.isEmpty():
+        keys = scratch.save(keys.withColumn("uid", uid).join(each, "uid", "left").select("doc_id", "h", "n_chars", F.concat_ws("-", "fingerprint", "n").alias("fingerprint")))
     distinct = keys.distinct()
     keyed = next_of(distinct.select("doc_id", "h", "n_chars", "fingerprint"), ["doc_id", "h"], ["doc_id", "h", "fingerprint"])
     keyed = scratch.save(keyed)
-    uid = F.struct("doc_id", "h").alias("uid")
     texts = d.select(uid, "text")
     want = keyed.select(F.struct(F.col("next_doc_id").alias("doc_id"), F.col("next_h").alias("h")).alias("uid"), F.struct("doc_id", "h").alias("before"), F.floor(F.col("n_chars") / 4).cast("int").alias("k"))
     heads = texts.join(want, "uid").select(F.col("before").alias("uid"), F.expr("substring(text, 1, k)").alias("head"))
@@ -102,10 +110,15 @@ def edited_digests(docs: DataFrame) -> DataFrame:
     info = keyed.select(F.struct("doc_id", "h").alias("uid"), "n_chars", "fingerprint", "next_fingerprint")
     df = texts.join(heads, "uid").join(info, "uid")
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) AS int)), head)"))
-    df = df.withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited"))})
-    df = df.withColumn("edited_fingerprint", F.when(F.col("canon") == F.col("edited_canon"), F.col("fingerprint")).otherwise(digest(F.col("edited_canon"))))
+    df = df.withColumn("edited_canon", canonical(F.col("edited")))
+    df = df.withColumn("edited_digest", digest(F.col("edited_canon")))
+    # equal digests are believed only after the canonical bytes were compared
+    same = F.when(F.col("edited_digest") == F.substring_index("fingerprint", "-", 1), canonical(F.col("text")) == F.col("edited_canon")).otherwise(False)
+    df = df.withColumn("same", same)
+    other = F.when(F.col("edited_digest") == F.col("fingerprint"), F.concat("edited_digest", F.lit("-e"))).otherwise(F.col("edited_digest"))
+    df = df.withColumn("edited_fingerprint", F.when(F.col("same"), F.col("fingerprint")).otherwise(other))
     return df.select(
         F.col("uid.doc_id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
+        F.col("same").cast("double").alias("near_edited"),
         (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
     )

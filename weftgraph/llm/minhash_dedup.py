@@ -347,11 +347,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def row_hash(text):
+    """What tells the rows of one doc_id apart; a null text has its own."""
+    return F.xxhash64(F.lit(2), text)
+
+
 def linked_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The same, and h, the hash of the row's text, so that rows of one doc_id can be told apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", F.xxhash64(F.lit(2), "text").alias("h"), "text")
+    docs = docs.select("doc_id", row_hash("text").alias("h"), "text")
     sig = scratch.save(signatures(docs, k))
     nodes = scratch.save(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), F.first("keys").alias("keys"), F.count("*").alias("count")))
     copied = hot_keys(nodes, "node", scratch)
