@@ -24,14 +24,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the least id."""
-    found = Scratch(spark).save(minhash_dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"))
-    gone = found.where("NOT kept").select("doc_id").distinct()
+    found = Scratch(spark).save(minhash_dedup.linked_rows(docs, k=5, percent=80).select("doc_id", "h", "kept"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     if gone.limit(BROADCAST + 1).count() <= BROADCAST:
         gone = F.broadcast(gone)
-    out = docs.join(gone, "doc_id", "left_anti")
-    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not twice.isEmpty():  # rows repeated under one id
-        out = out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    out = docs.withColumn("_hash", minhash_dedup.row_hash("text"))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1")
+    if not twice.isEmpty():  # one text repeated under one id
+        out = out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_hash"]))
     return out.select(docs.columns)
 
 
