@@ -3,6 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
 that is written as Parquet and read again as the next one's ``docs``. All but the last return the
 columns of ``documents``.
+
+In every stage a null text counts as empty and stays (it is neither toxic nor a copy, holds no
+benchmark passage, no secret and no token); an empty table gives an empty table; texts of any length
+are taken whole; rows are judged each by itself, so rows that repeat and ids that tie get what their
+text deserves, but of one text repeated under one id ``near_dedup`` keeps one row; further columns are
+carried along under their names.
 """
 
 from __future__ import annotations
