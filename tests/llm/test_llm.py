@@ -570,3 +570,31 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, t in left:
         t = t.replace("password=abcdefghijklmnop1", "[REDACTED]")
         assert got[i]["ids"] == enc.encode_ordinary(t) and got[i]["n_chars"] == len(t)
+
+
+def test_votes_are_those_of_all_cosines(spark):
+    import numpy as np
+
+    texts = [f"word{i % 7} said {i} times, and more of it {'!' * (i % 5)}" for i in range(60)] + ["", "Z" * 5000, "語" * 3000]
+    lab = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts[:40])], "text string, quality int")
+    model = quality.fit(lab.selectExpr("monotonically_increasing_id() AS doc_id", "text", "quality"))
+    got = quality.vote(model, texts)
+    for t, s in zip(texts, got, strict=True):
+        x = quality.vector(t)
+        if not x.any():
+            assert s == pytest.approx(model["y"].mean())
+            continue
+        x = x @ model["map"] - model["mean"]
+        cos = [float(x @ v / max(np.linalg.norm(x), 1e-9)) for v in model["near"]]
+        near = sorted(range(len(cos)), key=lambda i: -cos[i])
+        w = [max(cos[i], 1e-3) ** 8 for i in near]
+        edge = cos[near[quality.NEIGHBOURS - 1]] - cos[near[quality.NEIGHBOURS]]
+        if edge > 1e-5:  # no tie at the border of the neighbourhood
+            k = quality.NEIGHBOURS
+            assert s == pytest.approx(sum(a * model["y"][i] for a, i in zip(w[:k], near[:k], strict=True)) / sum(w[:k]), abs=1e-3)
+
+
+def test_quality_reads_long_runs_to_their_end():
+    assert quality.shape("a" * 50 + "9") == "x9" and "".join(quality.pieces("ab " + "c" * 100)) == "ab" + "c" * 100
+    a, b = (quality.vector("語" * 4000 + x * 4000) for x in ("ア", "9"))
+    assert abs(a - b).max() > 0.05

@@ -22,7 +22,8 @@ WORDS, SHAPES, PAIRS, MORE = 1024, 256, 512, 4
 WIDTH = WORDS + SHAPES + PAIRS + MORE
 #: Weight of the words' block against the shapes' block of a vector.
 WORD_SHARE = 0.35
-CACHE = 300_000
+#: A run without blanks counts as consecutive pieces of so many characters; pieces in a worker's memory.
+PIECE, CACHE = 40, 300_000
 
 _known: dict = {}
 
@@ -30,7 +31,7 @@ _known: dict = {}
 def shape(word: str) -> str:
     """Runs of letters, digits and signs, with the case of letters, each written once."""
     out, last = [], ""
-    for c in word[:40]:
+    for c in word:
         k = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if k != last:
             out.append(k)
@@ -49,12 +50,17 @@ def _slots(word: str):
     return got
 
 
+def pieces(text: str) -> list[str]:
+    """The words of a text; longer runs without blanks are cut, so that all of them counts."""
+    return [w[k : k + PIECE] for w in text.split() for k in range(0, len(w), PIECE)]
+
+
 def vector(text: str | None):
     """Log counts: words, shapes, pairs of neighbouring shapes, repeated words and lines."""
     import numpy as np
 
     text = text or ""
-    words = text.split()
+    words = pieces(text)
     out = np.zeros(WIDTH, np.float32)
     if not words:
         return out
