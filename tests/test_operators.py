@@ -358,7 +358,7 @@ def test_matching(spark):
         n = rng.randint(2, 8)
         e = [(i, a, b, float(rng.randint(-2, 9))) for i, (a, b) in enumerate(itertools.combinations(range(n), 2)) if rng.random() < 0.6]
         for card in (False, True):
-            got = K.max_weight_matching(Local(range(n), e, False), card)
+            got = K.max_weight_matching(Local(range(n), e, False), card, verify_optimum=True)
             w = {(a, b): x for _, a, b, x in e}
             assert len({x for p in got for x in p}) == 2 * len(got)
 

@@ -61,9 +61,12 @@ def bipartite_edge_color(graph: Graph) -> DataFrame:
     return by_component(graph, lambda g: K.bipartite_edges(g, None), "eid bigint, color bigint")
 
 
-def max_weight_matching(graph: Graph, max_cardinality: bool = False, weight: Weight = None, default: int = 1) -> DataFrame:
-    """src, dst of a matching of greatest weight (integers); parts are matched in parallel."""
-    return by_component(graph, lambda g: K.max_weight_matching(g, max_cardinality), "src bigint, dst bigint", weight, float(default))
+def max_weight_matching(graph: Graph, max_cardinality: bool = False, weight: Weight = None, default: int = 1, verify_optimum: bool = False) -> DataFrame:
+    """src, dst of a matching of greatest weight (integers); parts are matched in parallel.
+
+    ``verify_optimum`` has every part prove its result by its duals, and fails the job if they do not.
+    """
+    return by_component(graph, lambda g: K.max_weight_matching(g, max_cardinality, verify_optimum), "src bigint, dst bigint", weight, float(default))
 
 
 def is_matching(graph: Graph, matching) -> bool:

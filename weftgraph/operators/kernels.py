@@ -830,232 +830,233 @@ def _embeds(edges):
 # --- matching and colouring --------------------------------------------------------------------
 
 
-def max_weight_matching(g, max_cardinality=False):
-    """Weighted matching in general graphs: primal-dual search with contracted odd circuits, O(n^3)."""
-    ids = g.ids
-    best = {}
-    for _, u, v, w in g.edges:
-        if u != v:
-            k = (min(u, v), max(u, v))
-            best[k] = max(best.get(k, -math.inf), int(w))
-    if not best:
-        return []
-    if max_cardinality:
-        shift = 1 - min(min(best.values()), 0) + len(ids) * (max(abs(w) for w in best.values()) + 1)
-        best = {k: w + shift for k, w in best.items()}
-    n = len(ids)
-    at = {v: i + 1 for i, v in enumerate(ids)}
-    size = n + n // 2 + 2
-    W = [[0] * size for _ in range(size)]
-    eu = [[0] * size for _ in range(size)]
-    ev = [[0] * size for _ in range(size)]
-    for a in range(1, n + 1):
-        for b in range(1, n + 1):
-            eu[a][b], ev[a][b] = a, b
-    for (u, v), w in best.items():
-        if w > 0:
-            W[at[u]][at[v]] = W[at[v]][at[u]] = 2 * w
-    top = [n]
-    lab, match, slack = [0] * size, [0] * size, [0] * size
-    st, pa, side, mark = list(range(n + 1)) + [0] * (size - n - 1), [0] * size, [-1] * size, [0] * size
-    frm = [[0] * (n + 1) for _ in range(size)]
-    ring: list[list[int]] = [[] for _ in range(size)]
-    queue: deque[int] = deque()
-    stamp = [0]
-    for a in range(1, n + 1):
-        frm[a][a] = a
-        lab[a] = max(max(W[x]) for x in range(1, n + 1)) // 2 if a == 1 else lab[1]
-
-    def gap(a, b):
-        return lab[eu[a][b]] + lab[ev[a][b]] - W[eu[a][b]][ev[a][b]]
-
-    def relax(u, x):
-        if not slack[x] or gap(u, x) < gap(slack[x], x):
-            slack[x] = u
-
-    def reset(x):
-        slack[x] = 0
-        for u in range(1, n + 1):
-            if W[u][x] > 0 and st[u] != x and side[st[u]] == 0:
-                relax(u, x)
-
-    def push(x):
-        if x <= n:
-            queue.append(x)
-        else:
-            for y in ring[x]:
-                push(y)
-
-    def own(x, b):
-        st[x] = b
-        if x > n:
-            for y in ring[x]:
-                own(y, b)
-
-    def place(b, x):
-        p = ring[b].index(x)
-        if p % 2:
-            ring[b][1:] = ring[b][:0:-1]
-            return len(ring[b]) - p
-        return p
-
-    def pair(u, v):
-        match[u] = ev[u][v]
-        if u > n:
-            x = frm[u][eu[u][v]]
-            p = place(u, x)
-            for i in range(p):
-                pair(ring[u][i], ring[u][i ^ 1])
-            pair(x, v)
-            ring[u] = ring[u][p:] + ring[u][:p]
-
-    def augment(u, v):
+class _Matching:
+    """Greatest-weight matching of a general graph by duals of vertices and odd sets.
+
+    Edges are arrays, and every round finds the tight ones and the next change of the duals by one
+    vectorised pass over them, so memory is linear in vertices and edges. Vertices are 0..n-1, odd
+    sets n, n+1, ...; ``top`` and ``side`` (0 free, 1 outer, 2 inner) tell of every vertex the
+    outermost set that holds it and that set's place in the search.
+    """
+
+    def __init__(self, n, edges, by_number):
+        import numpy as np
+
+        self.np, self.n, self.by_number = np, n, by_number
+        self.a, self.b, self.w = (np.array([e[k] for e in edges], np.int64) for k in range(3))
+        self.y = np.full(n, max(0, int(self.w.max())), np.int64)  # twice the usual dual (as is z), so that all stays whole
+        self.z = {}
+        self.top, self.side = np.arange(n), np.zeros(n, np.int8)
+        self.mate, self.base = [-1] * n, dict(enumerate(range(n)))
+        self.kids, self.ties, self.holder, self.link = {}, {}, {}, {}
+        self.fresh = count(n)
+
+    def slack(self):
+        return self.y[self.a] + self.y[self.b] - 2 * self.w
+
+    def members(self, s):
+        todo, out = [s], []
+        while todo:
+            x = todo.pop()
+            if x < self.n:
+                out.append(x)
+            else:
+                todo += self.kids[x]
+        return out
+
+    def mark(self, s, side):
+        self.side[self.members(s)] = side
+
+    def rebase(self, s, v):
+        """Match the inside of set ``s`` so that ``v`` is its only vertex without a partner there."""
+        todo = [(s, v)]
+        while todo:
+            s, v = todo.pop()
+            if s < self.n or self.base[s] == v:
+                continue
+            kid = v
+            while self.holder[kid] != s:
+                kid = self.holder[kid]
+            kids, ties = self.kids[s], self.ties[s]
+            i = kids.index(kid)
+            # the pairs on the even way from the kid of v to the old base change over
+            for j in range(0, i, 2) if i % 2 == 0 else range(i + 1, len(kids), 2):
+                p, q = ties[j]
+                self.mate[p], self.mate[q] = q, p
+                todo += [(kids[j], p), (kids[(j + 1) % len(kids)], q)]
+            todo.append((kid, v))
+            self.kids[s], self.ties[s], self.base[s] = kids[i:] + kids[:i], ties[i:] + ties[:i], v
+
+    def flip(self, v, partner):
+        """Match ``v`` with ``partner`` and change over the pairs on the way from v to its root."""
         while True:
-            x = st[match[u]]
-            pair(u, v)
-            if not x:
+            s = int(self.top[v])
+            old = self.mate[self.base[s]]
+            self.rebase(s, v)
+            self.mate[v] = partner
+            if old < 0:
                 return
-            pair(x, st[pa[x]])
-            u, v = st[pa[x]], x
-
-    def ancestor(u, v):
-        stamp[0] += 1
-        while u or v:
-            if u:
-                if mark[u] == stamp[0]:
-                    return u
-                mark[u] = stamp[0]
-                u = st[match[u]]
-                if u:
-                    u = st[pa[u]]
-            u, v = v, u
-        return 0
-
-    def shrink(u, meet, v):
-        b = n + 1
-        while b <= top[0] and st[b]:
-            b += 1
-        top[0] = max(top[0], b)
-        lab[b], side[b], match[b] = 0, 0, match[meet]
-        ring[b] = [meet]
-        x = u
-        while x != meet:
-            y = st[match[x]]
-            ring[b] += [x, y]
-            push(y)
-            x = st[pa[y]]
-        ring[b][1:] = ring[b][:0:-1]
-        x = v
-        while x != meet:
-            y = st[match[x]]
-            ring[b] += [x, y]
-            push(y)
-            x = st[pa[y]]
-        own(b, b)
-        for x in range(1, top[0] + 1):
-            W[b][x] = W[x][b] = 0
-        frm[b] = [0] * (n + 1)
-        for xs in ring[b]:
-            for x in range(1, top[0] + 1):
-                if W[xs][x] and (W[b][x] == 0 or gap(xs, x) < gap(b, x)):
-                    W[b][x], eu[b][x], ev[b][x] = W[xs][x], eu[xs][x], ev[xs][x]
-                    W[x][b], eu[x][b], ev[x][b] = W[x][xs], eu[x][xs], ev[x][xs]
-            for x in range(1, n + 1):
-                if frm[xs][x]:
-                    frm[b][x] = xs
-        reset(b)
-
-    def unfold(b):
-        for x in ring[b]:
-            own(x, x)
-        x = frm[b][eu[b][pa[b]]]
-        p = place(b, x)
-        for i in range(0, p, 2):
-            a, c = ring[b][i], ring[b][i + 1]
-            pa[a] = eu[c][a]
-            side[a], side[c] = 1, 0
-            slack[a] = 0
-            reset(c)
-            push(c)
-        side[x], pa[x] = 1, pa[b]
-        for a in ring[b][p + 1 :]:
-            side[a] = -1
-            reset(a)
-        st[b] = 0
-
-    def tight(a, b):
-        u, v = st[eu[a][b]], st[ev[a][b]]
-        if side[v] == -1:
-            pa[v], side[v] = eu[a][b], 1
-            x = st[match[v]]
-            slack[v] = slack[x] = 0
-            side[x] = 0
-            push(x)
-        elif side[v] == 0:
-            meet = ancestor(u, v)
-            if not meet:
-                augment(u, v)
-                augment(v, u)
-                return True
-            shrink(u, meet, v)
+            t = int(self.top[old])
+            inner, outer = self.link[t]
+            self.rebase(t, inner)
+            self.mate[inner] = outer
+            v, partner = outer, inner
+
+    def way(self, v):
+        """Sets from that of the outer vertex ``v`` up to its root, and the edges between them."""
+        sets, steps = [int(self.top[v])], []
+        while self.mate[self.base[sets[-1]]] >= 0:
+            x = self.base[sets[-1]]
+            t = int(self.top[self.mate[x]])
+            steps += [(x, self.mate[x]), self.link[t]]
+            sets += [t, int(self.top[self.link[t][1]])]
+        return sets, steps
+
+    def close(self, u, v):
+        """An edge between outer sets: a new odd set if they share a root (False), else a longer matching (True)."""
+        (us, ue), (vs, ve) = self.way(u), self.way(v)
+        if us[-1] != vs[-1]:
+            self.flip(u, v)
+            self.flip(v, u)
+            return True
+        seen = {x: i for i, x in enumerate(us)}
+        j = next(j for j, x in enumerate(vs) if x in seen)
+        i = seen[vs[j]]
+        s = next(self.fresh)
+        self.kids[s] = us[: i + 1][::-1] + vs[:j]
+        self.ties[s] = [(q, p) for p, q in ue[:i][::-1]] + [(u, v)] + ve[:j]
+        self.base[s], self.z[s] = self.base[us[i]], 0
+        for x in self.kids[s]:
+            self.holder[x] = s
+        inside = self.members(s)
+        self.top[inside], self.side[inside] = s, 1
         return False
 
-    def phase():
-        for x in range(1, top[0] + 1):
-            side[x], slack[x] = -1, 0
-        queue.clear()
-        for x in range(1, top[0] + 1):
-            if st[x] == x and not match[x]:
-                pa[x], side[x] = 0, 0
-                push(x)
-        if not queue:
-            return False
-        while True:
-            while queue:
-                u = queue.popleft()
-                if side[st[u]] == 1:
+    def open(self, s):
+        kids = self.kids.pop(s)
+        for x in kids:
+            del self.holder[x]
+            self.top[self.members(x)] = x
+        del self.base[s], self.z[s]
+        return kids, self.ties.pop(s)
+
+    def unfold(self, s):
+        """An inner set whose dual is used up: its kids on the even way between link and base stay in the search."""
+        v, outer = self.link.pop(s)
+        kids, ties = self.open(s)
+        i, k = kids.index(int(self.top[v])), len(kids)
+        for x in kids:
+            self.mark(x, 0)
+        self.mark(kids[i], 2)
+        self.link[kids[i]] = (v, outer)
+        back = i % 2 == 0
+        for j in range(i, 0, -2) if back else range(i, k, 2):
+            if back:
+                p, q = ties[j - 2][::-1]
+                mid, end = kids[j - 1], kids[j - 2]
+            else:
+                p, q = ties[j + 1]
+                mid, end = kids[j + 1], kids[(j + 2) % k]
+            self.mark(mid, 1)
+            self.mark(end, 2)
+            self.link[end] = (q, p)
+
+    def stage(self):
+        """One search; whether it made the matching longer."""
+        np = self.np
+        self.side[:] = 0
+        self.link.clear()
+        for s in [s for s, x in self.base.items() if self.mate[x] < 0 and s not in self.holder]:
+            self.mark(s, 1)
+        while (self.side == 1).any():
+            su, sv, apart, slack = self.side[self.a], self.side[self.b], self.top[self.a] != self.top[self.b], self.slack()
+            grow = apart & (su + sv == 1)
+            meet = apart & (su == 1) & (sv == 1)
+            acted = False
+            for e in np.flatnonzero((grow | meet) & (slack == 0)):
+                u, v = int(self.a[e]), int(self.b[e])
+                if self.side[u] != 1:
+                    u, v = v, u
+                if self.side[u] != 1 or self.side[v] == 2 or self.top[u] == self.top[v]:
                     continue
-                for v in range(1, n + 1):
-                    if W[u][v] > 0 and st[u] != st[v]:
-                        if gap(u, v) == 0:
-                            if tight(u, v):
-                                return True
-                        else:
-                            relax(u, st[v])
-            d = math.inf
-            for b in range(n + 1, top[0] + 1):
-                if st[b] == b and side[b] == 1:
-                    d = min(d, lab[b] // 2)
-            for x in range(1, top[0] + 1):
-                if st[x] == x and slack[x]:
-                    if side[x] == -1:
-                        d = min(d, gap(slack[x], x))
-                    elif side[x] == 0:
-                        d = min(d, gap(slack[x], x) // 2)
-            for u in range(1, n + 1):
-                if side[st[u]] == 0:
-                    if lab[u] <= d:
-                        return False
-                    lab[u] -= d
-                elif side[st[u]] == 1:
-                    lab[u] += d
-            for b in range(n + 1, top[0] + 1):
-                if st[b] == b:
-                    if side[b] == 0:
-                        lab[b] += 2 * d
-                    elif side[b] == 1:
-                        lab[b] -= 2 * d
-            queue.clear()
-            for x in range(1, top[0] + 1):
-                if st[x] == x and slack[x] and st[slack[x]] != x and gap(slack[x], x) == 0 and tight(slack[x], x):
-                    return True
-            for b in range(n + 1, top[0] + 1):
-                if st[b] == b and side[b] == 1 and lab[b] == 0:
-                    unfold(b)
-
-    while phase():
-        pass
-    return [(ids[a - 1], ids[match[a] - 1]) for a in range(1, n + 1) if match[a] > a]
+                acted = True
+                if self.side[v] == 1:
+                    if self.close(u, v):
+                        return True
+                else:
+                    t = int(self.top[v])
+                    self.mark(t, 2)
+                    self.link[t] = (v, u)
+                    self.mark(int(self.top[self.mate[self.base[t]]]), 1)
+            if acted:
+                continue
+            inner = [s for s in self.z if s not in self.holder and self.side[self.base[s]] == 2]
+            steps = [int(slack[grow].min())] if grow.any() else []
+            steps += [int(slack[meet].min()) // 2] if meet.any() else []
+            steps += [self.z[s] // 2 for s in inner]
+            if not self.by_number:
+                steps.append(int(self.y[self.side == 1].min()))
+            if not steps:
+                return False
+            d = min(steps)
+            self.y[self.side == 1] -= d
+            self.y[self.side == 2] += d
+            for s in self.z:
+                if s not in self.holder:
+                    self.z[s] += (0, 2, -2)[self.side[self.base[s]]] * d
+            if not self.by_number and not self.y[self.side == 1].min():
+                return False
+            for s in inner:
+                if not self.z[s]:
+                    self.unfold(s)
+        return False
+
+    def solve(self):
+        while self.stage():
+            todo = [s for s in self.z if s not in self.holder]
+            while todo:
+                s = todo.pop()
+                if s >= self.n and not self.z[s]:
+                    todo += self.open(s)[0]
+        return self.mate
+
+    def check(self):
+        """Raise unless the duals prove the matching best (in the mode by number: best of its size)."""
+        shift = int(self.y.min()) if self.by_number else 0
+        around = []
+        for v in range(self.n):
+            held, x = [], v
+            while x in self.holder:
+                x = self.holder[x]
+                held.append(x)
+            around.append(held)
+            if self.y[v] < shift or (self.mate[v] < 0 and self.y[v] != shift):
+                raise AssertionError(f"dual of vertex {v}")
+        for u, v, left in zip(self.a.tolist(), self.b.tolist(), self.slack().tolist(), strict=True):
+            left += sum(self.z[s] for s in set(around[u]) & set(around[v]))
+            if left < 0 or (left and self.mate[u] == v):
+                raise AssertionError(f"slack of edge {u}, {v}")
+        for s, z in self.z.items():
+            inside = set(self.members(s))
+            if z < 0 or (z and sum(self.mate[v] in inside for v in inside) != len(inside) - 1):
+                raise AssertionError("an odd set with a dual is not full")
+
+
+def max_weight_matching(g, max_cardinality=False, verify_optimum=False):
+    """Pairs (u, v), u < v, of a matching of greatest weight; with ``max_cardinality`` among those of most pairs."""
+    at, best = {v: i for i, v in enumerate(g.ids)}, {}
+    for _, u, v, w in g.edges:
+        if u != v:
+            k = (at[min(u, v)], at[max(u, v)])
+            best[k] = max(best.get(k, -math.inf), int(w))
+    edges = [(*k, w) for k, w in sorted(best.items()) if max_cardinality or w > 0]
+    if not edges:
+        return []
+    m = _Matching(len(g.ids), edges, max_cardinality)
+    mate = m.solve()
+    if verify_optimum:
+        m.check()
+    return [(g.ids[a], g.ids[b]) for a, b in enumerate(mate) if b > a]
 
 
 def greedy_colors(adj, preset=None, strategy="degree"):
