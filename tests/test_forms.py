@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.operators import centrality as C
 from weftgraph.operators import coloring as Col
+from weftgraph.operators import components as Co
 from weftgraph.operators import dag as D
 from weftgraph.operators import kernels as K
 from weftgraph.operators import levels, local
 from weftgraph.operators import paths as P
+from weftgraph.operators import trees as Tr
 from weftgraph.operators.local import Local
+from weftgraph.plans import fixpoint
 from weftgraph.sources import generators as G
 from weftgraph.streaming.incremental import StreamingComponents
 
@@ -136,3 +139,74 @@ def test_components_of_a_stream_survive_restart_and_redelivery(spark, tmp_path):
         got = StreamingComponents(spark, path).labels().collect()
         assert len(got) == len({r.id for r in got}) and {r.id: r.component for r in got} == want(edges[: 8 * k + 8])
     assert len(list((tmp_path / "labels").glob("delta-*"))) <= 6
+
+
+def _strong(n, arcs):
+    """Reachability both ways, by brute force: the least id of each vertex's strong component."""
+    reach = []
+    for v in range(n):
+        seen, todo = {v}, [v]
+        while todo:
+            x = todo.pop()
+            for a, b, _ in arcs:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach.append(seen)
+    return {v: min(x for x in range(n) if x in reach[v] and v in reach[x]) for v in range(n)}
+
+
+@pytest.mark.parametrize("hot, parts, chain", [(500_000, 40, 40), (3, 12, 9)])
+def test_components_and_forests_of_many_random_graphs(spark, monkeypatch, hot, parts, chain):
+    monkeypatch.setattr(fixpoint, "HOT", hot)
+    rng, edges, strong, base = random.Random(hot), [], {}, 0
+    for _ in range(parts):
+        n = rng.randint(1, 9)
+        part = [(rng.randrange(n), rng.randrange(n), rng.randint(1, 3)) for _ in range(rng.randint(0, 2 * n))]
+        strong |= {base + v: base + c for v, c in _strong(n, part).items()}
+        edges += [(base + a, base + b, w) for a, b, w in part]
+        base += n
+    for n, closed in ((chain, False), (chain, True)):  # a chain and a ring
+        edges += [(base + i, base + i + 1, 1) for i in range(n - 1)] + [(base + n - 1, base, 1)] * closed
+        strong |= {base + i: base + (0 if closed else i) for i in range(n)}
+        base += n
+    g = make(spark, edges, base, True).cached()
+    assert {r.id: r.component for r in Co.strongly_connected_components(g).collect()} == strong
+
+    up = list(range(base))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    forest = []
+    for i, (a, b, _) in sorted(enumerate(edges), key=lambda e: (e[1][2], e[0])):
+        if root(a) != root(b):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+            forest.append(i)
+    assert sorted(r.eid for r in Tr.minimum_spanning_edges(g, "payload").collect()) == sorted(forest)
+    assert {r.id: r.component for r in Co.connected_components(g).collect()} == {v: root(v) for v in range(base)}
+
+
+def test_a_long_chain_takes_few_rounds_of_strong_components(spark, monkeypatch):
+    rounds, n = [], 300
+    real = Co.checkpoint
+    monkeypatch.setattr(Co, "checkpoint", lambda df: rounds.append(1) or real(df))
+    g = make(spark, [(i, i + 1, 1) for i in range(n - 1)], n, True)
+    assert Co.number_strongly_connected_components(g) == n and len(rounds) < 60
+
+
+def test_matchings_prove_themselves():
+    rng = random.Random(3)
+    for n, m in ((40, 90), (120, 400), (300, 900)):
+        for top in (1, 5, 1000):
+            e = [(i, *sorted(rng.sample(range(n), 2)), float(rng.randint(-1, top))) for i in range(m)]
+            for card in (False, True):
+                got = K.max_weight_matching(Local(range(n), e, False), card, verify_optimum=True)
+                assert len({x for p in got for x in p}) == 2 * len(got)
+    m = K._Matching(3, [(0, 1, 5), (1, 2, 3)], False)
+    m.solve()
+    m.mate = [-1, 2, 1]
+    with pytest.raises(AssertionError):
+        m.check()

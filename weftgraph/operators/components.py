@@ -9,20 +9,28 @@ from weftgraph.errors import InvalidNode, NullGraph
 from weftgraph.graph import Graph, Weight
 from weftgraph.operators import kernels as K
 from weftgraph.operators.local import as_whole, by_component
-from weftgraph.plans.fixpoint import checkpoint, fixpoint
+from weftgraph.plans import fixpoint as fix
+from weftgraph.plans.fixpoint import checkpoint, fixpoint, hot_keys, meet
 
 
 def labels(graph: Graph) -> DataFrame:
-    """id, component: the least id of each weakly connected part. Label propagation with pointer jumping: O(log n) rounds on chains."""
+    """id, component: the least id of each weakly connected part. Label propagation with pointer jumping: O(log n) rounds on chains.
+
+    Hubs (rows of arcs) and labels of giant parts (rows of the state) are hot keys, which :func:`meet` keeps apart.
+    """
     arcs = checkpoint(graph.E.select("src", "dst").union(graph.E.select("dst", "src")).where("src != dst").distinct())
+    hubs = hot_keys(arcs, "dst")
 
     def step(s: DataFrame, _: int) -> DataFrame:
-        near = arcs.join(s.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
+        near = meet(arcs, s.select(F.col("id").alias("dst"), "component"), "dst", hubs).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
         new = s.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        if big:
+            new = checkpoint(new)  # counted for hot labels, then read twice
         up = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        return new.join(up, "c").select("id", "old", F.least("c", "cc").alias("component"))
+        return (meet(new, up, "c") if big else new.join(up, "c")).select("id", "old", F.least("c", "cc").alias("component"))
 
-    start = graph.V.select("id", F.col("id").alias("component")).withColumn("old", F.col("component"))
+    start = checkpoint(graph.V.select("id", F.col("id").alias("component")).withColumn("old", F.col("component")))
+    big = start.limit(fix.HOT + 1).count() > fix.HOT
     out, _, _ = fixpoint(start, step, lambda _, new: not new.where("component < old").isEmpty())
     return out.select("id", "component")
 
@@ -59,25 +67,43 @@ def node_connected_component(graph: Graph, node: int) -> DataFrame:
     return reach(graph.with_(directed=False), graph.node_frame([node]))
 
 
+#: Layers of vertices without a way in or out that are trimmed before chains are taken out.
+LAYERS = 2
+
+
 def strongly_connected_components(graph: Graph) -> DataFrame:
     """id, component: the least id of each strong component.
 
     Rounds of trimming and colouring: every vertex takes the least id that reaches it; going back
     from each colour's root inside the colour gives one strong component per colour and round.
+    Every few layers, and before colours spread, chains and rings are taken out by pointer doubling, so one of
+    n vertices costs O(log n) rounds.
     """
-    rest, found = checkpoint(graph.V.select("id")), None
+    rest = checkpoint(graph.V.select("id"))
     arcs = checkpoint(graph.E.select("src", "dst").where("src != dst").distinct())
-    done = []
+    done, chains = [], []
     while True:
-        # trim: no way in or no way out among the rest
-        while True:
+        layer = 0
+        while True:  # trim: no way in or no way out among the rest
             alone = rest.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti").union(rest.join(arcs.select(F.col("src").alias("id")), "id", "left_anti")).distinct()
             alone = checkpoint(alone)
-            if alone.isEmpty():
+            trimmed = not alone.isEmpty()
+            if trimmed:
+                done.append(alone.select("id", F.col("id").alias("component")))
+                rest = checkpoint(rest.join(alone, "id", "left_anti"))
+                arcs = checkpoint(_within(arcs, rest))
+                layer += 1
+                if layer % LAYERS:
+                    continue
+            arcs, taken, rings = _bypass(arcs)
+            if rings is not None:
+                done.append(rings)
+                rest = checkpoint(rest.join(rings, "id", "left_anti"))
+            if taken is not None:
+                chains.append(taken)
+                rest = checkpoint(rest.join(taken, "id", "left_anti"))
+            if not trimmed and taken is None and rings is None:
                 break
-            done.append(alone.select("id", F.col("id").alias("component")))
-            rest = checkpoint(rest.join(alone, "id", "left_anti"))
-            arcs = checkpoint(_within(arcs, rest))
         if rest.isEmpty():
             break
 
@@ -100,13 +126,47 @@ def strongly_connected_components(graph: Graph) -> DataFrame:
         done.append(seen.select("id", F.col("c").alias("component")))
         rest = checkpoint(rest.join(seen, "id", "left_anti"))
         arcs = checkpoint(_within(arcs, rest))
+    found = None
     for part in done:
         found = part if found is None else found.union(part)
     if found is None:
         return graph.V.select("id", F.col("id").alias("component"))
+    for taken in reversed(chains):  # a chain is in the component of its two ends if they share one
+        head, tail = (found.select(F.col("id").alias(k), F.col("component").alias(c)) for k, c in (("head", "a"), ("tail", "b")))
+        part = taken.join(head, "head").join(tail, "tail").select("id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("id")).alias("component"))
+        found = checkpoint(found.union(part))
     return _least_names(found)
 
 
+def _bypass(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Arcs with chains taken out, (id, head, tail) of their vertices, (id, component) of whole rings.
+
+    A vertex of one way in and one way out is of a chain; an arc from the chain's head to its tail stands in
+    for it. Both ends of every chain are found by pointer doubling; what never meets an end is a ring.
+    """
+    one = lambda at, to, name: arcs.groupBy(F.col(at).alias("id")).agg(F.count("*").alias("n"), F.min(to).alias(name)).where("n = 1").drop("n")
+    inside = checkpoint(one("dst", "src", "head").join(one("src", "dst", "tail"), "id"))
+    n = inside.count()
+    if not n:
+        return arcs, None, None
+    ways = inside.withColumn("least", F.col("id"))
+    for _ in range(n.bit_length() + 1):
+        a = ways.select(F.col("id").alias("head"), F.col("head").alias("h"), F.col("least").alias("m"))
+        b = ways.select(F.col("id").alias("tail"), F.col("tail").alias("t"))
+        new = ways.join(a, "head", "left").join(b, "tail", "left")
+        moved = F.col("h").isNotNull() | F.col("t").isNotNull()
+        ways = checkpoint(new.select("id", F.coalesce("h", "head").alias("head"), F.coalesce("t", "tail").alias("tail"), F.least("least", "m").alias("least"), moved.alias("moved")))
+        if ways.where("moved").isEmpty():
+            break
+        ways = ways.drop("moved")
+    ring = ways.join(inside.select(F.col("id").alias("head")), "head", "left_semi")
+    rings = checkpoint(ring.select("id", F.col("least").alias("component")))
+    taken = checkpoint(ways.join(rings, "id", "left_anti").select("id", "head", "tail"))
+    outer = arcs.join(inside.select(F.col("id").alias("src")), "src", "left_anti").join(inside.select(F.col("id").alias("dst")), "dst", "left_anti")
+    arcs = checkpoint(outer.select("src", "dst").union(taken.select("head", "tail").where("head != tail")).distinct())
+    return arcs, taken if not taken.isEmpty() else None, rings if not rings.isEmpty() else None
+
+
 def _least_names(found: DataFrame) -> DataFrame:
     names = found.groupBy("component").agg(F.min("id").alias("least"))
     return found.join(names, "component").select("id", F.col("least").alias("component"))

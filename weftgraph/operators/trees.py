@@ -6,32 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, Weight
-from weftgraph.operators.components import labels
 from weftgraph.operators.paths import all_pairs_dijkstra_path_lengths, all_pairs_dijkstra_shortest_paths
-from weftgraph.plans.fixpoint import checkpoint
+from weftgraph.plans.fixpoint import checkpoint, fixpoint, meet
 
 
 def minimum_spanning_edges(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
-    """eid, src, dst, w of a minimum spanning forest. A round takes the least (weight, edge id) out of
-    each part and merges the parts, so there are O(log n) rounds; ties cannot close a cycle."""
-    edges = checkpoint(graph.with_(directed=True).weighted(weight, default).where("src != dst"))
+    """eid, src, dst, w of a minimum spanning forest.
+
+    A round takes the least (weight, edge id) out of each part, merges parts along these edges by pointer
+    doubling and keeps of the edges between two merged parts the least one. Parts at least halve, so there
+    are O(log n) rounds on tables that shrink; edge ids break ties, so no cycle can close.
+    """
+    edges = checkpoint(graph.with_(directed=True).weighted(weight, default).where("src != dst").select("eid", "src", "dst", "w"))
     if not edges.where("isnan(w) OR w IS NULL").isEmpty():
         raise ValueError("a weight is not a number")
-    parts = checkpoint(graph.V.select("id", F.col("id").alias("component")))
-    taken = None
-    while True:
-        between = edges.join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a != b")
-        edges = checkpoint(between.select("eid", "src", "dst", "w", "a", "b"))
-        sides = edges.select("a", "eid", "w").union(edges.select("b", "eid", "w"))
-        best = sides.groupBy("a").agg(F.min(F.struct("w", "eid")).alias("m")).select(F.col("m.eid").alias("eid")).distinct()
-        new = checkpoint(edges.join(best, "eid", "left_semi"))
-        if new.isEmpty():
-            return taken if taken is not None else edges.select("eid", "src", "dst", "w")
-        taken = new.select("eid", "src", "dst", "w") if taken is None else taken.union(new.select("eid", "src", "dst", "w"))
-        quotient = Graph.from_edges(new.select("eid", F.col("a").alias("src"), F.col("b").alias("dst")), parts.select(F.col("component").alias("id")).distinct())
-        merged = labels(quotient)
-        parts = checkpoint(parts.join(merged.select(F.col("id").alias("component"), F.col("component").alias("c")), "component").select("id", F.col("c").alias("component")))
-        edges = edges.select("eid", "src", "dst", "w")
+    live, taken = _least_between(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("w", "eid").alias("m"))), None
+    while not live.isEmpty():
+        sides = live.select("a", "b", "m").union(live.select("b", "a", "m"))
+        best = sides.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("m", "b")).alias("t"))
+        best = checkpoint(best.select("id", F.col("t.b").alias("up"), F.col("t.m.eid").alias("eid")))
+        taken = best.select("eid") if taken is None else taken.union(best.select("eid"))
+        root, _, _ = fixpoint(_rooted(best), _double, lambda _, new: not new.where("up != old").isEmpty())
+        a, b = (root.select(F.col("id").alias(k), F.col("up").alias(k + k)) for k in "ab")
+        live = _least_between(meet(meet(live, a, "a"), b, "b").select(F.col("aa").alias("a"), F.col("bb").alias("b"), "m").where("a != b"))
+    return edges if taken is None else edges.join(taken.distinct(), "eid", "left_semi")
+
+
+def _least_between(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, m) the least m of each unordered pair."""
+    ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")
+    return checkpoint(ends.groupBy("a", "b").agg(F.min("m").alias("m")))
+
+
+def _rooted(best: DataFrame) -> DataFrame:
+    """id, up: of two that point at each other the lesser becomes a root, which points at itself."""
+    s = best.select("id", "up")
+    both = meet(s, s.select(F.col("id").alias("up"), F.col("up").alias("next")), "up")
+    return both.select("id", F.when((F.col("next") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up"), F.col("up").alias("old"))
+
+
+def _double(s: DataFrame, _: int) -> DataFrame:
+    far = s.select(F.col("id").alias("up"), F.col("up").alias("next"))
+    return meet(s.select("id", "up"), far, "up").select("id", F.col("next").alias("up"), F.col("up").alias("old"))
 
 
 def minimum_spanning_tree(graph: Graph, weight: Weight = None, default: float = 1.0) -> Graph:

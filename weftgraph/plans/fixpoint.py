@@ -9,6 +9,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key of more rows on the left side of ``meet`` gets its partner by broadcast.
+HOT = 500_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,10 +35,24 @@ def spot(spark: SparkSession) -> str:
     return path.toString()
 
 
+#: A plan whose size is estimated at more bits than this is written as a table: no real table is that large.
+UNREAL = 70
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in that folder."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """``df.checkpoint()`` in that folder; it keeps the partitioning, so the next join may need no shuffle.
+
+    It keeps the size estimate too, and a join multiplies those of its sides: where a loop joins a table
+    with itself the number of digits doubles each round, until planning alone takes minutes. Beyond UNREAL
+    the rows go to a Parquet table there instead, whose size is known again.
+    """
+    spark = df.sparkSession
+    folder(spark)
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= UNREAL or any(f.dataType.typeName() == "void" for f in df.schema):
+        return df.checkpoint()
+    path = spot(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], limit: int | None = None) -> tuple[DataFrame, int, bool]:
@@ -47,3 +65,18 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], chan
             return new, n, True
         state = new
     return state, n, False
+
+
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """The keys of more than HOT rows of ``left`` (so at most rows / HOT of them), counted before the shuffle."""
+    return checkpoint(left.groupBy(key).count().where(F.col("count") > HOT).select(key))
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, many: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, key)`` for a ``right`` of one row per key. Rows of hot keys (``many``, counted here if
+    not given) stay where they are and meet broadcast partners, so that no task gets all rows of such a key."""
+    many = hot_keys(left, key) if many is None else many
+    if many.isEmpty():
+        return left.join(right, key)
+    few, many = F.broadcast(right.join(F.broadcast(many), key, "left_semi")), F.broadcast(many)
+    return left.join(few, key).unionByName(left.join(many, key, "left_anti").join(right, key))
