@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontam, filter_audit, fingerprints, html_extract, minhash_dedup, quality, secrets, tokencount, toxicity
+from weftgraph.llm import bpe, chat, decontam, filter_audit, fingerprints, html_extract, minhash_dedup, quality, secrets, tokencount, toxicity, whitening
 from weftgraph.llm._util import table
 
 
@@ -52,12 +52,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_toxicity, op4_quality_knn, op5_chat_format, op6_fingerprint, op7_token_counts, op8_html_text, op9_decontamination, op10_byte_bpe, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_toxicity, op4_quality_knn, op5_chat_format, op6_fingerprint, op7_token_counts, op8_html_text, op9_decontamination, op10_byte_bpe, op11_whitening, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
