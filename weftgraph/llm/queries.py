@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, chat, decontam, filter_audit, fingerprints, html_extract, minhash_dedup, quality, secrets, tokencount, toxicity, whitening
+from weftgraph.llm import bpe, chat, decontam, exact_topk, filter_audit, fingerprints, html_extract, minhash_dedup, quality, secrets, tokencount, toxicity, whitening
 from weftgraph.llm._util import table
 
 
@@ -60,9 +60,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_toxicity, op4_quality_knn, op5_chat_format, op6_fingerprint, op7_token_counts, op8_html_text, op9_decontamination, op10_byte_bpe, op11_whitening, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_secret_scan, op3_toxicity, op4_quality_knn, op5_chat_format, op6_fingerprint, op7_token_counts, op8_html_text, op9_decontamination, op10_byte_bpe, op11_whitening, op12_filter_audit, op13_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_secret_scan": secrets.oracle_sql(), "op9_decontamination": decontam.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+    return {"op1_minhash_dedup": minhash_dedup.ORACLE, "op2_secret_scan": secrets.oracle_sql(), "op9_decontamination": decontam.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_exact_topk": exact_topk.ORACLE}
