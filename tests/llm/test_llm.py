@@ -392,6 +392,27 @@ def test_token_counts_of_random_texts_equal_the_library():
     assert count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_token_counts_of_all_code_points_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tok, count = Tokenizer.from_file(tokencount.MODEL), tokencount.counter(tokencount.MODEL, tokencount.prove())
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x20000 or i % 97 == 0 or i >= 0xE0000)]
+    for shape in ("*,{}", "a{}", "{}", "A{}\u0301", "x {}\u0323\u0301y"):
+        for at in range(0, len(points), 50_000):
+            texts = [shape.format(c) for c in points[at : at + 50_000]]
+            assert count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_counts_of_random_code_points_equal_the_library():
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(tokencount.MODEL), random.Random(7)
+    count = tokencount.counter(tokencount.MODEL, tokencount.prove())
+    marks = [chr(i) for i in range(0x300, 0x370)] + ["\u07fd", "\u0899", "\u058b", "\u1e9e", "\u0130", "\u212b", "\uac00", "\u1100", "\u1161"]
+    texts = ["".join(chr(rng.randrange(0xD800)) if rng.random() < 0.5 else rng.choice(marks + list(" \n'aZ9.")) for _ in range(rng.randint(0, 12))) for _ in range(60_000)]
+    assert count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_byte_bpe_equals_the_library(spark):
     docs = list(enumerate(TEXTS)) + [(3, "again"), (3, "again"), (50, " ".join(words(40_000, 4)))]
     df = spark.createDataFrame(docs, DOC).withColumn("ids", F.lit(1))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 from pyspark.sql import DataFrame
 
@@ -23,6 +22,8 @@ CACHE, LONGEST = 400_000, 64
 
 _state: dict = {}
 _separators = re.compile(r"[\x1c-\x1f]")
+#: What lies between ASCII white space. Neither normalising nor splitting reaches across it.
+_piece = re.compile(r"[^\t-\r ]+")
 #: Letters of byte-level vocabularies that stand for themselves; every other byte has another letter.
 _plain = re.compile(r"[\x21-\x7e]*")
 
@@ -92,31 +93,32 @@ def _library(path):
     return _state[path]
 
 
-def _normal(text: str) -> str:
-    """The model's normaliser: NFC, then each character lower-cased by itself."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
-
-
 def counter(path: str, whole: frozenset[str]):
     """A function from a list of texts to their numbers of tokens.
 
-    No pre-token crosses white space, so texts are cut there and each distinct piece is counted
-    once per worker: its pre-tokens that are whole tokens count 1, the others are merged.
+    No pre-token crosses ASCII white space, so texts are cut there and each distinct piece is counted once per
+    worker: its pre-tokens that are whole tokens count 1, the others are merged. Pieces of ASCII are lower-cased
+    and split here; all others go through the library's own normaliser and pre-tokeniser, since Python's
+    Unicode tables are of another version.
     """
     tok, pre, special, cache = _library(path)
     model, letters = tok.model, str.maketrans(byte_letters())
+    spelled = lambda word: word if _plain.fullmatch(word) else word.encode().decode("latin-1").translate(letters)
+    whole_spelled = frozenset(map(spelled, whole))
 
-    def merge(word):
-        return len(model.tokenize(word if _plain.fullmatch(word) else word.encode().decode("latin-1").translate(letters)))
+    def ascii_piece(words):
+        return sum(1 if w in whole else len(model.tokenize(spelled(w))) for w in pre.findall(words))
 
-    def piece(words):
-        return sum(1 if w in whole else merge(w) for w in pre.findall(words))
+    def other_piece(words):
+        found = tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(words))
+        return sum(1 if w in whole_spelled else len(model.tokenize(w)) for w, _ in found)
 
     def cut(text):
-        # U+001C to U+001F part words in Python, not in the model
-        return pre.findall(text) if _separators.search(text) else text.split()
+        if text.isascii():
+            text = text.lower()
+            # U+001C to U+001F part words in Python, not in the model
+            return pre.findall(text) if _separators.search(text) else text.split()
+        return [w.lower() if w.isascii() else w for w in _piece.findall(text)]
 
     def count(texts):
         found = []
@@ -126,10 +128,10 @@ def counter(path: str, whole: frozenset[str]):
                 parts = special.split(text)
                 n = len(parts) - 1
                 for part in parts:
-                    words += cut(_normal(part))
+                    words += cut(part)
             for w in words:
                 if (k := cache.get(w)) is None:
-                    k = piece(w)
+                    k = ascii_piece(w) if w.isascii() else other_piece(w)
                     if len(w) <= LONGEST:
                         if len(cache) >= CACHE:
                             cache.clear()
