@@ -28,32 +28,39 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _row (all columns), so that no column of the documents meets one of an operator's names."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that of the least id."""
-    found = Scratch(spark).save(minhash_dedup.linked_rows(docs, k=5, percent=80).select("doc_id", "h", "kept"))
+    found = Scratch(spark).save(minhash_dedup.linked_rows(docs, k=5, percent=80).select("doc_id", "h", "n_shingles", "kept"))
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     if gone.limit(BROADCAST + 1).count() <= BROADCAST:
         gone = F.broadcast(gone)
-    out = docs.withColumn("_hash", minhash_dedup.row_hash("text"))
+    out = whole_rows(docs).withColumn("_hash", minhash_dedup.row_hash("text"))
     out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
-    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1")
-    if not twice.isEmpty():  # one text repeated under one id
-        out = out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_hash"]))
-    return out.select(docs.columns)
+    twice = found.where("kept AND (doc_id IS NOT NULL OR n_shingles > 0)").groupBy("doc_id", "h").count().where("count > 1")
+    if not twice.isEmpty():  # one text repeated under one id, or without id; rows that have neither id nor words all stay
+        bare = F.col("doc_id").isNull() & F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) == "", F.lit(True))
+        out = out.where(bare).unionByName(out.where(~bare).dropDuplicates(["doc_id", "_hash"]))
+    return out.select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more stand in benchmark passages go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where("NOT contaminated").select(docs.columns)
+    found = decontam.contamination(whole_rows(docs), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where("NOT contaminated").select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; the documents stay."""
-    found = secrets.redact(secrets.find_secrets(docs))
+    found = secrets.redact(secrets.find_secrets(whole_rows(docs)))
+    row = F.col("_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+        row = row.withField("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
+    return found.select(row.alias("_row")).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

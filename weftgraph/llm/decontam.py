@@ -110,11 +110,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", it
         (a, s) -> named_struct('n', a.n + greatest(s.hi - greatest(s.lo, a.end + 1) + 1, 0L), 'end', greatest(a.end, s.hi)), a -> a.n)"""
     per = found.groupBy("uid").agg(F.expr(union).alias("n_hit"), F.expr("array_sort(collect_set(cast(item.k AS string)))").alias("items"))
     per = per.select("uid", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
-    per = scratch.save(per)
+    per = scratch.save(per).withColumnRenamed("uid", "__uid")
     if per.limit(BROADCAST + 1).count() <= BROADCAST:
         per = F.broadcast(per)
-    d = docs.withColumns({"uid": uid(doc_key, text), "n_words": F.size(words(F.col(text))).cast("bigint")})
-    res = d.join(per, "uid", "left").drop("uid")
+    d = docs.withColumns({"__uid": uid(doc_key, text), "n_words": F.size(words(F.col(text))).cast("bigint")})
+    res = d.join(per, "__uid", "left").drop("__uid")
     res = res.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256))})
     return res.withColumn("contaminated", F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words"))
 

@@ -225,7 +225,7 @@ def deal(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str =
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, c: the least label ``m`` that a node of ``nodes`` (node, m) reaches over ``links`` (a, b).
+    """node, c: the least label ``m`` that a node of ``nodes`` (node, m) reaches over ``links`` (a, b); no label is null.
 
     Each round passes labels along the links and then follows the labels themselves, so long
     chains shorten quickly; tables are written each round, which cuts the lineage.
@@ -261,18 +261,20 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
         import numpy as np
         import pyarrow as pa
 
-        hub = None
+        hub, now = None, None
         for batch in slices(batches):
             a, b = [], []
-            h, kind, node, sk, st = (batch[c].to_pylist() for c in ("hub", "kind", "node", "sk", "st"))
+            h, salt, kind, node, sk, st = (batch[c].to_pylist() for c in ("hub", "salt", "kind", "node", "sk", "st"))
             at = 0
             while at < len(h):
                 if kind[at] == 0:
-                    hub = (node[at], np.frombuffer(sk[at], np.uint16), np.frombuffer(st[at], np.uint64))
+                    hub, now = (node[at], np.frombuffer(sk[at], np.uint16), np.frombuffer(st[at], np.uint64)), (h[at], salt[at])
                     at += 1
                     continue
+                if now != (h[at], salt[at]):
+                    raise RuntimeError("members of a bucket came without its hub")
                 to = at
-                while to < len(h) and kind[to] == 1:
+                while to < len(h) and kind[to] == 1 and (h[to], salt[to]) == now:
                     to += 1
                 sks = np.frombuffer(b"".join(sk[at:to]), np.uint16).reshape(to - at, -1)
                 ns = np.array([len(x) // 8 for x in st[at:to]])
@@ -290,7 +292,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, hot: DataFra
     """Links between components within buckets: ``members`` (key, node, c, odd) lists the nodes of open
     buckets; each odd one is compared with every node of another component, block by block."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.sum(F.col("odd").cast("int")) / BLOCK).cast("int").alias("no"))
-    m = deal(members, scratch.save(sizes), "key", hot).withColumn("h", F.xxhash64("node"))
+    m = deal(members, scratch.save(sizes), "key", hot).withColumns({"h": F.xxhash64("node"), "c": F.col("c").cast("string")})
     left = m.where("odd").select("key", F.expr("cast(pmod(h, no) AS int)").alias("ob"), F.explode(F.expr("sequence(0, nb - 1)")).alias("mb"), F.lit(0).alias("kind"), "node", "c")
     right = m.select("key", F.explode(F.expr("sequence(0, no - 1)")).alias("ob"), F.expr("cast(pmod(h, nb) AS int)").alias("mb"), F.lit(1).alias("kind"), "node", "c")
     rows = left.unionByName(right).join(sets, "node").repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb", "kind")
@@ -340,8 +342,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are parted by ASCII white space and lower-cased A-Z; a document's set holds its distinct
     k-word shingles (with fewer words the whole as one). Documents are linked if
     100 * intersection >= percent * union. Null and empty texts have no set and link with nothing.
-    Repeated rows fall in one component; rows of a null doc_id are never kept unless alone
-    without an id to share. Other columns are not read.
+    Repeated rows fall in one component. Rows without doc_id take part like others: they get the least doc_id that
+    they reach, or null where none of their component has one, and are not kept if it has. Of a component without
+    any doc_id the rows of one text are kept. Long texts count whole; no rows give none; other columns are not read.
     """
     found = linked_rows(docs, k, percent)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -358,7 +361,10 @@ def linked_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select("doc_id", row_hash("text").alias("h"), "text")
     sig = scratch.save(signatures(docs, k))
-    nodes = scratch.save(sig.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), F.first("keys").alias("keys"), F.count("*").alias("count")))
+    # a node's label: its least doc_id, or behind all of those a hash of itself; its text: that of the row with the least id
+    nodes = sig.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("of"), F.first("keys").alias("keys"), F.count("*").alias("count"))
+    label = F.struct(F.col("of.none").alias("none"), F.coalesce("of.doc_id", F.xxhash64("node")).alias("id"))
+    nodes = scratch.save(nodes.select("node", label.alias("m"), F.struct("of.doc_id", "of.h").alias("of"), "keys", "count"))
     copied = hot_keys(nodes, "node", scratch)
     keyed = nodes.select("node", "m", F.posexplode("keys").alias("band", "key"))
     many = scratch.save(keyed.groupBy("key").count().where("count > 1"))
@@ -368,8 +374,8 @@ def linked_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # the hub: one node per bucket, by an order that differs between groups of bands
     hubs = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("m", F.col("band") % 6)).alias("hub"))
     hubs = scratch.save(hubs)
-    wanted = scratch.save(rows.select("m").distinct())
-    texts = docs.join(_small(wanted.withColumnRenamed("m", "doc_id")), "doc_id", "left_semi")
+    wanted = scratch.save((nodes.join(_small(rows.select("node").distinct()), "node", "left_semi")).select(F.col("of.doc_id").alias("id_"), F.col("of.h").alias("h_")).distinct())
+    texts = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi")
     sets = node_sets(texts, k).join(_small(rows.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.save(sets)
     pairs = deal(rows, hubs, "key", hot).where("node != hub")
@@ -385,11 +391,12 @@ def linked_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         more = _block_links(members, sets, percent, hot, scratch)
         if not more.isEmpty():
             state = components(nodes, links.union(more), scratch)
-    final = scratch.save(nodes.select("node", "m").join(state, "node", "left").select("node", F.coalesce("c", "m").alias("component_id")))
+    final = nodes.select("node", "m").join(state, "node", "left").withColumn("c", F.coalesce("c", "m"))
+    final = scratch.save(final.select("node", F.when(~F.col("c.none"), F.col("c.id")).alias("component_id"), (F.col("c") == F.col("m")).alias("own")))
     out = sig.select("doc_id", "h", "n_shingles", "node")
-    out = deal(out.where("node IS NOT NULL"), final, "node", copied).unionByName(out.where("node IS NULL").withColumn("component_id", F.col("doc_id")))
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "h")
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = deal(out.where("node IS NOT NULL"), final, "node", copied).unionByName(out.where("node IS NULL").withColumns({"component_id": F.col("doc_id"), "own": F.lit(True)}))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | F.col("own"))
+    return out.select("doc_id", "n_shingles", "component_id", "h", kept.alias("kept"))
 
 
 ORACLE = r"""
