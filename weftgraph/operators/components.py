@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.errors import InvalidNode, NullGraph
-from weftgraph.graph import Graph, Weight
+from weftgraph.graph import Graph, Weight, number
+from weftgraph.operators import biconnectivity, local
 from weftgraph.operators import kernels as K
-from weftgraph.operators.local import as_whole, by_component
+from weftgraph.operators.local import as_whole, by_component, by_size, within
 from weftgraph.plans import fixpoint as fix
 from weftgraph.plans.fixpoint import checkpoint, fixpoint, hot_keys, meet
 
@@ -67,104 +68,71 @@ def node_connected_component(graph: Graph, node: int) -> DataFrame:
     return reach(graph.with_(directed=False), graph.node_frame([node]))
 
 
-#: Layers of vertices without a way in or out that are trimmed before chains are taken out.
-LAYERS = 2
-
-
 def strongly_connected_components(graph: Graph) -> DataFrame:
     """id, component: the least id of each strong component.
 
-    Rounds of trimming and colouring: every vertex takes the least id that reaches it; going back
-    from each colour's root inside the colour gives one strong component per colour and round.
-    Every few layers, and before colours spread, chains and rings are taken out by pointer doubling, so one of
-    n vertices costs O(log n) rounds.
+    Parts of up to PART_ROWS vertices and arcs are solved in a task each. Larger ones are split: vertices get a
+    random rank, and each takes the least rank that reaches it and the least that it reaches. Whatever shares a strong
+    component shares both; where both are the same vertex, that is its component. The part's least rank
+    is a pivot for all others, and every other rank one among those that see no lesser, so parts fall apart
+    like ranges in a quicksort. See :func:`extremes` for why a round per step of a path is not needed.
     """
-    rest = checkpoint(graph.V.select("id"))
     arcs = checkpoint(graph.E.select("src", "dst").where("src != dst").distinct())
-    done, chains = [], []
-    while True:
-        layer = 0
-        while True:  # trim: no way in or no way out among the rest
-            alone = rest.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti").union(rest.join(arcs.select(F.col("src").alias("id")), "id", "left_anti")).distinct()
-            alone = checkpoint(alone)
-            trimmed = not alone.isEmpty()
-            if trimmed:
-                done.append(alone.select("id", F.col("id").alias("component")))
-                rest = checkpoint(rest.join(alone, "id", "left_anti"))
-                arcs = checkpoint(_within(arcs, rest))
-                layer += 1
-                if layer % LAYERS:
-                    continue
-            arcs, taken, rings = _bypass(arcs)
-            if rings is not None:
-                done.append(rings)
-                rest = checkpoint(rest.join(rings, "id", "left_anti"))
-            if taken is not None:
-                chains.append(taken)
-                rest = checkpoint(rest.join(taken, "id", "left_anti"))
-            if not trimmed and taken is None and rings is None:
-                break
+    if within(local.PART_ROWS, graph.V, arcs):
+        return as_whole(graph.with_(E=graph.E.where("src != dst"), directed=True), K.strong_components, "id bigint, component bigint")
+    rank = checkpoint(number(graph.V.select("id").withColumns({"rank": F.lit(0), "h": F.xxhash64("id")}), "rank", ["h", "id"]).select("id", "rank"))
+    arcs = meet(meet(arcs, rank.select(F.col("id").alias("src"), F.col("rank").alias("a")), "src"), rank.select(F.col("id").alias("dst"), F.col("rank").alias("b")), "dst")
+    arcs = checkpoint(arcs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0).cast("bigint").alias("part")))
+    rest = checkpoint(rank.select(F.col("rank").alias("id"), F.lit(0).cast("bigint").alias("part")))
+    found = []
+    while not rest.isEmpty():
+        sizes = rest.select("part").union(arcs.select("part")).groupBy("part").count()
+        large = checkpoint(sizes.where(F.col("count") > local.PART_ROWS).select("part"))  # at most rows / PART_ROWS
+        of = F.broadcast(large)
+        found.append(checkpoint(_small_parts(rest.join(of, "part", "left_anti"), arcs.join(of, "part", "left_anti"))))
+        rest, arcs = checkpoint(rest.join(of, "part", "left_semi")), checkpoint(arcs.join(of, "part", "left_semi"))
         if rest.isEmpty():
             break
+        seen = checkpoint(extremes(rest.select("id"), arcs).join(rest, "id"))
+        found.append(seen.where("f = b").select("id", F.col("f").alias("component")))
+        rest = checkpoint(seen.where("f != b").select("id", F.xxhash64("part", "f", "b").alias("part")))
+        arcs = meet(meet(arcs.select("src", "dst"), rest.select(F.col("id").alias("src"), "part"), "src"), rest.select(F.col("id").alias("dst"), F.col("part").alias("to")), "dst")
+        arcs = checkpoint(arcs.where("part = to").select("src", "dst", "part"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return _least_names(checkpoint(meet(every.withColumnRenamed("id", "rank"), rank, "rank").select("id", "component")))
+
+
+def _small_parts(rest: DataFrame, arcs: DataFrame) -> DataFrame:
+    one = F.lit(None).cast("string")
+    g = Graph(rest.select("id", one.alias("payload")), arcs.select(F.lit(0).cast("bigint").alias("eid"), "src", "dst", one.alias("payload")), True)
+    return by_component(g, K.strong_components, "id bigint, component bigint", parts=rest.select("id", F.col("part").alias("component")))
+
 
-        def spread(s: DataFrame, _: int, arcs: DataFrame = arcs) -> DataFrame:
-            m = arcs.join(s.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            return s.join(m, "id", "left").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-
-        colour, _, _ = fixpoint(rest.select("id", F.col("id").alias("old"), F.col("id").alias("c")), spread, lambda _, new: not new.where("c < old").isEmpty())
-        colour = checkpoint(colour.select("id", "c"))
-        inner = arcs.join(colour.select(F.col("id").alias("src"), "c"), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("d")), "dst").where("c = d").select("src", "dst", "c")
-        inner = checkpoint(inner)
-        seen = colour.where("id = c")
-        front = seen
-        while True:
-            back = inner.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct().join(seen, ["id", "c"], "left_anti")
-            back = checkpoint(back)
-            if back.isEmpty():
-                break
-            seen, front = checkpoint(seen.union(back)), back
-        done.append(seen.select("id", F.col("c").alias("component")))
-        rest = checkpoint(rest.join(seen, "id", "left_anti"))
-        arcs = checkpoint(_within(arcs, rest))
-    found = None
-    for part in done:
-        found = part if found is None else found.union(part)
-    if found is None:
-        return graph.V.select("id", F.col("id").alias("component"))
-    for taken in reversed(chains):  # a chain is in the component of its two ends if they share one
-        head, tail = (found.select(F.col("id").alias(k), F.col("component").alias(c)) for k, c in (("head", "a"), ("tail", "b")))
-        part = taken.join(head, "head").join(tail, "tail").select("id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("id")).alias("component"))
-        found = checkpoint(found.union(part))
-    return _least_names(found)
-
-
-def _bypass(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Arcs with chains taken out, (id, head, tail) of their vertices, (id, component) of whole rings.
-
-    A vertex of one way in and one way out is of a chain; an arc from the chain's head to its tail stands in
-    for it. Both ends of every chain are found by pointer doubling; what never meets an end is a ring.
+def extremes(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
+    """id, f, b: the least id that reaches each vertex and the least that it reaches, itself included.
+
+    Besides passing values along arcs, a vertex takes over what the vertex it names has found: who reaches that one
+    reaches it too. With ids in random order the span over which a value is the least grows by a
+    factor each round instead of a step, so long paths and layers take about log n rounds.
     """
-    one = lambda at, to, name: arcs.groupBy(F.col(at).alias("id")).agg(F.count("*").alias("n"), F.min(to).alias(name)).where("n = 1").drop("n")
-    inside = checkpoint(one("dst", "src", "head").join(one("src", "dst", "tail"), "id"))
-    n = inside.count()
-    if not n:
-        return arcs, None, None
-    ways = inside.withColumn("least", F.col("id"))
-    for _ in range(n.bit_length() + 1):
-        a = ways.select(F.col("id").alias("head"), F.col("head").alias("h"), F.col("least").alias("m"))
-        b = ways.select(F.col("id").alias("tail"), F.col("tail").alias("t"))
-        new = ways.join(a, "head", "left").join(b, "tail", "left")
-        moved = F.col("h").isNotNull() | F.col("t").isNotNull()
-        ways = checkpoint(new.select("id", F.coalesce("h", "head").alias("head"), F.coalesce("t", "tail").alias("tail"), F.least("least", "m").alias("least"), moved.alias("moved")))
-        if ways.where("moved").isEmpty():
-            break
-        ways = ways.drop("moved")
-    ring = ways.join(inside.select(F.col("id").alias("head")), "head", "left_semi")
-    rings = checkpoint(ring.select("id", F.col("least").alias("component")))
-    taken = checkpoint(ways.join(rings, "id", "left_anti").select("id", "head", "tail"))
-    outer = arcs.join(inside.select(F.col("id").alias("src")), "src", "left_anti").join(inside.select(F.col("id").alias("dst")), "dst", "left_anti")
-    arcs = checkpoint(outer.select("src", "dst").union(taken.select("head", "tail").where("head != tail")).distinct())
-    return arcs, taken if not taken.isEmpty() else None, rings if not rings.isEmpty() else None
+    ins, outs = hot_keys(arcs, "src"), hot_keys(arcs, "dst")
+    big = not within(fix.HOT, vertices)
+
+    def step(s: DataFrame, _: int) -> DataFrame:
+        down = meet(arcs, s.select(F.col("id").alias("src"), "f"), "src", ins).select(F.col("dst").alias("id"), F.col("f").alias("mf"), F.lit(None).cast("bigint").alias("mb"))
+        back = meet(arcs, s.select(F.col("id").alias("dst"), "b"), "dst", outs).select(F.col("src").alias("id"), F.lit(None).cast("bigint").alias("mf"), F.col("b").alias("mb"))
+        near = down.union(back).groupBy("id").agg(F.min("mf").alias("mf"), F.min("mb").alias("mb"))
+        new = checkpoint(s.select("id", F.col("f").alias("of"), F.col("b").alias("ob")).join(near, "id", "left").select("id", "of", "ob", F.least("of", "mf").alias("f"), F.least("ob", "mb").alias("b")))
+        for name in "fb":
+            up = new.select(F.col("id").alias(name), F.col(name).alias("x"))
+            new = (meet(new, up, name) if big else new.join(up, name)).withColumn(name, F.least(name, "x")).select("id", "of", "ob", "f", "b")
+        return new
+
+    start = vertices.select("id", *(F.col("id").alias(c) for c in ("of", "ob", "f", "b")))
+    out, _, _ = fixpoint(start, step, lambda _, new: not new.where("f < of OR b < ob").isEmpty())
+    return out.select("id", "f", "b")
 
 
 def _least_names(found: DataFrame) -> DataFrame:
@@ -172,10 +140,6 @@ def _least_names(found: DataFrame) -> DataFrame:
     return found.join(names, "component").select("id", F.col("least").alias("component"))
 
 
-def _within(arcs: DataFrame, rest: DataFrame) -> DataFrame:
-    return arcs.join(rest.select(F.col("id").alias("src")), "src", "left_semi").join(rest.select(F.col("id").alias("dst")), "dst", "left_semi")
-
-
 def number_strongly_connected_components(graph: Graph) -> int:
     return strongly_connected_components(graph).select("component").distinct().count()
 
@@ -226,17 +190,41 @@ def isolates(graph: Graph) -> DataFrame:
     return graph.V.select("id").join(ends, "id", "left_anti")
 
 
+def _sized(graph: Graph, kernel, schema: str, far) -> DataFrame:
+    """``kernel`` for small components, each in a task, and ``far`` (a function of the graph) for large ones."""
+    small, large = by_size(graph)
+    near = None if small is None else by_component(graph, kernel, schema, parts=small)
+    if large is None:
+        return near
+    return far(large) if near is None else near.union(far(large))
+
+
 def articulation_points(graph: Graph) -> DataFrame:
-    return by_component(graph.with_(directed=False), K.articulation, "id bigint")
+    """id of every vertex whose removal parts its component: those that lie in two blocks or more."""
+
+    def far(g: Graph) -> DataFrame:
+        tree = biconnectivity.blocks(g)[0]
+        at = tree.select("id", "block").union(tree.select("parent", "block")).distinct()
+        return at.groupBy("id").count().where("count > 1").select("id")
+
+    return _sized(graph.with_(directed=False), K.articulation, "id bigint", far)
 
 
 def bridges(graph: Graph) -> DataFrame:
-    return by_component(graph.with_(directed=False), K.bridges, "src bigint, dst bigint")
+    """src, dst of every edge whose removal parts its component, as the edge is given."""
+    return _sized(graph.with_(directed=False), K.bridges, "src bigint, dst bigint", biconnectivity.bridges)
 
 
 def biconnected_components(graph: Graph) -> DataFrame:
-    """src, dst, comp; comp is the least edge id of the component."""
-    return by_component(graph.with_(directed=False), K.biconnected, "src bigint, dst bigint, comp bigint")
+    """src, dst, comp; comp is the least edge id of the component. Self-loops belong to none."""
+
+    def far(g: Graph) -> DataFrame:
+        tree, others = biconnectivity.blocks(g)
+        edges = checkpoint(tree.select(F.col("via").alias("eid"), "block").union(others))
+        names = edges.groupBy("block").agg(F.min("eid").alias("comp"))
+        return g.E.join(meet(edges, names, "block").select("eid", "comp"), "eid").select("src", "dst", "comp")
+
+    return _sized(graph.with_(directed=False), K.biconnected, "src bigint, dst bigint, comp bigint", far)
 
 
 def chain_decomposition(graph: Graph, source: int | None = None) -> DataFrame:

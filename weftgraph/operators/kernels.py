@@ -210,6 +210,40 @@ def _strong(adj, s, within):
     return walk(lambda v: adj[v]) & walk(lambda v: back.get(v, ()))
 
 
+def strong_components(g):
+    """(id, least id of its strong component): a depth-first search whose path is cut into components as it grows."""
+    when, ends, path, got = {}, [], [], {}
+    for root in g.ids:
+        if root in when:
+            continue
+        todo = [(root, iter(g.out[root]))]
+        when[root] = len(when)
+        path.append(root)
+        ends.append(root)
+        while todo:
+            v, arcs = todo[-1]
+            for x, *_ in arcs:
+                if x not in when:
+                    when[x] = len(when)
+                    path.append(x)
+                    ends.append(x)
+                    todo.append((x, iter(g.out[x])))
+                    break
+                if x not in got:  # on the path: all that was opened after x is one with it
+                    while when[ends[-1]] > when[x]:
+                        ends.pop()
+            else:
+                todo.pop()
+                if ends[-1] == v:
+                    ends.pop()
+                    block = []
+                    while not block or block[-1] != v:
+                        block.append(path.pop())
+                    least = min(block)
+                    got.update((y, least) for y in block)
+    return list(got.items())
+
+
 def find_cycle(g, source=None):
     """The first cycle that a depth-first search closes."""
     state = {}

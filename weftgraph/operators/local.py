@@ -86,10 +86,45 @@ def _split(schema: str) -> list[str]:
     return [*out, cur]
 
 
-def by_component(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0, node: Column | None = None, edge: Column | None = None) -> DataFrame:
+def by_component(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0, node: Column | None = None, edge: Column | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """``parts`` (id, component) limits the kernel to some components; without it all take part."""
     from weftgraph.operators.components import labels
 
-    return _apply(_rows(graph, labels(graph), weight, default, node, edge), kernel, schema, graph.directed)
+    return _apply(_rows(graph, labels(graph) if parts is None else parts, weight, default, node, edge), kernel, schema, graph.directed)
+
+
+#: Vertices and edges of components that a kernel takes where a distributed form exists for larger ones.
+PART_ROWS = 40_000
+
+
+def within(rows: int, *frames: DataFrame) -> bool:
+    """Whether all frames together have at most so many rows; counts no further."""
+    for df in frames:
+        rows -= df.limit(rows + 1).count()
+        if rows < 0:
+            return False
+    return True
+
+
+def by_size(graph: Graph) -> tuple[DataFrame | None, Graph | None]:
+    """(id, component) of the components of up to PART_ROWS vertices and edges, for kernels, and the graph of the
+    larger ones, whose vertices have ``component`` as their payload; None where there are none. A graph of so few
+    rows is one part."""
+    from weftgraph.operators.components import labels
+    from weftgraph.plans.fixpoint import checkpoint, meet
+
+    if within(PART_ROWS, graph.V, graph.E):
+        return graph.V.select("id", F.lit(0).cast("bigint").alias("component")), None
+    parts = checkpoint(labels(graph))
+    ends = meet(graph.E.select(F.col("src").alias("id")), parts, "id").select("component")
+    sizes = parts.select("component").union(ends).groupBy("component").count()
+    large = checkpoint(sizes.where(F.col("count") > PART_ROWS).select("component"))
+    if large.isEmpty():
+        return parts, None
+    far = checkpoint(parts.join(F.broadcast(large), "component", "left_semi"))  # at most rows / PART_ROWS components
+    E = graph.E.join(far.select(F.col("id").alias("src")), "src", "left_semi").select("eid", "src", "dst", "payload")
+    small = checkpoint(parts.join(F.broadcast(large), "component", "left_anti"))
+    return None if small.isEmpty() else small, graph.with_(far.select("id", F.col("component").alias("payload")), checkpoint(E))
 
 
 def as_whole(graph: Graph, kernel, schema: str, weight: Weight = None, default: float = 1.0, node: Column | None = None, edge: Column | None = None) -> DataFrame:
