@@ -9,9 +9,9 @@ from weftgraph.errors import GraphNotBipartite, InvalidMapping
 from weftgraph.graph import Graph, Weight
 from weftgraph.operators import kernels as K
 from weftgraph.operators.components import labels
-from weftgraph.operators.local import as_whole, by_component
+from weftgraph.operators.local import as_whole, by_component, by_size
 from weftgraph.operators.traversal import bfs_distances
-from weftgraph.plans.fixpoint import checkpoint
+from weftgraph.plans.fixpoint import checkpoint, hot_keys, meet
 
 
 def two_color(graph: Graph) -> DataFrame | None:
@@ -27,9 +27,65 @@ def _adjacency(g):
 
 
 def greedy_color(graph: Graph, preset: dict[int, int] | None = None, strategy: str = "degree") -> DataFrame:
-    """id, color; strategies degree, saturation, independent_set; parts are coloured in parallel."""
+    """id, color; strategies degree, saturation, independent_set; parts are coloured in parallel.
+
+    By degree, components of more than PART_ROWS vertices and edges are coloured in rounds (:func:`colored_in_rounds`) with
+    the same result; the other strategies choose the next vertex by all colours so far and stay sequential.
+    """
     given = dict(preset or {})
-    return by_component(graph, lambda g: list(K.greedy_colors(_adjacency(g), {v: c for v, c in given.items() if v in g.out}, strategy).items()), "id bigint, color bigint")
+    kernel, schema = lambda g: list(K.greedy_colors(_adjacency(g), {v: c for v, c in given.items() if v in g.out}, strategy).items()), "id bigint, color bigint"
+    if strategy != "degree":
+        return by_component(graph, kernel, schema)
+    small, large = by_size(graph)
+    near = None if small is None else by_component(graph, kernel, schema, parts=small)
+    if large is None:
+        return near
+    far = colored_in_rounds(large, given)
+    return far if near is None else near.union(far)
+
+
+def colored_in_rounds(graph: Graph, preset: dict[int, int]) -> DataFrame:
+    """id, color: the greedy colouring by falling degree, then id (after the preset vertices), where a vertex takes the least colour that is free as
+    soon as all neighbours before it have theirs. Every round colours all such vertices, so there are as many
+    rounds as the longest chain of neighbours in that order; each arc is a message once."""
+    arcs = checkpoint(graph.E.select("src", "dst").union(graph.E.select("dst", "src")).where("src != dst").distinct())
+    order = graph.V.select("id").join(arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
+    if preset:
+        given = graph.spark.createDataFrame([(int(v), int(c)) for v, c in preset.items()], "id bigint, color bigint")
+        order = order.join(given, "id", "left")
+    else:
+        order = order.withColumn("color", F.lit(None).cast("bigint"))
+    order = checkpoint(order)
+    # arcs lead from earlier vertices to later ones that are not coloured yet
+    rank = lambda c, d: F.struct(F.col(c).isNull(), -F.col(d), F.col("src" if d == "ds" else "dst"))
+    both = meet(arcs, order.select(F.col("id").alias("src"), F.col("d").alias("ds"), F.col("color").alias("cs")), "src")
+    both = meet(both, order.select(F.col("id").alias("dst"), F.col("d").alias("dd"), F.col("color").alias("cd")), "dst")
+    ahead = checkpoint(both.where("cd IS NULL").where(rank("cs", "ds") < rank("cd", "dd")).select("src", "dst"))
+    waits = ahead.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    done = checkpoint(order.where("color IS NOT NULL").select("id", "color"))
+    left = checkpoint(order.where("color IS NULL").select("id").join(waits, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+    left = left.withColumn("colors", F.array().cast("array<bigint>"))
+    front, parts, m = done, [done], left.count()
+    hubs = hot_keys(ahead, "src")
+    while True:
+        told = meet(ahead, front.select(F.col("id").alias("src"), "color"), "src", hubs).select(F.col("dst").alias("id"), "color")
+        heard = checkpoint(told.groupBy("id").agg(F.count("*").alias("c"), F.collect_set("color").alias("colors")))
+        left = left.join(heard.withColumnRenamed("colors", "more"), "id", "left").select("id", (F.col("n") - F.coalesce("c", F.lit(0))).alias("n"), F.array_union("colors", F.coalesce("more", F.array().cast("array<bigint>"))).alias("colors"))
+        left = checkpoint(left)
+        ready = left.where("n = 0").select("id", F.expr("array_min(array_except(sequence(0L, cast(size(colors) AS bigint)), colors))").alias("color"))
+        front = checkpoint(ready)
+        k = front.count()
+        if not k:
+            break
+        parts.append(front)
+        left = left.where("n > 0")
+        m -= k
+        if not m:
+            break
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def _edge_adjacency(g):

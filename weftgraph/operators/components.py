@@ -232,7 +232,18 @@ def chain_decomposition(graph: Graph, source: int | None = None) -> DataFrame:
 
 
 def cycle_basis(graph: Graph, root: int | None = None) -> DataFrame:
-    return as_whole(graph.with_(directed=False), lambda g: K.cycle_basis(g, root), "cycle array<bigint>")
+    """cycle: a basis of cycles, those that edges outside a spanning forest close (of the root's component, if given)."""
+    from weftgraph.operators.cycles import fundamental_cycles
+
+    g, schema = graph.with_(directed=False), "cycle array<bigint>"
+    if within(local.PART_ROWS, g.V, g.E):
+        return as_whole(g, lambda part: K.cycle_basis(part, root), schema)
+    small, large = by_size(g)
+    far = None if large is None else fundamental_cycles(large, root)
+    if small is None:
+        return far
+    near = by_component(g, lambda part: K.cycle_basis(part, root) if root is None or root in part.out else [], schema, parts=small)
+    return near if far is None else near.union(far)
 
 
 def simple_cycles(graph: Graph) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from weftgraph.errors import DAGHasCycle, InvalidNode, NullGraph
 from weftgraph.graph import Graph, Weight, condition, number
 from weftgraph.operators import kernels as K
+from weftgraph.operators.cycles import chain_up
+from weftgraph.operators.euler import lifted
 from weftgraph.operators.local import as_whole, by_component
 from weftgraph.operators.traversal import reach
-from weftgraph.plans.fixpoint import checkpoint
+from weftgraph.plans.fixpoint import checkpoint, meet
 
 
 def _generations(graph: Graph) -> tuple[DataFrame, bool]:
@@ -60,37 +62,47 @@ def lexicographical_topological_sort(graph: Graph, key, reverse: bool = False, i
 
 
 def _longest(graph: Graph, weight: Weight, integer: bool, default: float = 1.0) -> DataFrame:
-    """id, generation, dist, via: the greatest sum of weights of a path that ends in each vertex, 0 at least."""
+    """id, generation, dist, via: the greatest sum of weights of a path that ends in each vertex, 0 at least.
+
+    Generation by generation; a generation meets only those that its arcs come from.
+    """
     gens = checkpoint(topological_generations(graph))
     kind = "bigint" if integer else "double"
-    arcs = checkpoint(graph.weighted(weight, default).select("eid", "src", "dst", F.col("w").cast(kind).alias("w")))
+    arcs = graph.weighted(weight, default).select("eid", "src", "dst", F.col("w").cast(kind).alias("w"))
+    arcs = meet(meet(arcs, gens.select(F.col("id").alias("src"), F.col("generation").alias("g")), "src"), gens.select(F.col("id").alias("dst"), F.col("generation").alias("h")), "dst")
+    arcs = checkpoint(arcs)
     if not integer and not arcs.where("isnan(w)").isEmpty():
         raise ValueError("a weight is not a number")
-    last = gens.agg(F.max("generation")).head()[0]
-    state = None
+    feeds: dict[int, list[int]] = {}
+    for r in arcs.select("g", "h").distinct().collect():  # at most a row per pair of generations, each of which is a job anyway
+        feeds.setdefault(r.h, []).append(r.g)
+    last, layers = gens.agg(F.max("generation")).head()[0], []
     for g in range(0 if last is None else last + 1):
         layer = gens.where(F.col("generation") == g).select("id", "generation")
-        if state is None:
+        if not g:
             new = layer.select("id", "generation", F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("bigint").alias("via"))
         else:
-            into = arcs.join(layer.select(F.col("id").alias("dst")), "dst").join(state.select(F.col("id").alias("src"), "dist"), "src")
+            before = None
+            for f in feeds[g]:
+                before = layers[f] if before is None else before.union(layers[f])
+            into = meet(arcs.where(F.col("h") == g), before.select(F.col("id").alias("src"), "dist"), "src")
             best = into.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("eid"), F.col("src"))).alias("m"))
             new = layer.join(best, "id", "left").select("id", "generation", F.greatest(F.coalesce("m.d", F.lit(0)), F.lit(0)).cast(kind).alias("dist"), F.when(F.col("m.d") >= 0, F.col("m.src")).alias("via"))
-        new = checkpoint(new)
-        state = new if state is None else state.union(new)
-    return state if state is not None else graph.V.limit(0).select("id", F.lit(0).cast("bigint").alias("generation"), F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("bigint").alias("via"))
+        layers.append(checkpoint(new))
+    if not layers:
+        return graph.V.limit(0).select("id", F.lit(0).cast("bigint").alias("generation"), F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("bigint").alias("via"))
+    out = layers[0]
+    for more in layers[1:]:
+        out = out.union(more)
+    return out
 
 
 def _longest_path(state: DataFrame) -> list[int]:
+    """The path to the farthest vertex: ancestors along ``via``, found by doubling."""
     state = checkpoint(state)
-    head = state.orderBy(F.desc("dist"), "id").head()
-    if head is None:
-        return []
-    path, via = [head.id], head.via
-    while via is not None:
-        path.append(via)
-        via = state.where(F.col("id") == via).head().via
-    return path[::-1]
+    head = state.orderBy(F.desc("dist"), "id").limit(1)
+    tables = lifted(state.select("id", F.col("via").alias("parent")))
+    return [r.id for r in chain_up(tables, head).orderBy(F.desc("pos")).collect()]
 
 
 def dag_longest_path(graph: Graph, weight: Weight = None) -> list[int]:
