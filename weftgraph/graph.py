@@ -76,9 +76,9 @@ class Graph:
         return self.V.sparkSession
 
     def cached(self) -> Graph:
-        from weftgraph.plans.fixpoint import checkpoint
+        from weftgraph.plans.fixpoint import written
 
-        return self.with_(checkpoint(self.V), checkpoint(self.E))
+        return self.with_(written(self.V), written(self.E))
 
     def save(self, path: str) -> None:
         """Parquet tables that keep ids and holes, and the graph's settings."""

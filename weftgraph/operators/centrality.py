@@ -13,7 +13,7 @@ from weftgraph.operators import kernels as K
 from weftgraph.operators import levels
 from weftgraph.operators.local import can_broadcast, fan_out
 from weftgraph.operators.traversal import bfs_distances
-from weftgraph.plans.fixpoint import checkpoint
+from weftgraph.plans.fixpoint import checkpoint, handy, written
 
 
 def degree_centrality(graph: Graph) -> DataFrame:
@@ -111,12 +111,12 @@ def newman_weighted_closeness_centrality(graph: Graph, weight: Weight = None, wf
 
 
 def _folded(graph: Graph, weight: Weight, default: float = 1.0) -> DataFrame:
-    return checkpoint(graph.weighted(weight, default).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    return written(graph.weighted(weight, default).groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
-def _push(arcs: DataFrame, x: DataFrame) -> DataFrame:
-    """id, s: the sum over arcs of w times the value at the tail."""
-    return arcs.join(x.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
+def _push(arcs: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """id, s: the sum over arcs of w times the value at the tail; ``n``: rows of x."""
+    return arcs.join(handy(x.select(F.col("id").alias("src"), "x"), n), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("w")).alias("s"))
 
 
 def eigenvector_centrality(graph: Graph, weight: Weight = None, default: float = 1.0, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
@@ -124,7 +124,7 @@ def eigenvector_centrality(graph: Graph, weight: Weight = None, default: float =
     arcs, n = _folded(graph, weight, default), graph.num_nodes()
     x = checkpoint(graph.V.select("id", F.lit(1.0).alias("x")))
     for _ in range(max_iter):
-        y = checkpoint(x.join(_push(arcs, x), "id", "left").select("id", F.col("x").alias("o"), (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y")))
+        y = checkpoint(x.join(_push(arcs, x, n), "id", "left").select("id", F.col("x").alias("o"), (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("y")))
         norm = math.sqrt(y.agg(F.sum(F.col("y") * F.col("y"))).head()[0] or 0.0)
         if norm == 0:
             break
@@ -146,7 +146,7 @@ def katz_centrality(graph: Graph, alpha: float = 0.1, beta=None, weight: Weight
     b = checkpoint(graph.V.select("id").join(b, "id"))
     x = checkpoint(graph.V.select("id", F.lit(0.0).alias("x")))
     for _ in range(max_iter):
-        y = x.join(_push(arcs, x), "id", "left").join(b, "id").select("id", F.col("x").alias("o"), (alpha * F.coalesce("s", F.lit(0.0)) + F.col("b")).alias("x"))
+        y = x.join(_push(arcs, x, n), "id", "left").join(b, "id").select("id", F.col("x").alias("o"), (alpha * F.coalesce("s", F.lit(0.0)) + F.col("b")).alias("x"))
         y = checkpoint(y)
         gone, size = y.agg(F.sum(F.abs(F.col("x") - F.col("o"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).head()
         if (gone or 0.0) < n * tol:
@@ -166,25 +166,31 @@ def _vector(graph: Graph, given: dict | None, name: str) -> DataFrame:
 
 
 def pagerank(graph: Graph, alpha: float = 0.85, weight: Weight = None, nstart: dict | None = None, personalization: dict | None = None, tol: float = 1e-6, max_iter: int = 100, dangling: dict | None = None) -> DataFrame:
-    """id, score. Parallel edges add. One join and one aggregation a round; the sums of the round's
-    vertices without out-edges and of the change are scalars. Stops when the change is below n * tol
-    and gives back the iterate before."""
+    """id, score. Parallel edges add. A round is one join, one aggregation and one sweep over the vertices, which gives
+    the change and the mass that the next round loses at vertices without out-edges. Stops when the change is
+    below n * tol and gives back the iterate before."""
     n = graph.num_nodes()
     if n == 0:
         return graph.V.select("id", F.lit(0.0).alias("score"))
     arcs = graph.weighted(weight).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     total = arcs.groupBy("src").agg(F.sum("w").alias("t"))
-    arcs = checkpoint(arcs.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("w")))
-    p = _vector(graph, personalization, "p")
-    d = _vector(graph, dangling if dangling is not None else personalization, "d")
-    sinks = graph.V.select("id").join(arcs.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("sink"))
-    fixed = checkpoint(p.join(d, "id").join(sinks, "id", "left").select("id", "p", "d", F.coalesce("sink", F.lit(False)).alias("sink")))
-    x = checkpoint(_vector(graph, nstart, "x").join(fixed, "id"))
+    arcs = written(arcs.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("w")))
+    tails = arcs.select(F.col("src").alias("id"), F.lit(False).alias("sink")).distinct()
+    spread = dangling if dangling is not None else personalization
+    # where all vertices are equal the share of each is a number, else a column of the vertices
+    fixed = None
+    if personalization is not None or spread is not None:
+        fixed = checkpoint(_vector(graph, personalization, "p").join(_vector(graph, spread, "d"), "id"))
+    p, d = (F.col("p"), F.col("d")) if fixed is not None else (F.lit(1.0 / n), F.lit(1.0 / n))
+    start = _vector(graph, nstart, "x").join(tails, "id", "left")
+    x = checkpoint(start.select("id", "x", F.coalesce("sink", F.lit(True)).alias("sink")))
+    lost = x.where("sink").agg(F.sum("x")).head()[0] or 0.0
     for _ in range(max_iter):
-        lost = x.where("sink").agg(F.sum("x")).head()[0] or 0.0
-        y = x.join(_push(arcs, x), "id", "left").select("id", "p", "d", "sink", F.col("x").alias("o"), (alpha * (F.coalesce("s", F.lit(0.0)) + lost * F.col("d")) + (1 - alpha) * F.col("p")).alias("x"))
-        y = checkpoint(y)
-        if y.agg(F.sum(F.abs(F.col("x") - F.col("o")))).head()[0] < n * tol:
+        y = x.join(_push(arcs, x, n), "id", "left")
+        y = y if fixed is None else y.join(fixed, "id")
+        y = checkpoint(y.select("id", "sink", F.col("x").alias("o"), (alpha * (F.coalesce("s", F.lit(0.0)) + lost * d) + (1 - alpha) * p).alias("x")))
+        change, lost = y.agg(F.sum(F.abs(F.col("x") - F.col("o"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("x"))), F.lit(0.0))).head()
+        if change < n * tol:
             return y.select("id", F.col("o").alias("score"))
         x = y.drop("o")
     raise FailedToConverge(f"no convergence in {max_iter} rounds")
@@ -194,8 +200,8 @@ def hits(graph: Graph, weight: Weight = None, nstart: dict | None = None, tol: f
     """id, hub, authority: two joins a round, values scaled by their greatest, in the end to sum 1."""
     arcs = _folded(graph, weight)
     back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    ids = graph.V.select("id")
-    if ids.isEmpty():
+    ids, n = graph.V.select("id"), graph.num_nodes()
+    if not n:
         return ids.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
     hub = checkpoint(_vector(graph, nstart, "x"))
 
@@ -205,12 +211,12 @@ def hits(graph: Graph, weight: Weight = None, nstart: dict | None = None, tol: f
         return got.select("id", (F.col("x") / top).alias("x"))
 
     for _ in range(max_iter):
-        auth = scaled(_push(arcs, hub))
-        new = checkpoint(scaled(_push(back, auth)))
+        auth = scaled(_push(arcs, hub, n))
+        new = checkpoint(scaled(_push(back, auth, n)))
         change = new.join(hub.withColumnRenamed("x", "o"), "id").agg(F.sum(F.abs(F.col("x") - F.col("o")))).head()[0]
         hub = new
         if change < tol:
-            auth = checkpoint(scaled(_push(arcs, hub)))
+            auth = checkpoint(scaled(_push(arcs, hub, n)))
             out = hub.withColumnRenamed("x", "hub").join(auth.withColumnRenamed("x", "authority"), "id")
             if not normalized:
                 return out
@@ -311,15 +317,22 @@ def _directed_transitivity(graph: Graph) -> float:
 
 
 def core_number(graph: Graph) -> DataFrame:
-    """id, core: each round takes the h-index of the neighbours' values; it falls to the core number."""
-    arcs = checkpoint(graph.arcs(True).select("src", "dst").distinct())
+    """id, core: each round takes the h-index of the neighbours' values, which falls to the core number. After the first
+    round only vertices are touched of which a neighbour's value fell."""
+    arcs = written(graph.arcs(True).select("src", "dst").distinct())
     deg = arcs.groupBy(F.col("src").alias("id")).count()
     x = checkpoint(graph.V.select("id").join(deg, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("core")))
+    n, fell, near = x.count(), None, arcs
     while True:
-        vals = arcs.join(x.select(F.col("id").alias("dst"), "core"), "dst").groupBy(F.col("src").alias("id"), "core").count()
+        if fell is not None:
+            at = arcs.join(handy(fell.select(F.col("id").alias("dst")), k), "dst", "left_semi").select("src").distinct()
+            near = arcs.join(handy(checkpoint(at), n), "src", "left_semi")
+        vals = near.join(handy(x.select(F.col("id").alias("dst"), "core"), n), "dst").groupBy(F.col("src").alias("id"), "core").count()
         h = vals.groupBy("id").agg(F.expr("aggregate(reverse(array_sort(collect_list(struct(core, count)))), named_struct('n', 0L, 'h', 0L), (a, s) -> named_struct('n', a.n + s.count, 'h', greatest(a.h, least(s.core, a.n + s.count))), a -> a.h)").alias("h"))
-        y = checkpoint(x.join(h, "id", "left").select("id", F.col("core").alias("o"), F.least(F.col("core"), F.coalesce("h", F.lit(0))).alias("core")))
-        if y.where("core < o").isEmpty():
+        y = checkpoint(x.join(h, "id", "left").select("id", F.col("core").alias("o"), F.least(F.col("core"), F.coalesce("h", F.col("core") if fell is not None else F.lit(0))).alias("core")))
+        fell = y.where("core < o").select("id")
+        k = fell.count()
+        if not k:
             return y.select("id", F.col("core").cast("bigint").alias("core"))
         x = y.select("id", "core")
 

@@ -46,13 +46,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     with itself the number of digits doubles each round, until planning alone takes minutes. Beyond UNREAL
     the rows go to a Parquet table there instead, whose size is known again.
     """
-    spark = df.sparkSession
-    folder(spark)
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= UNREAL or any(f.dataType.typeName() == "void" for f in df.schema):
+    folder(df.sparkSession)
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= UNREAL or not _fit_for_parquet(df):
         return df.checkpoint()
-    path = spot(spark)
+    return written(df)
+
+
+def _fit_for_parquet(df: DataFrame) -> bool:
+    return not any("void" in f.dataType.simpleString() for f in df.schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in that folder: what loops read again and again and only some columns of, such as arcs.
+    Checkpoints hold whole serialised rows, which take several times as long to read."""
+    if not _fit_for_parquet(df):
+        return checkpoint(df)
+    path = spot(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of two or three numbers up to which a loop's state is broadcast to its arcs (some 50 MB); beyond it they meet by shuffle.
+STATE = 1_000_000
+
+
+def handy(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if its counted ``rows`` are few."""
+    return F.broadcast(df) if rows <= STATE else df
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], limit: int | None = None) -> tuple[DataFrame, int, bool]:
