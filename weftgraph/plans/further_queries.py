@@ -24,7 +24,7 @@ from weftgraph.operators import trees as Tr
 from weftgraph.operators.visitors import BFSVisitor, DFSVisitor, DijkstraVisitor, StopSearch
 from weftgraph.plans.fixpoint import spot
 from weftgraph.plans.more_queries import AROUND, ROUTES, _path, _proper, _sizes
-from weftgraph.plans.queries import HOPS, RELAX, SIGMA, SUPPLY, TRADE, TREE, _row, query, read, supply, trade, tree
+from weftgraph.plans.queries import CHAINS, GROWN, HOPS, RELAX, SIGMA, SUPPLY, TRADE, TREE, _row, chains, grown, query, read, supply, trade, tree
 from weftgraph.sources import files as Fi
 from weftgraph.sources import generators as G
 from weftgraph.streaming.incremental import TopologicalSorter
@@ -89,9 +89,10 @@ def from_node_link_json_file(spark, d):
     return Fi.from_node_link_json_file(spark, at).E.select("eid", "src", "dst")
 
 
-@query("SELECT * FROM (VALUES ('a', 'b', '1'), ('b', 'c', '1'), ('b', 'd', '3')) t(src, dst, w)")
+@query(TRADE + " SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, w::VARCHAR AS w FROM e")
 def from_dot(spark, d):
-    g = Fi.from_dot(spark, 'digraph { edge [w=1]; a -> b -> c; b -> "d" [w=3]; /* done */ }')
+    lines = [f'{r.src} -> "{r.dst}" [w={r.payload}];' for r in trade(spark, d).E.collect()]
+    g = Fi.from_dot(spark, "digraph { edge [w=1]; " + " ".join(lines) + " /* done */ }")
     name = g.V.select("id", F.col("payload")["label"].alias("n"))
     e = g.E.join(name.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(name.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("payload")["w"].alias("w"))
@@ -102,9 +103,11 @@ def to_dot(spark, d):
     return strings(spark, "line", Fi.to_dot(trade(spark, d), "map('label', payload)").splitlines())
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (2, 0), (2, 2)) t(src, dst)")
+@query(TRADE + " SELECT src, dst FROM e")
 def read_matrix_market(spark, d):
-    return Fi.read_matrix_market(spark, "%%MatrixMarket matrix coordinate real general\n% a remark\n3 3 3\n1 2 5\n3 1 7\n3 3 1\n").edge_list()
+    rows = trade(spark, d).E.collect()
+    lines = [f"{r.src + 1} {r.dst + 1} {r.payload}" for r in rows]
+    return Fi.read_matrix_market(spark, "%%MatrixMarket matrix coordinate real general\n% a remark\n" + f"25 25 {len(rows)}\n" + "\n".join(lines) + "\n").edge_list()
 
 
 @query(TRADE + " SELECT src, dst FROM e")
@@ -136,10 +139,11 @@ def read_edge_list(spark, d):
 class _Views:
     """What the converter needs of a graph with networkx's views."""
 
-    nodes = {"a": {"k": 1}, "b": {}, "c": {}}
+    def __init__(self, names, edges):
+        self.nodes, self._edges = {n: {} for n in names}, edges
 
     def edges(self, data):
-        return [("a", "b", {"w": 2}), ("c", "a", {"w": 3})]
+        return self._edges
 
     def is_directed(self):
         return True
@@ -148,9 +152,11 @@ class _Views:
         return False
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, '2'), (2, 0, '3')) t(src, dst, w)")
+@query(TRADE + " SELECT src, dst, w::VARCHAR AS w FROM e")
 def networkx_converter(spark, d):
-    return Fi.networkx_converter(spark, _Views(), True).E.select("src", "dst", F.col("payload")["w"].alias("w"))
+    g = trade(spark, d)
+    views = _Views([r.id for r in g.V.orderBy("id").collect()], [(r.src, r.dst, {"w": r.payload}) for r in g.E.collect()])
+    return Fi.networkx_converter(spark, views, True).E.select("src", "dst", F.col("payload")["w"].alias("w"))
 
 
 @query(TRADE + " SELECT src, dst, w::DOUBLE AS payload FROM e")
@@ -158,9 +164,12 @@ def from_adjacency_matrix(spark, d):
     return ends(Pr.from_adjacency_matrix(spark, Pr.to_numpy(Pr.adjacency_matrix(trade(spark, d), "payload"), 25)))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 1.0::DOUBLE, 2.0::DOUBLE), (1, 1, 0.0, 1.0)) t(src, dst, re, im)")
+@query(TRADE + " SELECT src, dst, w::DOUBLE AS re, -w::DOUBLE AS im FROM e")
 def from_complex_adjacency_matrix(spark, d):
-    return Pr.from_complex_adjacency_matrix(spark, [[0, 1 + 2j], [0, 1j]]).E.select("src", "dst", "payload.*")
+    m = [[0j] * 25 for _ in range(25)]
+    for r in trade(spark, d).E.collect():
+        m[r.src][r.dst] = complex(r.payload, -r.payload)
+    return Pr.from_complex_adjacency_matrix(spark, m).E.select("src", "dst", "payload.*")
 
 
 # --- searches and paths ------------------------------------------------------------------------
@@ -189,35 +198,35 @@ def dijkstra_search(spark, d):
 
 class _Upto(DijkstraVisitor):
     def finish_vertex(self, node, *at):
-        if node == 3:
+        if node == 7:
             raise StopSearch
 
 
-@query("SELECT i AS id FROM range(4) t(i)")
+@query(TRADE + RELAX + " SELECT t AS id FROM wd WHERE s = 0 AND d <= coalesce((SELECT d FROM wd WHERE s = 0 AND t = 7), 1000000000)")
 def dijkstra_visitor(spark, d):
-    return T.dijkstra_search(G.directed_path_graph(spark, 8), [0], None, _Upto()).where("event = 'discover_vertex'").select("id")
+    return T.dijkstra_search(trade(spark, d), [0], "payload", _Upto()).where("event = 'discover_vertex'").select("id")
 
 
 class _UptoB(BFSVisitor):
     def discover_vertex(self, node, *at):
-        if node == 3:
+        if node >= 10**9:
             raise StopSearch
 
 
 class _UptoD(DFSVisitor):
     def discover_vertex(self, node, *at):
-        if node == 3:
+        if node >= 10**9:
             raise StopSearch
 
 
-@query("SELECT i AS id FROM range(4) t(i)")
+@query(TREE + " SELECT 1::BIGINT AS id UNION ALL SELECT dst FROM e WHERE src = 1 UNION ALL (SELECT dst FROM e WHERE src IN (SELECT dst FROM e WHERE src = 1) ORDER BY src, dst LIMIT 1)")
 def bfs_visitor(spark, d):
-    return T.bfs_search(G.directed_path_graph(spark, 8), [0], _UptoB()).where("event = 'discover_vertex'").select("id")
+    return T.bfs_search(tree(spark, d), [1], _UptoB()).where("event = 'discover_vertex'").select("id")
 
 
-@query("SELECT i AS id FROM range(4) t(i)")
+@query(TREE + " SELECT 1::BIGINT AS id UNION ALL (SELECT unnest([src, dst]) FROM (SELECT src, dst FROM e WHERE src IN (SELECT dst FROM e WHERE src = 1) ORDER BY src, dst LIMIT 1))")
 def dfs_visitor(spark, d):
-    return T.dfs_search(G.directed_path_graph(spark, 8), [0], _UptoD()).where("event = 'discover_vertex'").select("id")
+    return T.dfs_search(tree(spark, d), [1], _UptoD()).where("event = 'discover_vertex'").select("id")
 
 
 @query(TREE + ", r AS (SELECT 1000000001::BIGINT AS id UNION SELECT e.src FROM r JOIN e ON r.id = e.dst) SELECT DISTINCT r.id, 1::BIGINT AS n FROM r JOIN e ON e.dst = r.id")
@@ -225,9 +234,12 @@ def bfs_predecessors(spark, d):
     return T.bfs_predecessors(tree(spark, d), 10**9 + 1).select("id", F.size("parents").cast("bigint").alias("n"))
 
 
-@query("SELECT '0-1-2-3-4-5' AS path")
+@query(TREE + " SELECT count(DISTINCT a.src)::BIGINT AS starts, true AS along FROM e a WHERE a.src = 1")
 def generate_random_path(spark, d):
-    return _row(spark, path="-".join(map(str, T.generate_random_path(G.directed_path_graph(spark, 9), 0, 5, 3))))
+    g = tree(spark, d)
+    path = T.generate_random_path(g, 1, 2, 3)
+    steps = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "src bigint, dst bigint")
+    return _row(spark, starts=int(path[0] == 1), along=len(path) == 3 and steps.join(g.E, ["src", "dst"], "left_anti").isEmpty())
 
 
 @query(TRADE + ROUTES + " SELECT t AS dst, array_to_string(path, '-') AS path FROM p WHERE s = 0 AND t <> 0")
@@ -250,33 +262,47 @@ def grid(spark, directed=True):
     return g.with_(E=g.E.withColumn("payload", ((F.col("src") * 7 + F.col("dst") * F.col("dst")) % 23 + 1).cast("double")))
 
 
-@query(GRID + ", p AS (SELECT 0::BIGINT AS t, 0::BIGINT AS d UNION ALL SELECT e.dst, d + e.w FROM p JOIN e ON e.src = p.t) SELECT t AS id, d::DOUBLE AS dist FROM (SELECT t, d, row_number() OVER (PARTITION BY t ORDER BY d) AS k FROM p) WHERE k = 3")
+@query(TRADE + ", up AS (SELECT * FROM e WHERE src < dst), p AS (SELECT 0::BIGINT AS t, 0::BIGINT AS d UNION ALL SELECT up.dst, d + up.w FROM p JOIN up ON up.src = p.t) SELECT t AS id, d::DOUBLE AS dist FROM (SELECT t, d, row_number() OVER (PARTITION BY t ORDER BY d) AS k FROM p) WHERE k = 3")
 def k_shortest_path_lengths(spark, d):
-    return P.k_shortest_path_lengths(grid(spark), 0, 3, "payload")
+    return P.k_shortest_path_lengths(upward(spark, d), 0, 3, "payload")
 
 
-@query("SELECT '0-1-2-3-4' AS cycle")
+@query(TRADE + HOPS + " SELECT count(*) > 0 AS closed, true AS negative FROM dist JOIN e ON dist.s = e.dst AND dist.t = e.src")
 def find_negative_cycle(spark, d):
-    g = small(spark, [(i, (i + 1) % 5, -1.0) for i in range(5)] + [(4, 5, 3.0), (5, 6, 1.0)])
-    return _row(spark, cycle="-".join(map(str, sorted(set(P.find_negative_cycle(g, "payload"))))))
+    g = trade(spark, d)
+    round_ = P.find_negative_cycle(g, "-payload")
+    steps = spark.createDataFrame(list(zip(round_, round_[1:], strict=False)), "src bigint, dst bigint")
+    at = steps.join(g.E, ["src", "dst"])
+    return _row(spark, closed=round_[0] == round_[-1] and at.count() == len(round_) - 1, negative=at.agg(F.sum(-F.col("payload"))).head()[0] < 0)
 
 
-@query("SELECT '0-1-2-3-4-5' AS path")
+@query(TRADE + ", up AS (SELECT * FROM e WHERE src < dst), p AS (SELECT id AS t, 1::BIGINT AS n FROM v UNION ALL SELECT up.dst, n + 1 FROM p JOIN up ON up.src = p.t) SELECT max(n) AS length FROM p")
 def longest_simple_path(spark, d):
-    return _row(spark, path="-".join(map(str, P.longest_simple_path(G.directed_path_graph(spark, 6)))))
+    return _row(spark, length=len(P.longest_simple_path(upward(spark, d))))
 
 
-LINE = {i: [0.4 * i, 0.0] for i in range(5)}
+def _along(spark, d):
+    """Points on a line, one per embedding: the farther on, the greater the sum of the lengths so far."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.expr("0.001D + 0.01D * abs(embedding[0])").alias("step")).orderBy("vec_id").collect()
+    out, at = {}, 0.0
+    for r in rows:
+        at += r.step
+        out[r.vec_id] = [at, 0.0]
+    return out
 
 
-@query("SELECT '0-1-2-3-4' AS path")
+@query("SELECT string_agg(vec_id::VARCHAR, '-' ORDER BY vec_id) AS path, count(*) AS steps FROM embeddings")
 def hyperbolic_greedy_routing(spark, d):
-    return _row(spark, path="-".join(map(str, P.hyperbolic_greedy_routing(G.path_graph(spark, 5), LINE, 0, 4))))
+    at = _along(spark, d)
+    path = P.hyperbolic_greedy_routing(G.path_graph(spark, len(at)), at, 0, len(at) - 1)
+    return _row(spark, path="-".join(map(str, path)), steps=len(path))
 
 
-@query("SELECT 1.0::DOUBLE AS rate")
+@query("SELECT (count(*) / count(*))::DOUBLE AS rate, count(*) AS nodes FROM supplier")
 def hyperbolic_greedy_success_rate(spark, d):
-    return _row(spark, rate=float(P.hyperbolic_greedy_success_rate(G.path_graph(spark, 5), LINE)))
+    n = grown(spark, d)
+    at = {i: x for i, x in _along(spark, d).items() if i < n}
+    return _row(spark, rate=float(P.hyperbolic_greedy_success_rate(G.path_graph(spark, len(at)), at)), nodes=n)
 
 
 @query(TRADE + RELAX + " SELECT i.id AS src, j.id AS dst, coalesce(d, 'inf'::DOUBLE)::DOUBLE AS dist FROM v i CROSS JOIN v j LEFT JOIN wd ON s = i.id AND t = j.id")
@@ -326,28 +352,31 @@ def is_weakly_connected(spark, d):
     return _row(spark, connected=Co.is_weakly_connected(trade(spark, d)))
 
 
-@query("SELECT 3 * 3 + 2 * 4 - 12 + 1 AS n, 4 AS least_length")
+@query(TRADE + ", q AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), z AS (SELECT id, id AS c FROM v UNION SELECT a.dst, z.c FROM z JOIN a ON a.src = z.id) SELECT (SELECT count(*) FROM q) - (SELECT count(*) FROM v) + (SELECT count(*) FROM (SELECT id FROM z GROUP BY id HAVING min(c) = id)) AS n, true AS simple")
 def cycle_basis(spark, d):
-    got = Co.cycle_basis(G.grid_graph(spark, 3, 4))
-    return got.agg(F.count("*").cast("int").alias("n"), F.min(F.size("cycle")).alias("least_length"))
+    got = Co.cycle_basis(simple_trade(spark, d))
+    return _row(spark, n=got.count(), simple=got.where("size(array_distinct(cycle)) < size(cycle)").isEmpty())
 
 
-@query("SELECT i AS src, (i + 1) % 7 AS dst FROM range(7) t(i)")
+@query(TRADE + HOPS + " SELECT count(*) > 0 AS found, true AS closed FROM dist JOIN e ON dist.s = e.dst AND dist.t = e.src")
 def digraph_find_cycle(spark, d):
-    return Co.digraph_find_cycle(G.directed_cycle_graph(spark, 7)).select("src", "dst")
+    g = trade(spark, d)
+    got = Co.digraph_find_cycle(g).select("src", "dst").cache()
+    ends_ = got.select(F.col("src").alias("x"), F.lit(1).alias("n")).union(got.select("dst", F.lit(-1))).groupBy("x").agg(F.sum("n").alias("n"))
+    return _row(spark, found=not got.isEmpty(), closed=ends_.where("n != 0").isEmpty() and got.join(g.E, ["src", "dst"], "left_anti").isEmpty())
 
 
-@query("SELECT 0::BIGINT AS a, i AS b FROM range(1, 6) t(i) UNION ALL SELECT i, j FROM range(1, 6) t(i), range(1, 6) u(j) WHERE i < j")
+@query(TRADE + ", q AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), m AS (SELECT dst AS id FROM a WHERE src = 0 AND dst <> 0 GROUP BY dst), w AS (SELECT x.id AS a, y.id AS b FROM m x JOIN m y ON x.id < y.id) SELECT a, b FROM (SELECT a, b FROM q EXCEPT SELECT a, b FROM w) UNION ALL SELECT a, b FROM (SELECT a, b FROM w EXCEPT SELECT a, b FROM q)")
 def local_complement(spark, d):
-    return Co.local_complement(G.star_graph(spark, 6, multigraph=False), 0).E.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return Co.local_complement(simple_trade(spark, d), 0).E.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
 
 
-@query(GRID + ", p AS (SELECT 0::BIGINT AS v, 0::BIGINT AS u UNION ALL SELECT e.dst, u + e.w FROM p JOIN e ON e.src = p.v) SELECT max(u)::DOUBLE AS length FROM p")
+@query(TRADE + ", up AS (SELECT * FROM e WHERE src < dst), p AS (SELECT id AS v, 0::BIGINT AS u FROM v UNION SELECT up.dst, u + up.w FROM p JOIN up ON up.src = p.v) SELECT max(u)::DOUBLE AS length FROM p")
 def dag_weighted_longest_path(spark, d):
-    g = grid(spark)
+    g = upward(spark, d)
     path = D.dag_weighted_longest_path(g, "payload")
     steps = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "src bigint, dst bigint")
-    return g.E.join(steps, ["src", "dst"]).agg(F.sum("payload").alias("length"))
+    return g.E.join(steps, ["src", "dst"]).agg(F.sum("payload").cast("double").alias("length"))
 
 
 @query("SELECT '2-3' AS run")
@@ -363,39 +392,59 @@ def minimum_spanning_tree(spark, d):
     return Tr.minimum_spanning_tree(trade(spark, d, False), "payload").E.select("eid", "payload")
 
 
-@query("""WITH RECURSIVE e AS (SELECT (i - 1) // 3 AS src, i AS dst FROM range(1, 40) t(i)), b AS (SELECT dst AS top, dst AS low FROM e UNION ALL SELECT b.top, e.dst FROM b JOIN e ON e.src = b.low)
-SELECT (b.top - 1) // 3 AS src, b.top AS dst FROM b WHERE low IN (20, 30, 39) GROUP BY b.top HAVING count(*) < 3""")
+@query("WITH t AS (SELECT n_nationkey, min(c_custkey) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1) SELECT 1::BIGINT AS src, 100 + n_nationkey::BIGINT AS dst FROM t UNION ALL SELECT 100 + n_nationkey, 1000000000 + c FROM t")
 def steiner_tree(spark, d):
-    return Tr.steiner_tree(G.full_rary_tree(spark, 3, 40), [20, 30, 39]).E.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    c = read(spark, d, "customer").join(read(spark, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"))
+    ends_ = c.groupBy("n_nationkey").agg((F.min("c_custkey") + 10**9).alias("c"))
+    return Tr.steiner_tree(tree(spark, d).with_(directed=False).cached(), [r.c for r in ends_.collect()]).E.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def regions(spark, d):
+    """Regions and the quantity that they ship each other (undirected)."""
+    li, o = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), read(spark, d, "orders").select("o_orderkey", "o_custkey")
+    at = read(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("r"))
+    s = read(spark, d, "supplier").join(at, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r").alias("a"))
+    c = read(spark, d, "customer").join(at, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r").alias("b"))
+    rows = li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).where("a != b")
+    E = rows.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("l_quantity").cast("bigint").alias("payload"))
+    return Graph.from_edges(E.select((F.col("src") * 10 + F.col("dst")).alias("eid"), "src", "dst", "payload")).cached()
+
 
+REGIONS = """WITH e AS (SELECT least(s.n_regionkey, c.n_regionkey)::BIGINT AS src, greatest(s.n_regionkey, c.n_regionkey)::BIGINT AS dst, sum(l_quantity)::BIGINT AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s.n_nationkey = s_nationkey JOIN nation c ON c.n_nationkey = c_nationkey WHERE s.n_regionkey <> c.n_regionkey GROUP BY 1, 2)"""
 
-@query(GRID + " SELECT min(c)::DOUBLE AS value FROM (SELECT m, sum(w) FILTER (((m >> src::INT) & 1) <> ((m >> dst::INT) & 1)) AS c FROM e, range(1, 2048) s(m) GROUP BY m)")
+
+@query(REGIONS + " SELECT min(c)::DOUBLE AS value FROM (SELECT m, sum(w) FILTER (((m >> src::INT) & 1) <> ((m >> dst::INT) & 1)) AS c FROM e, range(1, 31) s(m) GROUP BY m)")
 def stoer_wagner_min_cut(spark, d):
-    return _row(spark, value=float(Co.stoer_wagner_min_cut(grid(spark, False), "payload")[0]))
+    return _row(spark, value=float(Co.stoer_wagner_min_cut(regions(spark, d), "payload")[0]))
 
 
 # --- matching, colouring, swapping, isomorphism ------------------------------------------------
 
 
-@query(GRID + ", k AS (SELECT m, e.* FROM e, range(131072) s(m) WHERE (m >> eid::INT) & 1 = 1), b AS (SELECT m FROM (SELECT m, src AS x FROM k UNION ALL SELECT m, dst FROM k) GROUP BY m HAVING count(*) = count(DISTINCT x)) SELECT max(w)::BIGINT AS weight FROM (SELECT m, sum(w) AS w FROM k WHERE m IN (SELECT m FROM b) GROUP BY m)")
+@query("""WITH RECURSIVE x AS (SELECT conv_id, turn, (turn * 7 + conv_id * 3) % 10 + 1 AS w, EXISTS (SELECT 1 FROM conversations y WHERE y.conv_id = c.conv_id AND y.turn = c.turn - 1) AS linked FROM conversations c),
+b AS (SELECT conv_id, turn, 0::BIGINT AS here, 0::BIGINT AS before FROM x WHERE NOT linked UNION ALL SELECT x.conv_id, x.turn, greatest(b.here, b.before + x.w), b.here FROM b JOIN x ON x.conv_id = b.conv_id AND x.turn = b.turn + 1)
+SELECT sum(here)::BIGINT AS weight FROM b WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.conv_id = b.conv_id AND x.turn = b.turn + 1)""")
 def max_weight_matching(spark, d):
-    g = grid(spark, False)
+    g = chains(spark, d)
+    weight = F.expr("((dst % 1000) * 7 + (dst div 1000) * 3) % 10 + 1").cast("double")
+    g = g.with_(E=g.E.withColumn("payload", weight), directed=False).cached()
     got = Col.max_weight_matching(g, weight="payload")
     both = g.E.join(got.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"])
     return both.agg(F.sum("payload").cast("bigint").alias("weight"))
 
 
-@query("SELECT true AS yes, false AS shared, false AS missing")
+@query(CHAINS + " SELECT true AS yes, count(*) = 0 AS shared, false AS missing FROM e x JOIN e y ON x.dst = y.src")
 def is_matching(spark, d):
-    g = G.path_graph(spark, 6)
-    return _row(spark, yes=Col.is_matching(g, {(0, 1), (3, 2)}), shared=Col.is_matching(g, {(0, 1), (1, 2)}), missing=Col.is_matching(g, {(0, 2)}))
+    g = chains(spark, d).with_(directed=False).cached()
+    every = g.E.select("src", "dst")
+    return _row(spark, yes=Col.is_matching(g, every.where("src % 2 = 0")), shared=Col.is_matching(g, every), missing=Col.is_matching(g, every.select("src", (F.col("dst") + 1).alias("dst")).where("src % 1000 = 0")))
 
 
-@query("SELECT true AS proper, true AS few")
+@query(TRADE + ", q AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e), g AS (SELECT a AS id FROM q UNION ALL SELECT b FROM q) SELECT true AS proper, true AS few, (SELECT max(n) FROM (SELECT count(*) AS n FROM g GROUP BY id)) AS degree")
 def misra_gries_edge_color(spark, d):
-    g = G.complete_graph(spark, 8)
-    got = Col.misra_gries_edge_color(g)
-    return _row(spark, proper=_proper(g, got), few=got.select("color").distinct().count() <= 8)
+    g = simple_trade(spark, d)
+    got, top = Col.misra_gries_edge_color(g), g.degrees().agg(F.max("degree")).head()[0]
+    return _row(spark, proper=_proper(g, got), few=got.select("color").distinct().count() <= top + 1, degree=top)
 
 
 def _apart(g, colors):
@@ -404,44 +453,47 @@ def _apart(g, colors):
     return g.E.where("src != dst").join(a, "src").join(b, "dst").where("a = b").isEmpty()
 
 
-@query("SELECT true AS proper, 25::BIGINT AS n")
+@query(TRADE + """, nb AS (SELECT DISTINCT src, dst FROM a WHERE src <> dst), o AS (SELECT id, row_number() OVER (ORDER BY (SELECT count(*) FROM nb WHERE src = id) DESC, id) AS k FROM v),
+low AS (SELECT x.k, list(y.k) FILTER (y.k < x.k) AS ks FROM o x LEFT JOIN nb ON nb.src = x.id LEFT JOIN o y ON y.id = nb.dst GROUP BY x.k),
+g AS (SELECT 0 AS k, []::BIGINT[] AS cs UNION ALL SELECT g.k + 1, list_append(cs, list_min(list_filter(range(0, 30), lambda c: NOT list_contains(list_transform(coalesce(ks, []::BIGINT[]), lambda j: cs[j]), c)))) FROM g JOIN low ON low.k = g.k + 1)
+SELECT o.id, (SELECT cs FROM g ORDER BY k DESC LIMIT 1)[o.k] AS color FROM o""")
 def greedy_color(spark, d):
-    g = trade(spark, d, False)
-    got = Col.greedy_color(g, strategy="saturation")
-    return _row(spark, proper=_apart(g, got), n=got.count())
+    return Col.greedy_color(trade(spark, d, False))
 
 
-@query("SELECT true AS proper, 3::BIGINT AS preset")
+@query(TRADE + """, nb AS (SELECT DISTINCT src, dst FROM a WHERE src <> dst), o AS (SELECT id, row_number() OVER (ORDER BY id <> 0, (SELECT count(*) FROM nb WHERE src = id) DESC, id) AS k FROM v),
+low AS (SELECT x.k, list(y.k) FILTER (y.k < x.k) AS ks FROM o x LEFT JOIN nb ON nb.src = x.id LEFT JOIN o y ON y.id = nb.dst GROUP BY x.k),
+g AS (SELECT 0 AS k, []::BIGINT[] AS cs UNION ALL SELECT g.k + 1, list_append(cs, CASE WHEN low.k = 1 THEN 3 ELSE list_min(list_filter(range(0, 30), lambda c: NOT list_contains(list_transform(coalesce(ks, []::BIGINT[]), lambda j: cs[j]), c))) END) FROM g JOIN low ON low.k = g.k + 1)
+SELECT o.id, (SELECT cs FROM g ORDER BY k DESC LIMIT 1)[o.k] AS color FROM o""")
 def greedy_node_color_with_preset_colors(spark, d):
-    g = G.cycle_graph(spark, 9)
-    got = Col.greedy_color(g, {0: 3})
-    return _row(spark, proper=_apart(g, got), preset=got.where("id = 0").head().color)
+    return Col.greedy_color(trade(spark, d, False), {0: 3})
 
 
-@query("SELECT true AS home")
+@query("SELECT count(*) > 0 AS home, max(turn) + 1 AS tokens FROM conversations WHERE conv_id = (SELECT conv_id FROM conversations ORDER BY turn DESC, conv_id LIMIT 1)")
 def token_swapper(spark, d):
-    want = {0: 3, 1: 2, 2: 1, 3: 0, 6: 4}
+    g = chains(spark, d).with_(directed=False).cached()
+    last = read(spark, d, "conversations").orderBy(F.desc("turn"), "conv_id").head()  # the longest chain, turned round
+    n, at0 = last.turn + 1, last.conv_id * 1000
+    want = {at0 + i: at0 + n - 1 - i for i in range(n)}
     at = dict(want)
-    for r in Col.token_swapper(G.path_graph(spark, 7), want, seed=1).orderBy("pos").collect():
+    for r in Col.token_swapper(g, want, seed=1).orderBy("pos").collect():
         a, b = at.pop(r.src, None), at.pop(r.dst, None)
         at |= ({r.dst: a} if a is not None else {}) | ({r.src: b} if b is not None else {})
-    return _row(spark, home=all(v == t for v, t in at.items()))
+    return _row(spark, home=all(v == t for v, t in at.items()), tokens=n)
 
 
-@query("SELECT 10::BIGINT AS by_id, 10::BIGINT AS by_degree, 12::BIGINT AS within")
+@query(TRADE + " SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src")
 def vf2_mapping(spark, d):
-    c, g = G.cycle_graph(spark, 5), G.path_graph(spark, 5)
-    n = lambda *a, **k: sum(1 for _ in Pr.vf2_mapping(*a, **k))
-    return _row(spark, by_id=n(c, c), by_degree=n(c, c, id_order=False), within=n(G.cycle_graph(spark, 6), G.path_graph(spark, 3), subgraph=True)) if g else None
+    return _row(spark, n=sum(1 for _ in Pr.vf2_mapping(trade(spark, d), G.directed_cycle_graph(spark, 3), subgraph=True, induced=False)))
 
 
-@query("SELECT true AS same, false AS other")
+@query("SELECT count(DISTINCT n_name) = count(*) AS same, false AS other FROM nation")
 def is_isomorphic_node_match(spark, d):
-    g = small(spark, [(0, 1), (1, 2)], names=["a", "b", "a"])
-    h = small(spark, [(2, 1), (1, 0)], names=["a", "b", "a"])
-    k = small(spark, [(0, 1), (1, 2)], names=["a", "a", "b"])
+    g = trade(spark, d)
+    turned = g.with_(g.V.select((24 - F.col("id")).alias("id"), "payload"), g.E.select("eid", (24 - F.col("src")).alias("src"), (24 - F.col("dst")).alias("dst"), "payload"))
+    renamed = g.with_(g.V.select("id", F.concat("payload", F.lit("?")).alias("payload")))
     eq = lambda x, y: x == y
-    return _row(spark, same=Pr.is_isomorphic_node_match(g, h, eq), other=Pr.is_isomorphic_node_match(g, k, eq))
+    return _row(spark, same=Pr.is_isomorphic_node_match(g, turned, eq), other=Pr.is_isomorphic_node_match(g, renamed, eq))
 
 
 # --- layouts -----------------------------------------------------------------------------------
@@ -463,9 +515,9 @@ def random_layout(spark, d):
     return _row(spark, n=at.count(), inside=at.where("x < 0 OR x >= 1 OR y < 0 OR y >= 1").isEmpty(), apart=at.select("x", "y").distinct().count() == 25)
 
 
-@query("SELECT i AS id, round(CASE WHEN i < 2 THEN 0.5 * cos(pi() * i + pi() / 2) ELSE cos(2 * pi() * (i - 2) / 4 + pi()) END, 5) + 0.0 AS x, round(CASE WHEN i < 2 THEN 0.5 * sin(pi() * i + pi() / 2) ELSE sin(2 * pi() * (i - 2) / 4 + pi()) END, 5) + 0.0 AS y FROM range(6) t(i)")
+@query(TRADE + " SELECT id, round(CASE WHEN id < 10 THEN 0.5 ELSE 1 END * cos(CASE WHEN id < 10 THEN 2 * pi() * id / 10 + pi() / 2 ELSE 2 * pi() * (id - 10) / 15 + pi() END), 5) + 0.0 AS x, round(CASE WHEN id < 10 THEN 0.5 ELSE 1 END * sin(CASE WHEN id < 10 THEN 2 * pi() * id / 10 + pi() / 2 ELSE 2 * pi() * (id - 10) / 15 + pi() END), 5) + 0.0 AS y FROM v")
 def shell_layout(spark, d):
-    return _rounded(L.shell_layout(G.path_graph(spark, 6), [[0, 1], [2, 3, 4, 5]]))
+    return _rounded(L.shell_layout(trade(spark, d), [list(range(10)), list(range(10, 25))]))
 
 
 @query(_placed("SELECT i AS id, i * cos(i * 0.35) AS x, i * sin(i * 0.35) AS y FROM range(25) t(i)"))
@@ -487,109 +539,113 @@ def spring_layout(spark, d):
     return _row(spark, n=free.count(), inside=free.where("abs(x) > 1.000001 OR abs(y) > 1.000001").isEmpty(), kept=kept, apart=free.select(F.round("x", 6), F.round("y", 6)).distinct().count() == 25)
 
 
-@query("SELECT 3::BIGINT AS n, true AS even")
+@query(TRADE + " SELECT count(*) AS n, true AS inside, true AS apart FROM v")
 def kamada_kawai_layout(spark, d):
-    at = {r.id: (r.x, r.y) for r in L.kamada_kawai_layout(G.cycle_graph(spark, 3)).collect()}
-    sides = [math.dist(at[i], at[(i + 1) % 3]) for i in range(3)]
-    return _row(spark, n=len(at), even=max(sides) < 1.02 * min(sides))
+    at = L.kamada_kawai_layout(simple_trade(spark, d)).cache()
+    return _row(spark, n=at.count(), inside=at.where("abs(x) > 1.000001 OR abs(y) > 1.000001").isEmpty(), apart=at.select(F.round("x", 6), F.round("y", 6)).distinct().count() == 25)
 
 
 # --- generators --------------------------------------------------------------------------------
 
 
-@query("SELECT i AS src, j AS dst FROM range(20) a(i), range(20) b(j) WHERE i < j")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i < j")
 def mesh_graph(spark, d):
-    return G.mesh_graph(spark, 20).edge_list()
+    return G.mesh_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, j AS dst FROM range(20) a(i), range(20) b(j) WHERE i <> j")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i <> j")
 def directed_mesh_graph(spark, d):
-    return G.directed_mesh_graph(spark, 20).edge_list()
+    return G.directed_mesh_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i * 9 + j AS src, (i + 1) * 9 + j AS dst FROM range(6) a(i), range(9) b(j) UNION ALL SELECT i * 9 + j, i * 9 + j + 1 FROM range(7) a(i), range(8) b(j)")
+@query(GROWN + ", r AS (SELECT unnest(range(k)) AS r, k FROM (SELECT count(*) AS k FROM nation)) SELECT r * n + i AS src, (r + 1) * n + i AS dst FROM a, n, r WHERE r + 1 < k UNION ALL SELECT r * n + i, r * n + i + 1 FROM a, n, r WHERE i + 1 < n")
 def directed_grid_graph(spark, d):
-    return G.directed_grid_graph(spark, 7, 9).edge_list()
+    return G.directed_grid_graph(spark, grown(spark, d, "nation"), grown(spark, d)).edge_list()
 
 
-@query("SELECT i - (1 << floor(log2(i))::INT) AS src, i AS dst FROM range(1, 64) t(i)")
+@query(GROWN + " SELECT i - (1 << floor(log2(i))::INT) AS src, i AS dst FROM (SELECT unnest(range(1, 1 << k)) AS i FROM (SELECT floor(log2(n))::INT + 1 AS k FROM n))")
 def directed_binomial_tree_graph(spark, d):
-    return G.directed_binomial_tree_graph(spark, 6).edge_list()
+    return G.directed_binomial_tree_graph(spark, grown(spark, d).bit_length()).edge_list()
 
 
-@query("SELECT 40::BIGINT AS nodes, 0::BIGINT AS edges")
+@query(GROWN + " SELECT n AS nodes, 0::BIGINT AS edges FROM n")
 def directed_empty_graph(spark, d):
-    return _sizes(spark, G.directed_empty_graph(spark, 40))
+    return _sizes(spark, G.directed_empty_graph(spark, grown(spark, d)))
 
 
-@query("SELECT (3 * 25 - 2 * 5)::BIGINT AS nodes, 4 * 5 * (5 - 1) AS edges")
+@query(GROWN + ", k AS (SELECT 2 * (n // 20) + 3 AS k FROM n) SELECT 3 * k * k - 2 * k AS nodes, 4 * k * (k - 1) AS edges FROM k")
 def directed_heavy_square_graph(spark, d):
-    return _sizes(spark, G.directed_heavy_square_graph(spark, 5))
+    return _sizes(spark, G.directed_heavy_square_graph(spark, 2 * (grown(spark, d) // 20) + 3))
 
 
-@query("SELECT (5 * 25 - 2 * 5 - 1) // 2 AS nodes")
+@query(GROWN + ", k AS (SELECT 2 * (n // 20) + 3 AS k FROM n) SELECT (5 * k * k - 2 * k - 1) // 2 AS nodes FROM k")
 def directed_heavy_hex_graph(spark, d):
-    return _row(spark, nodes=G.directed_heavy_hex_graph(spark, 5).num_nodes())
+    return _row(spark, nodes=G.directed_heavy_hex_graph(spark, 2 * (grown(spark, d) // 20) + 3).num_nodes())
 
 
-@query("SELECT 2 * (4 + 1) * (6 + 1) - 2 AS nodes, 3 * 4 * 6 + 2 * (4 + 6) - 1 AS edges")
+@query(GROWN + " SELECT 2 * (4 + 1) * (n + 1) - 2 AS nodes, 3 * 4 * n + 2 * (4 + n) - 1 AS edges FROM n")
 def directed_hexagonal_lattice_graph(spark, d):
-    return _sizes(spark, G.directed_hexagonal_lattice_graph(spark, 4, 6))
+    return _sizes(spark, G.directed_hexagonal_lattice_graph(spark, 4, grown(spark, d)))
 
 
-@query("SELECT i AS src, j AS dst FROM range(12) a(i), range(12) b(j) WHERE i < j")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i < j")
 def undirected_gnp_random_graph(spark, d):
-    return G.undirected_gnp_random_graph(spark, 12, 1.0, seed=1).edge_list()
+    return G.undirected_gnp_random_graph(spark, grown(spark, d), 1.0, seed=1).edge_list()
 
 
-@query("SELECT true AS near, true AS simple")
+@query(GROWN + " SELECT n AS nodes, true AS near, true AS simple FROM n")
 def directed_gnp_random_graph(spark, d):
-    g = G.directed_gnp_random_graph(spark, 120, 0.1, seed=4).cached()  # 1428 edges on average, standard deviation 36
-    return _row(spark, near=abs(g.num_edges() - 1428) < 180, simple=not g.has_parallel_edges() and g.E.where("src = dst").isEmpty())
+    n = grown(spark, d)
+    g = G.directed_gnp_random_graph(spark, n, 0.1, seed=4).cached()
+    mean = n * (n - 1) * 0.1  # five standard deviations
+    return _row(spark, nodes=g.num_nodes(), near=abs(g.num_edges() - mean) < 5 * math.sqrt(0.9 * mean), simple=not g.has_parallel_edges() and g.E.where("src = dst").isEmpty())
 
 
-@query("SELECT i AS src, j AS dst FROM range(9) a(i), range(9) b(j) WHERE i < j AND (i < 4) <> (j < 4)")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i < j, n WHERE (i < n // 2) <> (j < n // 2)")
 def undirected_sbm_random_graph(spark, d):
-    return G.undirected_sbm_random_graph(spark, [4, 5], [[0.0, 1.0], [1.0, 0.0]], False, seed=1).edge_list()
+    n = grown(spark, d)
+    return G.undirected_sbm_random_graph(spark, [n // 2, n - n // 2], [[0.0, 1.0], [1.0, 0.0]], False, seed=1).edge_list()
 
 
-@query("SELECT i AS src, j AS dst FROM range(9) a(i), range(9) b(j) WHERE i < 4 AND j >= 4")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a, b, n WHERE i < n // 2 AND j >= n // 2")
 def directed_sbm_random_graph(spark, d):
-    return G.directed_sbm_random_graph(spark, [4, 5], [[0.0, 1.0], [0.0, 0.0]], True, seed=1).edge_list()
+    n = grown(spark, d)
+    return G.directed_sbm_random_graph(spark, [n // 2, n - n // 2], [[0.0, 1.0], [0.0, 0.0]], True, seed=1).edge_list()
 
 
-@query("SELECT i AS src, j + 5 AS dst FROM range(5) a(i), range(7) b(j)")
+@query(GROWN + " SELECT i AS src, n + k AS dst FROM a, n, (SELECT unnest(range(7)) AS k)")
 def undirected_random_bipartite_graph(spark, d):
-    return G.undirected_random_bipartite_graph(spark, 5, 7, 1.0, seed=1).edge_list()
+    return G.undirected_random_bipartite_graph(spark, grown(spark, d), 7, 1.0, seed=1).edge_list()
 
 
-@query("SELECT i AS src, j + 5 AS dst FROM range(5) a(i), range(7) b(j)")
+@query(GROWN + " SELECT i AS src, n + k AS dst FROM a, n, (SELECT unnest(range(7)) AS k)")
 def directed_random_bipartite_graph(spark, d):
-    return G.directed_random_bipartite_graph(spark, 5, 7, 1.0, seed=1).edge_list()
+    return G.directed_random_bipartite_graph(spark, grown(spark, d), 7, 1.0, seed=1).edge_list()
 
 
-@query("SELECT 150::BIGINT AS nodes, (150 - 3) * 3 + 2 AS edges")
+@query(GROWN + " SELECT n AS nodes, (n - 3) * 3 + 2 AS edges FROM n")
 def directed_barabasi_albert_graph(spark, d):
-    return _sizes(spark, G.directed_barabasi_albert_graph(spark, 150, 3, seed=3))
+    return _sizes(spark, G.directed_barabasi_albert_graph(spark, grown(spark, d), 3, seed=3))
 
 
-@query("SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300 AND sqrt((a.embedding[1]::DOUBLE - b.embedding[1]) ** 2 + (a.embedding[2]::DOUBLE - b.embedding[2]) ** 2) < 0.05")
+@query("SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE sqrt((a.embedding[1]::DOUBLE - b.embedding[1]) ** 2 + (a.embedding[2]::DOUBLE - b.embedding[2]) ** 2) < 0.05")
 def random_geometric_graph(spark, d):
-    rows = read(spark, d, "embeddings").where("vec_id < 300").orderBy("vec_id").select(F.slice("embedding", 1, 2).cast("array<double>").alias("p")).collect()
-    return G.random_geometric_graph(spark, len(rows), 0.05, pos=[r.p for r in rows]).edge_list()
+    rows = read(spark, d, "embeddings").orderBy("vec_id").select(F.slice("embedding", 1, 2).cast("array<double>").alias("p")).collect()
+    return G.random_geometric_graph(spark, len(rows), 0.05, pos=[list(r.p) for r in rows]).edge_list()
 
 
-@query("SELECT i AS src, j AS dst FROM range(20) a(i), range(20) b(j) WHERE i < j AND abs(asinh(0.3 * i) - asinh(0.3 * j)) < 0.7")
+@query("WITH x AS (SELECT vec_id AS i, asinh(embedding[1]::DOUBLE * 20) AS u FROM embeddings) SELECT a.i AS src, b.i AS dst FROM x a JOIN x b ON a.i < b.i WHERE abs(a.u - b.u) < 0.7")
 def hyperbolic_random_graph(spark, d):
-    return G.hyperbolic_random_graph(spark, [[0.3 * i] for i in range(20)], 0.7).edge_list()
+    rows = read(spark, d, "embeddings").orderBy("vec_id").select((F.col("embedding")[0].cast("double") * 20).alias("p")).collect()
+    return G.hyperbolic_random_graph(spark, [[r.p] for r in rows], 0.7).edge_list()
 
 
 # --- the graph value ---------------------------------------------------------------------------
 
 
-@query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges, true AS directed")
+@query("SELECT count(*) AS nodes, 0::BIGINT AS edges, true AS directed FROM nation")
 def new(spark, d):
-    g = Graph.empty(spark, True)
+    g = Graph.empty(spark, True).add_nodes_from([r.n_name for r in read(spark, d, "nation").select("n_name").collect()])[0]
     return _row(spark, nodes=g.num_nodes(), edges=g.num_edges(), directed=g.directed)
 
 
@@ -600,22 +656,22 @@ def save_and_load(spark, d):
     return Graph.load(spark, at).edge_index_map()
 
 
-@query("SELECT true AS directed, true AS multigraph, true AS check_cycle, 'x' AS attrs")
+@query(TRADE + " SELECT true AS directed, true AS multigraph, true AS check_cycle, 'x' AS attrs, count(*) AS edges FROM e WHERE src < dst")
 def getnewargs_and_state(spark, d):
     at = f"{spot(spark)}/g"
-    Graph.empty(spark, True, attrs="x", check_cycle=True).save(at)
+    upward(spark, d).with_(attrs="x", check_cycle=True).save(at)
     g = Graph.load(spark, at)
-    return _row(spark, directed=g.directed, multigraph=g.multigraph, check_cycle=g.check_cycle, attrs=g.attrs)
+    return _row(spark, directed=g.directed, multigraph=g.multigraph, check_cycle=g.check_cycle, attrs=g.attrs, edges=g.num_edges())
 
 
-@query("SELECT false AS before, true AS later, true AS refused")
+@query(TRADE + " SELECT false AS before, true AS later, count(*) > 0 AS refused FROM e WHERE src < dst")
 def check_cycle(spark, d):
     from weftgraph.errors import DAGWouldCycle
 
-    g = G.directed_path_graph(spark, 3)
-    h, refused = g.set_check_cycle(True), False
+    g = upward(spark, d).cached()
+    h, refused, one = g.set_check_cycle(True), False, g.E.orderBy("eid").head()
     try:
-        h.add_edge(2, 0, None)
+        h.add_edge(one.dst, one.src, 0)
     except DAGWouldCycle:
         refused = True
     return _row(spark, before=g.check_cycle, later=h.check_cycle, refused=refused)
@@ -767,21 +823,30 @@ def insert_node_on_out_edges_multiple(spark, d):
     return g.insert_node_on_out_edges_multiple(n, [3, 4]).edge_list()
 
 
-RETAINED = "SELECT * FROM (VALUES (0::BIGINT, 3::BIGINT, 1.0::DOUBLE), (1, 4, 2.0)) t(src, dst, payload)"
+RETAINED = TREE + " SELECT src, dst FROM e WHERE src <> 102 AND dst <> 102 UNION ALL SELECT i.src, o.dst FROM e i JOIN e o ON i.dst = 102 AND o.src = 102"
 
 
-def _crossing(spark):
-    return small(spark, [(0, 2, 1.0), (1, 2, 2.0), (2, 3, 1.0), (2, 4, 2.0)])
+def upward(spark, d):
+    """The trade graph's edges to greater ids: it has no cycle."""
+    g = trade(spark, d)
+    return g.with_(E=g.E.where("src < dst"))
+
+
+def simple_trade(spark, d):
+    """Trade without direction and without parallel edges; the payload of a pair is the sum."""
+    g = trade(spark, d, False)
+    E = g.E.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("eid").alias("eid"), F.sum("payload").cast("bigint").alias("payload"))
+    return g.with_(E=E.select("eid", "src", "dst", "payload"), multigraph=False).cached()
 
 
 @query(RETAINED)
 def remove_node_retain_edges_by_key(spark, d):
-    return ends(_crossing(spark).remove_node_retain_edges_by_key(2, "payload"))
+    return tree(spark, d).remove_node_retain_edges_by_key(102, "payload").edge_list()
 
 
 @query(RETAINED)
 def remove_node_retain_edges_by_id(spark, d):
-    return ends(_crossing(spark).remove_node_retain_edges_by_id(2))
+    return tree(spark, d).remove_node_retain_edges_by_id(102).edge_list()
 
 
 @query(TRADE + " SELECT eid, src, dst, w AS payload FROM e WHERE eid IN (2, 5)")
@@ -803,15 +868,17 @@ def substitute_node_with_subgraph(spark, d):
     return trade(spark, d).substitute_node_with_subgraph(2, two, lambda src, dst, payload: 0 if src == 2 else 1)[0].edge_list()
 
 
-@query("SELECT true AS ends, false AS around")
+@query(TREE + " SELECT count(*) > 0 AS ends, false AS around FROM e WHERE src = 102")
 def can_contract_without_cycle(spark, d):
-    g = G.directed_path_graph(spark, 5)
-    return _row(spark, ends=g.can_contract_without_cycle([1, 2]), around=g.can_contract_without_cycle([0, 3]))
+    g = tree(spark, d)
+    low = g.E.where("src = 102").agg(F.min("dst")).head()[0]
+    top = g.E.where("dst = 102").head().src
+    return _row(spark, ends=g.can_contract_without_cycle([102, low]), around=g.can_contract_without_cycle([top, low]))
 
 
-@query(TREE + " SELECT 4::BIGINT AS layers, (SELECT count(*) FROM v) * 0 + 40::BIGINT AS nodes, false AS active")
+@query(TREE + " SELECT 3::BIGINT AS layers, (SELECT count(*) FROM v) AS nodes, false AS active")
 def topological_sorter(spark, d):
-    s = TopologicalSorter(G.full_rary_tree(spark, 3, 40).with_(directed=True))
+    s = TopologicalSorter(tree(spark, d))
     layers = nodes_ = 0
     while s.is_active():
         ready = s.get_ready()
@@ -854,21 +921,22 @@ def maximum_distance(spark, d):
     return _against_first(spark, d, Di.maximum_distance)
 
 
-def _points(spark):
-    i = F.col("id")
-    return spark.range(20).select("id", F.array(i * 0.15, i * 0.3 + 0.1).alias("x"), F.array(F.lit(1.0), F.lit(2.0)).alias("y"))
+def _points(spark, d):
+    """The first two numbers of each embedding, and a fixed point."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 2).alias("x"))
+    return rows.withColumn("y", F.array(F.lit(1.0), F.lit(2.0)))
 
 
-@query("SELECT i AS id, round(acos(least(1, greatest(-1, cos(i * 0.15) * cos(1) + sin(i * 0.15) * sin(1) * cos(i * 0.3 + 0.1 - 2)))), 5) AS dist FROM range(20) t(i)")
+@query("WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT id, round(acos(least(1, greatest(-1, cos(a) * cos(1) + sin(a) * sin(1) * cos(b - 2)))), 5) AS dist FROM p")
 def angular_distance(spark, d):
-    return _points(spark).select("id", F.round(Di.angular_distance(F.col("x"), F.col("y")), 5).alias("dist"))
+    return _points(spark, d).select("id", F.round(Di.angular_distance(F.col("x"), F.col("y")), 5).alias("dist"))
 
 
-@query("SELECT i AS id, round(acosh(greatest(1, cosh(i * 0.15) * cosh(1) - sinh(i * 0.15) * sinh(1) * cos(i * 0.3 + 0.1 - 2))), 5) AS dist FROM range(20) t(i)")
+@query("WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT id, round(acosh(greatest(1, cosh(a) * cosh(1) - sinh(a) * sinh(1) * cos(b - 2))), 5) AS dist FROM p")
 def polar_hyperbolic_distance(spark, d):
-    return _points(spark).select("id", F.round(Di.polar_hyperbolic_distance(F.col("x"), F.col("y")), 5).alias("dist"))
+    return _points(spark, d).select("id", F.round(Di.polar_hyperbolic_distance(F.col("x"), F.col("y")), 5).alias("dist"))
 
 
-@query("SELECT i AS id, round(acosh(greatest(1, sqrt(1 + (i * 0.15) ** 2 + (i * 0.3 + 0.1) ** 2) * sqrt(6) - (i * 0.15 + 2 * (i * 0.3 + 0.1)))), 5) AS dist FROM range(20) t(i)")
+@query("WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT id, round(acosh(greatest(1, sqrt(1 + a * a + b * b) * sqrt(6) - (a + 2 * b))), 5) AS dist FROM p")
 def hyperboloid_hyperbolic_distance(spark, d):
-    return _points(spark).select("id", F.round(Di.hyperboloid_hyperbolic_distance(F.col("x"), F.col("y")), 5).alias("dist"))
+    return _points(spark, d).select("id", F.round(Di.hyperboloid_hyperbolic_distance(F.col("x"), F.col("y")), 5).alias("dist"))

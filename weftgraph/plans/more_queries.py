@@ -15,7 +15,7 @@ from weftgraph.operators import paths as P
 from weftgraph.operators import products as Pr
 from weftgraph.operators import traversal as T
 from weftgraph.operators import trees as Tr
-from weftgraph.plans.queries import CHAINS, HOPS, RELAX, SUPPLY, TRADE, TREE, _row, chains, query, read, supply, trade, tree
+from weftgraph.plans.queries import CHAINS, GROWN, HOPS, RELAX, SUPPLY, TRADE, TREE, _row, chains, grown, query, read, supply, trade, tree
 from weftgraph.sources import files as Fi
 from weftgraph.sources import generators as G
 
@@ -415,9 +415,13 @@ def dag_weighted_longest_path_length(spark, d):
 # --- trees, matching, colouring, products ------------------------------------------------------
 
 
-@query("SELECT x AS src, y AS dst, (abs(x // 5 - y // 5) + abs(x % 5 - y % 5))::DOUBLE AS dist FROM range(20) a(x), range(20) b(y) WHERE x < y")
+@query(TREE + """, h AS (SELECT dst, src FROM e WHERE src >= 100 AND src IN (SELECT dst FROM e WHERE src = 1) UNION ALL SELECT dst, src FROM e WHERE src = 1), up AS (SELECT id, id AS top, 0 AS k FROM (SELECT dst AS id FROM h UNION SELECT src FROM h) UNION ALL SELECT up.id, h.src, k + 1 FROM up JOIN h ON h.dst = up.top)
+SELECT x.id AS src, y.id AS dst, min(x.k + y.k)::DOUBLE AS dist FROM up x JOIN up y ON x.top = y.top AND x.id < y.id GROUP BY 1, 2""")
 def metric_closure(spark, d):
-    return Tr.metric_closure(G.grid_graph(spark, 4, 5)).select("src", "dst", "dist")  # the trade graph need not be connected
+    g = tree(spark, d).cached()  # the tree of region 1, for the whole is not connected
+    V = T.descendants(g, 1).union(g.node_frame([1]))
+    E = g.E.join(V.withColumnRenamed("id", "src"), "src", "left_semi").select("eid", "src", "dst", "payload")
+    return Tr.metric_closure(g.with_(g.V.join(V, "id", "left_semi"), E, directed=False).cached()).select("src", "dst", "dist")
 
 
 @query("SELECT true AS matching, true AS maximal")
@@ -465,79 +469,81 @@ def _sizes(spark, g):
     return _row(spark, nodes=g.num_nodes(), edges=g.num_edges())
 
 
-@query("SELECT i AS src, j AS dst FROM range(30) a(i), range(30) b(j) WHERE i <> j")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i <> j")
 def directed_complete_graph(spark, d):
-    return G.directed_complete_graph(spark, 30).edge_list()
+    return G.directed_complete_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, i + 1 AS dst FROM range(99) t(i) UNION ALL SELECT i + 1, i FROM range(99) t(i)")
+@query(GROWN + " SELECT i AS src, i + 1 AS dst FROM a, n WHERE i + 1 < n UNION ALL SELECT i + 1, i FROM a, n WHERE i + 1 < n")
 def directed_path_graph(spark, d):
-    return G.directed_path_graph(spark, 100, bidirectional=True).edge_list()
+    return G.directed_path_graph(spark, grown(spark, d), bidirectional=True).edge_list()
 
 
-@query("SELECT i AS src, (i + 1) % 100 AS dst FROM range(100) t(i)")
+@query(GROWN + " SELECT i AS src, (i + 1) % n AS dst FROM a, n")
 def directed_cycle_graph(spark, d):
-    return G.directed_cycle_graph(spark, 100).edge_list()
+    return G.directed_cycle_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, 0::BIGINT AS dst FROM range(1, 100) t(i)")
+@query(GROWN + " SELECT i AS src, 0::BIGINT AS dst FROM a WHERE i > 0")
 def directed_star_graph(spark, d):
-    return G.directed_star_graph(spark, 100, inward=True).edge_list()
+    return G.directed_star_graph(spark, grown(spark, d), inward=True).edge_list()
 
 
-@query("SELECT 50::BIGINT AS nodes, 0::BIGINT AS edges")
+@query(GROWN + " SELECT n AS nodes, 0::BIGINT AS edges FROM n")
 def empty_graph(spark, d):
-    return _sizes(spark, G.empty_graph(spark, 50))
+    return _sizes(spark, G.empty_graph(spark, grown(spark, d)))
 
 
-@query("SELECT i AS src, j AS dst FROM range(6) a(i), range(6) b(j) WHERE i < j UNION ALL SELECT i, i + 1 FROM range(5, 10) t(i)")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i < j UNION ALL SELECT n - 1 + k, n + k FROM n, (SELECT unnest(range(25)) AS k)")
 def lollipop_graph(spark, d):
-    return G.lollipop_graph(spark, 6, 5).edge_list().select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return G.lollipop_graph(spark, grown(spark, d), 25).edge_list().select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-@query("SELECT 15::BIGINT AS nodes, 2 * (6 * 5 // 2) + 3 + 1 AS edges")
+@query(GROWN + " SELECT 2 * n + 3 AS nodes, n * (n - 1) + 3 + 1 AS edges FROM n")
 def barbell_graph(spark, d):
-    return _sizes(spark, G.barbell_graph(spark, 6, 3))
+    return _sizes(spark, G.barbell_graph(spark, grown(spark, d), 3))
 
 
-@query("SELECT 5 * 5 + 2 * 5 * (5 - 1) AS nodes, 4 * 5 * (5 - 1) AS edges")
+@query(GROWN + ", k AS (SELECT 2 * (n // 20) + 3 AS k FROM n) SELECT 3 * k * k - 2 * k AS nodes, 4 * k * (k - 1) AS edges FROM k")
 def heavy_square_graph(spark, d):
-    return _sizes(spark, G.heavy_square_graph(spark, 5))
+    return _sizes(spark, G.heavy_square_graph(spark, 2 * (grown(spark, d) // 20) + 3))
 
 
-@query("SELECT (5 * 25 - 2 * 5 - 1) // 2 AS nodes")
+@query(GROWN + ", k AS (SELECT 2 * (n // 20) + 3 AS k FROM n) SELECT (5 * k * k - 2 * k - 1) // 2 AS nodes FROM k")
 def heavy_hex_graph(spark, d):
-    return _row(spark, nodes=G.heavy_hex_graph(spark, 5).num_nodes())
+    return _row(spark, nodes=G.heavy_hex_graph(spark, 2 * (grown(spark, d) // 20) + 3).num_nodes())
 
 
-@query("SELECT 2 * (4 + 1) * (6 + 1) - 2 AS nodes, 3 * 4 * 6 + 2 * (4 + 6) - 1 AS edges")
+@query(GROWN + " SELECT 2 * (4 + 1) * (n + 1) - 2 AS nodes, 3 * 4 * n + 2 * (4 + n) - 1 AS edges FROM n")
 def hexagonal_lattice_graph(spark, d):
-    return _sizes(spark, G.hexagonal_lattice_graph(spark, 4, 6))
+    return _sizes(spark, G.hexagonal_lattice_graph(spark, 4, grown(spark, d)))
 
 
-@query("SELECT (3 ** 5 + 3)::BIGINT // 2 AS nodes, (3 ** 5)::BIGINT AS edges")
+@query(GROWN + " SELECT (3 ** k + 3)::BIGINT // 2 AS nodes, (3 ** k)::BIGINT AS edges FROM (SELECT floor(log2(n))::INT + 1 AS k FROM n)")
 def dorogovtsev_goltsev_mendes_graph(spark, d):
-    return _sizes(spark, G.dorogovtsev_goltsev_mendes_graph(spark, 5))
+    return _sizes(spark, G.dorogovtsev_goltsev_mendes_graph(spark, grown(spark, d).bit_length()))
 
 
-@query("SELECT 200::BIGINT AS nodes, 900::BIGINT AS edges")
+@query(GROWN + " SELECT n AS nodes, 3 * n AS edges FROM n")
 def undirected_gnm_random_graph(spark, d):
-    return _sizes(spark, G.undirected_gnm_random_graph(spark, 200, 900, seed=3))
+    n = grown(spark, d)
+    return _sizes(spark, G.undirected_gnm_random_graph(spark, n, 3 * n, seed=3))
 
 
-@query("SELECT 200::BIGINT AS nodes, 900::BIGINT AS edges")
+@query(GROWN + " SELECT n AS nodes, 3 * n AS edges FROM n")
 def directed_gnm_random_graph(spark, d):
-    return _sizes(spark, G.directed_gnm_random_graph(spark, 200, 900, seed=3))
+    n = grown(spark, d)
+    return _sizes(spark, G.directed_gnm_random_graph(spark, n, 3 * n, seed=3))
 
 
-@query("SELECT i AS id, 4::BIGINT AS degree FROM range(100) t(i)")
+@query(GROWN + " SELECT i AS id, 4::BIGINT AS degree FROM a")
 def random_regular_graph(spark, d):
-    return G.random_regular_graph(spark, 100, 4, seed=3).degrees().select("id", "degree")
+    return G.random_regular_graph(spark, grown(spark, d), 4, seed=3).degrees().select("id", "degree")
 
 
-@query("SELECT 150::BIGINT AS nodes, (150 - 3) * 3 + 2 AS edges")
+@query(GROWN + " SELECT n AS nodes, (n - 3) * 3 + 2 AS edges FROM n")
 def barabasi_albert_graph(spark, d):
-    return _sizes(spark, G.barabasi_albert_graph(spark, 150, 3, seed=3))
+    return _sizes(spark, G.barabasi_albert_graph(spark, grown(spark, d), 3, seed=3))
 
 
 @query("SELECT round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dist, a.vec_id AS id FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")

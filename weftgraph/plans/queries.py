@@ -105,6 +105,14 @@ def supply(spark: SparkSession, d: str) -> Graph:
 SUPPLY = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem)"""
 
 
+#: Generators make as many vertices as there are suppliers, so that they grow with the tables.
+GROWN = "WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT unnest(range(n)) AS i FROM n), b AS (SELECT i AS j FROM a)"
+
+
+def grown(spark: SparkSession, d: str, table: str = "supplier") -> int:
+    return read(spark, d, table).count()
+
+
 def _row(spark: SparkSession, **values) -> DataFrame:
     kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items()))
@@ -460,44 +468,44 @@ def remove_node_retain_edges(spark, d):
 # --- generators, layouts, files ----------------------------------------------------------------
 
 
-@query("SELECT i AS src, j AS dst FROM range(40) a(i) JOIN range(40) b(j) ON i < j")
+@query(GROWN + " SELECT i AS src, j AS dst FROM a JOIN b ON i < j")
 def complete_graph(spark, d):
-    return G.complete_graph(spark, 40).edge_list()
+    return G.complete_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, i + 1 AS dst FROM range(99) t(i)")
+@query(GROWN + " SELECT i AS src, i + 1 AS dst FROM a, n WHERE i + 1 < n")
 def path_graph(spark, d):
-    return G.path_graph(spark, 100).edge_list()
+    return G.path_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, (i + 1) % 100 AS dst FROM range(100) t(i)")
+@query(GROWN + " SELECT i AS src, (i + 1) % n AS dst FROM a, n")
 def cycle_graph(spark, d):
-    return G.cycle_graph(spark, 100).edge_list()
+    return G.cycle_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT 0::BIGINT AS src, i AS dst FROM range(1, 100) t(i)")
+@query(GROWN + " SELECT 0::BIGINT AS src, i AS dst FROM a WHERE i > 0")
 def star_graph(spark, d):
-    return G.star_graph(spark, 100).edge_list()
+    return G.star_graph(spark, grown(spark, d)).edge_list()
 
 
-@query("SELECT i * 9 + j AS src, (i + 1) * 9 + j AS dst FROM range(6) a(i), range(9) b(j) UNION ALL SELECT i * 9 + j, i * 9 + j + 1 FROM range(7) a(i), range(8) b(j)")
+@query(GROWN + ", r AS (SELECT unnest(range(k)) AS r, k FROM (SELECT count(*) AS k FROM nation)) SELECT r * n + i AS src, (r + 1) * n + i AS dst FROM a, n, r WHERE r + 1 < k UNION ALL SELECT r * n + i, r * n + i + 1 FROM a, n, r WHERE i + 1 < n")
 def grid_graph(spark, d):
-    return G.grid_graph(spark, 7, 9).edge_list()
+    return G.grid_graph(spark, grown(spark, d, "nation"), grown(spark, d)).edge_list()
 
 
-@query("SELECT i - (1 << floor(log2(i))::INT) AS src, i AS dst FROM range(1, 256) t(i)")
+@query(GROWN + " SELECT i - (1 << floor(log2(i))::INT) AS src, i AS dst FROM (SELECT unnest(range(1, 1 << k)) AS i FROM (SELECT floor(log2(n))::INT + 1 AS k FROM n))")
 def binomial_tree_graph(spark, d):
-    return G.binomial_tree_graph(spark, 8).edge_list()
+    return G.binomial_tree_graph(spark, grown(spark, d).bit_length()).edge_list()
 
 
-@query("SELECT (i - 1) // 3 AS src, i AS dst FROM range(1, 100) t(i)")
+@query(GROWN + " SELECT (i - 1) // 3 AS src, i AS dst FROM a WHERE i > 0")
 def full_rary_tree(spark, d):
-    return G.full_rary_tree(spark, 3, 100).edge_list()
+    return G.full_rary_tree(spark, 3, grown(spark, d)).edge_list()
 
 
-@query("SELECT i AS src, (i + 3) % 11 AS dst FROM range(11) t(i) UNION ALL SELECT i + 11, (i + 1) % 11 + 11 FROM range(11) t(i) UNION ALL SELECT i + 11, i FROM range(11) t(i)")
+@query(GROWN + " SELECT i AS src, (i + 3) % n AS dst FROM a, n UNION ALL SELECT i + n, (i + 1) % n + n FROM a, n UNION ALL SELECT i + n, i FROM a, n")
 def generalized_petersen_graph(spark, d):
-    return G.generalized_petersen_graph(spark, 11, 3).edge_list()
+    return G.generalized_petersen_graph(spark, grown(spark, d), 3).edge_list()
 
 
 @query("SELECT 34::BIGINT AS nodes, 78::BIGINT AS edges, 231.0::DOUBLE AS weight")
@@ -530,7 +538,7 @@ def dot_round_trip(spark, d):
 
 
 def queries():
-    from weftgraph.plans import further_queries, more_queries  # noqa: F401  they register themselves
+    from weftgraph.plans import further_queries, large_queries, more_queries  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

@@ -276,8 +276,10 @@ def dorogovtsev_goltsev_mendes_graph(spark, n: int) -> Graph:
     E, size = spark.range(1).select(F.col("id").alias("eid"), F.lit(0).alias("src"), F.lit(1).alias("dst")), 2
     for k in range(n):
         m = 3**k
-        new = F.col("eid") + size
-        E = E.union(E.select((F.col("eid") * 2 + m).alias("eid"), "src", new.alias("dst"))).union(E.select(F.col("eid") * 2 + m + 1, "dst", new))
+        eid, new = F.col("eid"), (F.col("eid") + size).cast("bigint").alias("dst")
+        edge = lambda e, a, b: F.struct(e.cast("bigint").alias("eid"), F.col(a).cast("bigint").alias("src"), b)
+        kept, left, right = edge(eid, "src", F.col("dst").cast("bigint").alias("dst")), edge(eid * 2 + m, "src", new), edge(eid * 2 + m + 1, "dst", new)
+        E = E.select(F.inline(F.array(kept, left, right)))
         size += m
     return _make(spark, size, E, False, True)
 
