@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, minhash_dedup
+from weftgraph.llm import bpe, decontam, minhash_dedup
 
 DOC = "doc_id bigint, text string"
 
@@ -68,3 +68,13 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
     for k in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{k}.parquet").limit(0).write.parquet(f"{none}/{k}.parquet")
     assert corpus_pipeline.run(spark, str(none)).collect() == []
+
+
+def test_long_benchmark_items(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    items = [(1, " ".join(long)), (2, " ".join(long[500:520])), (3, "only here")]
+    docs = [(k, " ".join(["a", "b"] + long[k * 5000 : k * 5000 + 30] + ["c"])) for k in range(10)] + [(10, " ".join(long[:12])), (11, "so only here it is"), (12, " ".join(long[505:519]))]
+    got = {r.doc_id: r for r in decontam.contamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert all(got[k].n_hit == 30 and got[k].n_items == 1 and got[k].contaminated for k in range(10))
+    assert got[10].n_hit == 0 and got[11].n_hit == 2 and (got[12].n_hit, got[12].n_items) == (14, 2)

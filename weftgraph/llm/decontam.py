@@ -10,6 +10,7 @@ word over the item-sized window around the match.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.llm._util import Scratch, ascii_lower
@@ -29,11 +30,27 @@ def words(text) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
-def contexts(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Each window's words with its place in the item: key, at (0-based), win array<string>, n."""
+def item_words(items: DataFrame, key: str, text: str) -> DataFrame:
+    """item, n (its words), pos (0-based), word: a row per word of each different item that has words."""
     it = items.select(uid(key, text, "item"), words(F.col(text)).alias("w")).where("size(w) > 0").distinct()
-    it = it.withColumn("size", F.least(F.lit(window), F.size("w")))
-    return it.select("item", "size", F.size("w").alias("n"), "w", F.explode(F.expr("sequence(0, size(w) - size)")).alias("at"))
+    return it.select("item", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+
+
+def prefixes(each: DataFrame, window: int) -> DataFrame:
+    """item, size, word, q, df, il, ir from words with their counts (item, n, pos, word, df): the rarest word of each
+    window (ties: the word itself, then the first place), its place, and up to ``window - 1`` words before (nearest
+    first) and after it. All are frames of at most ``window`` rows around a word, so long items cost no more
+    a word than short ones."""
+    at = W.partitionBy("item").orderBy("pos")
+    around = window - 1
+    seen = each.select(
+        "item", "pos", F.least(F.lit(window), "n").alias("size"), "n",
+        F.min(F.struct("df", "word", "pos")).over(at.rowsBetween(0, around)).alias("m"),
+        F.reverse(F.collect_list("word").over(at.rowsBetween(-around, -1))).alias("il"),
+        F.collect_list("word").over(at.rowsBetween(1, around)).alias("ir"),
+    )
+    rare = seen.where("pos <= n - size AND m.df > 0").select("item", "size", F.col("m.word").alias("word"), F.col("m.pos").alias("pos"), F.col("m.df").alias("df")).distinct()
+    return rare.join(seen.select("item", "pos", "il", "ir"), ["item", "pos"]).withColumnRenamed("pos", "q")
 
 
 def bitmap(prefix: DataFrame) -> tuple[Column, int]:
@@ -57,26 +74,16 @@ def hits(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: s
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     d = docs.select(uid(doc_key, text), words(F.col(text)).alias("w"))
-    wins = contexts(items, item_key, text, window)
+    each = scratch.save(item_words(items, item_key, text))
     # rarity: counts over all documents, of the items' words only
-    n_vocab = scratch.save(wins.select(F.explode("w").alias("word")).distinct())
+    n_vocab = scratch.save(each.select("word").distinct())
     inline = n_vocab.limit(INLINE + 1).count() <= INLINE
     all_words = d.select(F.explode("w").alias("word"))
     side = F.broadcast(n_vocab) if inline else n_vocab
     counts = all_words.join(side, "word", "left_semi").groupBy("word").count()
     counts = scratch.save(n_vocab.join(counts, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("df")))
-    # the rarest word of each window (ties: the word itself, then the first place)
-    places = wins.select("item", "size", "n", "at", F.posexplode(F.expr("slice(w, at + 1, size)")).alias("o", "word")).join(F.broadcast(counts) if inline else counts, "word")
-    rare = places.groupBy("item", "at").agg(F.min(F.struct("df", "word", "o")).alias("m"), F.first("size").alias("size"))
-    rare = rare.select("item", "size", F.col("m.word").alias("word"), (F.col("at") + F.col("m.o")).alias("q"), F.col("m.df").alias("df")).where("df > 0").distinct()
-    full = items.select(uid(item_key, text, "item"), words(F.col(text)).alias("iw")).distinct()
     around = window - 1
-    rare = rare.join(full, "item").select(
-        "item", "size", "word", "q",
-        F.expr(f"reverse(slice(iw, greatest(q - {around}, 0) + 1, least(q, {around})))").alias("il"),
-        F.expr(f"slice(iw, q + 2, {around})").alias("ir"),
-    )
-    rare = scratch.save(rare)
+    rare = scratch.save(prefixes(each.join(F.broadcast(counts) if inline else counts, "word"), window))
     held, bits = bitmap(rare.select("word").distinct())
     ctx = "named_struct('p', i, 'word', w[i], 'l', reverse(slice(w, greatest(i - {0}, 0) + 1, least(i, {0}))), 'r', slice(w, i + 2, {0}))".format(around)
     slot = f"pmod(xxhash64(x), {bits})"
