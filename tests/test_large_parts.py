@@ -10,8 +10,9 @@ from weftgraph.operators import centrality as C
 from weftgraph.operators import coloring as Col
 from weftgraph.operators import components as Co
 from weftgraph.operators import dag as D
-from weftgraph.operators import euler, local
+from weftgraph.operators import euler, local, tiles
 from weftgraph.operators import kernels as K
+from weftgraph.operators import paths as P
 from weftgraph.sources import generators as G
 
 
@@ -114,7 +115,7 @@ def test_cycle_bases(spark, monkeypatch):
 
 def test_longest_paths_and_ranks(spark):
     rng = random.Random(2)
-    e = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)})
+    e = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(22)})
     g = make(spark, e, 31, True)
     w, best = {(a, b): 1 + (a * 7 + b) % 5 for a, b in e}, {}
     for v in range(31):
@@ -138,3 +139,22 @@ def test_recursive_generator_grows_by_a_step_a_round(spark):
     g = G.dorogovtsev_goltsev_mendes_graph(spark, 6)
     assert g.num_edges() == 3**6 and g.E.select("eid").distinct().count() == 3**6
     assert g.E.agg(F.max(F.greatest("src", "dst"))).head()[0] == (3**6 + 3) // 2 - 1
+
+
+def test_tiles_and_k_best_lists(spark, monkeypatch):
+    rng = random.Random(7)
+    g = make(spark, [(rng.randrange(22), rng.randrange(22)) for _ in range(60)] + [(3, 4), (3, 4), (5, 5)], 24, True)
+    want = [shown(f(g, "payload")) for f in (P.floyd_warshall, P.floyd_warshall_successor_and_distance)] + [shown(P.k_shortest_path_lengths(g, 0, 3, "payload"))]
+    monkeypatch.setattr(P, "DENSE", 5)
+    monkeypatch.setattr(tiles, "SIDE", 10)
+    monkeypatch.setattr(local, "PART_ROWS", 5)
+    assert shown(P.floyd_warshall(g, "payload")) == want[0]
+    assert shown(P.k_shortest_path_lengths(g, 0, 3, "payload")) == want[2]
+    got = {(a, b): (d, x) for a, b, d, x in shown(P.floyd_warshall_successor_and_distance(g, "payload"))}
+    assert {k: d for k, (d, _) in got.items()} == {(a, b): d for a, b, d, _ in want[1]}
+    w = {}
+    for r in g.E.collect():
+        w[r.src, r.dst] = min(w.get((r.src, r.dst), r.payload), r.payload)
+    for (a, b), (d, x) in got.items():  # the next vertex is a step of a shortest path
+        if a != b:
+            assert (x == b and d == float("inf")) or d == w[a, x] + got[x, b][0]

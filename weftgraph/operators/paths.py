@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from weftgraph.errors import NegativeCycle, NoPathFound
 from weftgraph.graph import Graph, Weight, condition
 from weftgraph.operators import kernels as K
-from weftgraph.operators import levels
-from weftgraph.operators.local import as_whole, can_broadcast, fan_out
+from weftgraph.operators import levels, local
+from weftgraph.operators.local import as_whole, can_broadcast, fan_out, within
 from weftgraph.operators.traversal import bfs_distances, reach
-from weftgraph.plans.fixpoint import checkpoint
+from weftgraph.plans.fixpoint import checkpoint, handy, written
 
 
 def _checked(graph: Graph, weight: Weight, default: float, undirected: bool | None = None) -> DataFrame:
@@ -150,10 +150,33 @@ def num_shortest_paths_unweighted(graph: Graph, source: int) -> DataFrame:
 
 
 def k_shortest_path_lengths(graph: Graph, start: int, k: int, weight: Weight = None, goal: int | None = None) -> DataFrame:
-    out = as_whole(graph, lambda g: [(v, float(d)) for v, d in K.k_shortest(g, start, k).items()], "id bigint, dist double", weight)
+    """id, dist: the length of the k-th shortest walk from ``start`` to each vertex that k walks reach."""
+    if within(local.PART_ROWS, graph.V, graph.E):
+        out = as_whole(graph, lambda g: [(v, float(d)) for v, d in K.k_shortest(g, start, k).items()], "id bigint, dist double", weight)
+    else:
+        out = k_best(graph, start, k, weight).where(F.col("rank") == k).select("id", "dist")
     return out if goal is None else out.where(F.col("id") == goal)
 
 
+def k_best(graph: Graph, start: int, k: int, weight: Weight = None) -> DataFrame:
+    """id, rank (from 1), dist: the k shortest walks of each vertex.
+
+    A round makes all lists anew from those of the vertices before, so no walk counts twice; each is cut to k before the
+    shuffle. After t rounds the lists are those of walks of up to t arcs, and it ends when none changes.
+    """
+    arcs = written(_checked(graph, weight, 1.0))
+    here = graph.node_frame([start]).select("id", F.lit(0.0).alias("dist"))
+    best = W.partitionBy("id").orderBy("dist")
+    lists = checkpoint(here.select("id", F.lit(1).alias("rank"), "dist"))
+    while True:
+        n = lists.count()
+        more = arcs.join(handy(lists.select(F.col("id").alias("src"), F.col("dist").alias("d")), n), "src").select(F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"))
+        new = checkpoint(more.union(here).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "dist"))
+        if new.join(lists.withColumnRenamed("dist", "o"), ["id", "rank"], "left").where("o IS NULL OR dist != o").isEmpty():
+            return new
+        lists = new
+
+
 def astar_shortest_path(graph: Graph, node: int, goal, weight: Weight = None, estimate="0D") -> list[int]:
     """``goal`` and ``estimate``: Column, SQL over the vertex row, or a callable of the payload."""
     if not graph.has_node(node):
@@ -277,20 +300,38 @@ def distance_matrix(graph: Graph, as_undirected: bool = False, null_value: float
 
 def floyd_warshall(graph: Graph, weight: Weight = None, default: float = 1.0, as_undirected: bool = False) -> DataFrame:
     """src, dst, dist of reached pairs, the diagonal too; negative weights are allowed."""
+    g = graph.with_(directed=False) if as_undirected else graph
+    if not within(DENSE, g.V):
+        return _tiled(g, weight, default).where("dist < double('inf')").select("src", "dst", "dist")
+
     def kernel(g):
         d, _ = K.floyd_warshall(g)
         return [(a, b, float(d[i, j])) for i, a in enumerate(g.ids) for j, b in enumerate(g.ids) if d[i, j] < math.inf]
 
-    return as_whole(graph.with_(directed=False) if as_undirected else graph, kernel, "src bigint, dst bigint, dist double", weight, default)
+    return as_whole(g, kernel, "src bigint, dst bigint, dist double", weight, default)
+
+
+#: Vertices of a distance matrix that one task makes; larger ones are made of tiles.
+DENSE = 400
+
+
+def _tiled(graph: Graph, weight: Weight, default: float) -> DataFrame:
+    from weftgraph.operators.tiles import all_distances, pairs
+
+    return pairs(*all_distances(graph, weight, default))
 
 
 def floyd_warshall_successor_and_distance(graph: Graph, weight: Weight = None, default: float = 1.0, as_undirected: bool = False) -> DataFrame:
     """src, dst, dist (infinite if not reached), next (the vertex after src; dst itself if not reached); the diagonal is 0."""
+    g = graph.with_(directed=False) if as_undirected else graph
+    if not within(DENSE, g.V):
+        return _tiled(g, weight, default).withColumn("dist", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("dist")))
+
     def kernel(g):
         d, nxt = K.floyd_warshall(g)
         return [(a, b, 0.0 if i == j else float(d[i, j]), g.ids[nxt[i, j]]) for i, a in enumerate(g.ids) for j, b in enumerate(g.ids)]
 
-    return as_whole(graph.with_(directed=False) if as_undirected else graph, kernel, "src bigint, dst bigint, dist double, next bigint", weight, default)
+    return as_whole(g, kernel, "src bigint, dst bigint, dist double, next bigint", weight, default)
 
 
 def floyd_warshall_numpy(graph: Graph, weight: Weight = None, default: float = 1.0, as_undirected: bool = False):
