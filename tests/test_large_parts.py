@@ -1,5 +1,6 @@
 """The forms for components that no task holds against kernels and brute force, with the bound lowered."""
 
+import math
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from weftgraph.operators import dag as D
 from weftgraph.operators import euler, local, tiles
 from weftgraph.operators import kernels as K
 from weftgraph.operators import paths as P
+from weftgraph.operators import products as Pr
 from weftgraph.sources import generators as G
 
 
@@ -158,3 +160,117 @@ def test_tiles_and_k_best_lists(spark, monkeypatch):
     for (a, b), (d, x) in got.items():  # the next vertex is a step of a shortest path
         if a != b:
             assert (x == b and d == float("inf")) or d == w[a, x] + got[x, b][0]
+
+
+def runs_by_walking(edges, n, passes):
+    """One chain after another from the least (generation, id) that is in none."""
+    out, into = {i: set() for i in range(n)}, {i: set() for i in range(n)}
+    for a, b in edges:
+        out[a].add(b)
+        into[b].add(a)
+    gen = {}
+
+    def depth(v):
+        gen[v] = gen[v] if v in gen else 1 + max(map(depth, into[v]), default=-1)
+        return gen[v]
+
+    taken, found = set(), []
+    for v in sorted(range(n), key=lambda v: (depth(v), v)):
+        run = []
+        while v is not None and v not in taken and passes(v):
+            run.append(v)
+            taken.add(v)
+            v = next(iter(out[v])) if len(out[v]) == 1 else None
+        if run:
+            found.append(tuple(run))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    edges = [(i, rng.randrange(i + 1, min(n, i + 4))) for i in range(n - 1)] + [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.006]
+    g = make(spark, edges, n, True)
+    got = sorted(tuple(r.run) for r in D.collect_runs(g, "id % 7 != 3").collect())
+    assert got == runs_by_walking(edges, n, lambda v: v % 7 != 3)
+    long = make(spark, [(i, i + 1) for i in range(20)] * 2, 22, True)
+    assert sorted(tuple(r.run) for r in D.collect_runs(long, "true").collect()) == [tuple(range(21)), (21,)]
+    assert D.collect_runs(long, "CAST(NULL AS BOOLEAN)").isEmpty()
+
+
+def least_cut(edges, n, w):
+    total = lambda side: sum(w(a, b) for a, b in edges if (a in side) != (b in side))
+    return min(total({v for v in range(n) if m >> v & 1}) for m in range(1, 2 ** (n - 1)))
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_minimum_cut(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    n = 10
+    halves = [(a, b) for a in range(n) for b in range(a) if (a < 5) == (b < 5) and rng.random() < 0.8]
+    edges = halves + [(4, 5), (0, 9), (0, 9), (3, 3)]
+    weight = lambda a, b: float(1 + (a * 7 + b) % 5)  # noqa: E731  (what make gives)
+    g = make(spark, edges, n)
+    monkeypatch.setattr(local, "PART_ROWS", 12)
+    value, side = Co.stoer_wagner_min_cut(g, "payload")
+    assert value == least_cut([e for e in edges if e != (3, 3)], n, weight)
+    assert 0 < len(side) < n and value == sum(weight(a, b) for a, b in edges if (a in side) != (b in side))
+    monkeypatch.setattr(local, "PART_ROWS", 40_000)
+    apart = make(spark, [(0, 1), (1, 2), (2, 0), (3, 4)], 5)
+    value, side = Co.stoer_wagner_min_cut(apart)
+    monkeypatch.setattr(local, "PART_ROWS", 0)
+    assert (value, Co.stoer_wagner_min_cut(apart)) == (0.0, (0.0, [0, 1, 2])) and Co.stoer_wagner_min_cut(make(spark, [], 1)) is None
+    with pytest.raises(ValueError):
+        Co.stoer_wagner_min_cut(apart, "-payload")
+
+
+def relabelled(edges, n, seed):
+    to = list(range(n))
+    random.Random(seed).shuffle(to)
+    return [(to[a], to[b]) for a, b in edges]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_isomorphism_by_refinement(spark, directed):
+    rng = random.Random(5)
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    rays = [(0, 6), (0, 7), (0, 8), (3, 9), (3, 10), (3, 11)]
+    mixed = [(rng.randrange(14), rng.randrange(14)) for _ in range(20)] + [(2, 2), (1, 4), (1, 4)]
+    for edges, n in ((ring, 6), (ring + rays, 13), (mixed, 14)):
+        g, h = make(spark, edges, n, directed), make(spark, relabelled(edges, n, 3), n, directed)
+        to = {r.id: r.other for r in Pr.isomorphism(g, h).collect()}
+        ends = (lambda e: e) if directed else (lambda e: tuple(sorted(e)))
+        assert sorted(ends((to[a], to[b])) for a, b in edges) == sorted(map(ends, relabelled(edges, n, 3))) and sorted(to) == list(range(n))
+    # colours cannot tell two triangles from a ring of six; an edge more or less is seen at once
+    two = [(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3)]
+    assert Pr.isomorphism(make(spark, ring, 6, directed), make(spark, two, 6, directed)) is None
+    assert Pr.isomorphism(make(spark, ring, 6, directed), make(spark, ring + [(0, 3)], 6, directed)) is None
+    assert Pr.isomorphism(make(spark, [], 0, directed), make(spark, [], 0, directed)).isEmpty()
+
+
+def test_isomorphism_with_keys_and_beyond_the_bound(spark, monkeypatch):
+    path, turned = make(spark, [(0, 1), (1, 2)], 3), make(spark, [(1, 2), (2, 0)], 3)
+    assert Pr.isomorphism(path, turned, node_key="payload") is None
+    names = turned.with_(turned.V.select("id", F.expr("CAST((id + 2) % 3 AS STRING)").alias("payload")))
+    assert sorted(map(tuple, Pr.isomorphism(path, names, node_key="payload").collect())) == [(0, 1), (1, 2), (2, 0)]
+    assert Pr.isomorphism(path, turned, edge_key="CAST(payload AS STRING)") is None or path.E.select("payload").exceptAll(turned.E.select("payload")).isEmpty()
+    monkeypatch.setattr(local, "PART_ROWS", 0)
+    triangle = make(spark, [(0, 1), (1, 2), (2, 0)], 3)
+    assert Pr.is_isomorphic(path, turned) and not Pr.is_isomorphic(path, triangle)
+    assert Pr.is_subgraph_isomorphic(triangle, path, induced=False) and not Pr.is_subgraph_isomorphic(triangle, path)
+
+
+@pytest.mark.parametrize(("dim", "r", "scale"), [(1, 0.7, 5.0), (2, 1.5, 6.0), (2, 5.0, 40.0), (2, 0.3, 0.5), (3, 2.0, 8.0)])
+def test_hyperbolic_bands_lose_no_pair(spark, monkeypatch, dim, r, scale):
+    rng = random.Random(dim)
+    monkeypatch.setattr(G, "SLICE", 2)
+    pos = [[0.0] * dim, [0.0] * dim] + [[rng.gauss(0, 1) * scale ** rng.random() for _ in range(dim)] for _ in range(150)]
+
+    def distance(x, y):
+        lift = lambda p: math.sqrt(1 + sum(v * v for v in p))
+        return math.acosh(max(1.0, lift(x) * lift(y) - sum(a * b for a, b in zip(x, y, strict=True))))
+
+    want = [(i, j) for i in range(len(pos)) for j in range(i + 1, len(pos)) if distance(pos[i], pos[j]) < r]
+    g = G.hyperbolic_random_graph(spark, pos, r)
+    assert want and sorted((e.src, e.dst) for e in g.E.collect()) == want and g.num_nodes() == len(pos)

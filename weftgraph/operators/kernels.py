@@ -619,27 +619,6 @@ def topological(g):
     return lexicographic(g, {v: 0 for v in g.ids})
 
 
-def runs(g, passes):
-    """Maximal chains of single successors among the nodes that pass."""
-    seen, out = set(), []
-    for _, v in topological(g):
-        if v in seen or not passes.get(v):
-            continue
-        run = [v]
-        seen.add(v)
-        while True:
-            nexts = g.neighbors(run[-1])
-            if len(nexts) != 1 or nexts[0] in seen:
-                break
-            x = nexts[0]
-            seen.add(x)
-            if not passes.get(x):
-                break
-            run.append(x)
-        out.append((run,))
-    return out
-
-
 def bicolor_runs(g, passes, colours):
     """Blocks of nodes between edges of two colours. ``passes``: True, False or None per node; ``colours``: eid to colour or None."""
     open_, pending, blocks = {}, {}, []

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, Weight, number
 from weftgraph.operators import kernels as K
+from weftgraph.operators import local
 from weftgraph.operators.local import BROADCAST_EDGES, Local, can_broadcast
+from weftgraph.operators.refinement import isomorphism
 from weftgraph.plans.fixpoint import checkpoint, fixpoint
 
 
@@ -118,7 +120,8 @@ def vf2_mapping(first: Graph, second: Graph, node_matcher=None, edge_matcher=Non
 
 
 def is_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, call_limit: int | None = None, id_order: bool = True) -> bool:
-    """Sizes and degree sequences are compared as aggregations first."""
+    """Sizes and degree sequences are compared as aggregations first. Without matchers, graphs of more than PART_ROWS vertices
+    and edges are compared by colour refinement; equal keys instead of matchers: ``refinement.isomorphism``."""
     def degrees(g):
         return g.degrees().groupBy("in_degree", "out_degree").count() if g.directed else g.degrees().groupBy("degree").count()
 
@@ -126,6 +129,8 @@ def is_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=N
         return False
     if not degrees(first).exceptAll(degrees(second)).isEmpty():
         return False
+    if node_matcher is None and edge_matcher is None and call_limit is None and not local.within(local.PART_ROWS, first.V, first.E):
+        return isomorphism(first, second) is not None
     return next(vf2_mapping(first, second, node_matcher, edge_matcher, call_limit=call_limit, id_order=id_order), None) is not None
 
 
@@ -134,6 +139,9 @@ def is_isomorphic_node_match(first: Graph, second: Graph, matcher) -> bool:
 
 
 def is_subgraph_isomorphic(first: Graph, second: Graph, node_matcher=None, edge_matcher=None, induced: bool = True, call_limit: int | None = None, id_order: bool = False) -> bool:
+    """Whether ``second`` occurs in ``first``. Without matchers, in a graph of more than PART_ROWS vertices and edges, by joins (:func:`find_pattern`)."""
+    if node_matcher is None and edge_matcher is None and call_limit is None and not local.within(local.PART_ROWS, first.V, first.E):
+        return not find_pattern(first, second, induced).isEmpty()
     return next(vf2_mapping(first, second, node_matcher, edge_matcher, True, induced, call_limit, id_order), None) is not None
 
 

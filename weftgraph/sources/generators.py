@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.distances import hyperboloid_hyperbolic_distance, lp_distance, maximum_distance
 from weftgraph.graph import Graph, number
+from weftgraph.plans.fixpoint import checkpoint
 
 
 def _make(spark: SparkSession, n: int, E: DataFrame, directed: bool, multigraph: bool, weights=None, bidirectional: bool = False) -> Graph:
@@ -456,11 +457,12 @@ def random_regular_graph(spark, num_nodes: int, degree: int, seed: int | None =
 
 
 def random_geometric_graph(spark, num_nodes: int, radius: float, dim: int = 2, pos=None, p: float = 2.0, seed: int | None = None) -> Graph:
-    """Points in the unit cube, joined if their Lp distance is below the radius: cells as wide as the
-    radius are joined with their neighbours by equality, then distances are tested."""
+    """Points in the unit cube, or ``pos`` (lists of coordinates, or a table (id, pos)), joined if their Lp distance is below
+    the radius: cells as wide as the radius are joined with their neighbours by equality, then distances are tested."""
     if pos is not None:
-        pts = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(pos)], "id bigint, pos array<double>")
-        dim = len(pos[0]) if pos else dim
+        pts = _points(spark, pos)
+        first = pts.head()
+        dim = dim if first is None else len(first.pos)
     else:
         pts = spark.range(num_nodes).select("id", F.array(*(_unit(seed, F.col("id"), F.lit(k)) for k in range(dim))).alias("pos"))
     return _make_geometric(spark, pts, radius, dim, p)
@@ -485,14 +487,74 @@ def _make_geometric(spark, pts: DataFrame, radius: float, dim: int, p: float) ->
 
 
 def hyperbolic_random_graph(spark, pos, r: float, beta: float | None = None, seed: int | None = None) -> Graph:
-    """Points of the hyperboloid; joined below the distance r, or by a chance that falls with it."""
+    """Points of the hyperboloid; joined below the distance r, or by a chance that falls with it.
+
+    ``pos``: lists of coordinates, or a table (id, pos). Without ``beta`` radial bands and directions give the candidates
+    (:func:`_near_on_hyperboloid`). With it every pair has a chance of its own, so all pairs are drawn.
+    """
     if r <= 0 or beta is not None and beta < 0:
         raise ValueError("r is positive, beta is not negative")
-    pts = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(pos)], "id bigint, pos array<double>")
-    pairs = pts.select(F.col("id").alias("src"), F.col("pos").alias("x")).join(pts.select(F.col("id").alias("dst"), F.col("pos").alias("y")), F.expr("src < dst"))
+    pts = _points(spark, pos)
+    if beta is None:
+        pairs = _near_on_hyperboloid(pts, r)
+    else:
+        a, b = (pts.select(F.col("id").alias(i), F.col("pos").alias(x)) for i, x in (("src", "x"), ("dst", "y")))
+        pairs = a.join(b, F.expr("src < dst"))
     d = hyperboloid_hyperbolic_distance(F.col("x"), F.col("y"))
     keep = d < r if beta is None else _unit(seed, F.col("src"), F.col("dst")) < 1 / (F.exp(beta / 2 * (d - r)) + 1)
-    return _make(spark, len(pos), _numbered(pairs.where(keep).select("src", "dst"), ["src", "dst"]), False, True)
+    E = _numbered(pairs.where(keep).select("src", "dst"), ["src", "dst"]).select("eid", "src", "dst", F.lit(None).cast("double").alias("payload"))
+    return Graph(pts.select("id", F.lit(None).cast("string").alias("payload")), E)
+
+
+def _points(spark, pos) -> DataFrame:
+    """id, pos from lists of coordinates, or from a table of these columns."""
+    if isinstance(pos, DataFrame):
+        return pos.select(F.col("id").cast("bigint").alias("id"), F.col("pos").cast("array<double>").alias("pos"))
+    return spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(pos)], "id bigint, pos array<double>")
+
+
+#: Points of a band and slice of directions, on average.
+SLICE = 32
+
+
+def _near_on_hyperboloid(pts: DataFrame, r: float) -> DataFrame:
+    """src < dst with positions x, y: pairs that hold all nearer than ``r``.
+
+    Points fall into bands of their radius (the distance from the origin), and inside a band into slices of their
+    direction. Two points nearer than r differ by less than r in radius, and by no more in angle than the law of
+    cosines allows at the most favourable radius of the other's band; a point meets the slices within that angle. In two
+    dimensions the direction is the angle itself; in others the first coordinate of the unit vector, which
+    differs by no more than the chord. Slices are as many as let SLICE points share one on average.
+    """
+    height = min(r / 2, 1.0)
+    norm = F.sqrt(F.aggregate("pos", F.lit(0.0), lambda s, x: s + x * x))
+    at = pts.withColumn("rho", F.asinh(norm)).withColumn("n", norm)
+    plane = F.size("pos") == 2
+    turn = F.when(plane, F.atan2(F.get("pos", 1), F.get("pos", 0)) / (2 * math.pi) + 0.5).otherwise((F.get("pos", 0) / F.col("n") + 1) / 2)
+    at = at.withColumns({"t": F.when(F.col("n") > 0, turn).otherwise(0.5), "band": F.floor(F.col("rho") / height), "plane": plane})
+    at = checkpoint(at.select("id", "pos", "rho", "t", "band", "plane"))
+    bands = at.groupBy("band").agg(F.ceil(F.count("*") / SLICE).cast("bigint").alias("slices"))
+    # bands within reach, and in each the widest angle: cos = (cosh a cosh b - cosh r) / (sinh a sinh b) is least at cosh b = cosh a / cosh r
+    span = F.sequence(F.greatest(F.lit(0), F.floor((F.col("rho") - r) / height) - 1), F.floor((F.col("rho") + r) / height) + 1)
+    seen = at.select("*", F.explode(span).alias("of")).drop("band").withColumnRenamed("of", "band").join(bands, "band")
+    low, high = F.col("band") * height, (F.col("band") + 1) * height
+    best = F.acosh(F.greatest(F.lit(1.0), F.cosh("rho") / math.cosh(r)))
+
+    def cosine(b):
+        ground = F.sinh("rho") * F.sinh(b)
+        return F.when(ground > 0, (F.cosh("rho") * F.cosh(b) - math.cosh(r)) / ground).otherwise(-1.0)
+
+    least = F.least(cosine(low), cosine(high), cosine(F.greatest(low, F.least(high, best)))) - 1e-9
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), least)))
+    wide = F.when(F.col("plane"), angle / (2 * math.pi)).otherwise(F.sin(angle / 2)) + 1e-9
+    seen = seen.withColumn("wide", wide).withColumns({"from": F.floor((F.col("t") - F.col("wide")) * F.col("slices")), "to": F.floor((F.col("t") + F.col("wide")) * F.col("slices"))})
+    # a circle of slices is met once around at most; on a line the ends are the last slices
+    round_ = F.when(F.col("to") - F.col("from") + 1 >= F.col("slices"), F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).otherwise(F.transform(F.sequence("from", "to"), lambda s: F.pmod(s, F.col("slices"))))
+    line = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.least("from", F.col("slices") - 1)), F.greatest(F.lit(0).cast("bigint"), F.least("to", F.col("slices") - 1)))
+    a = seen.select(F.col("id").alias("src"), F.col("pos").alias("x"), "band", F.explode(F.when(F.col("plane"), round_).otherwise(line)).alias("slice"))
+    own = F.least(F.floor(F.col("t") * F.col("slices")), F.col("slices") - 1)
+    b = at.join(bands, "band").select(F.col("id").alias("dst"), F.col("pos").alias("y"), "band", own.alias("slice"))
+    return a.join(b, ["band", "slice"]).where("src < dst").select("src", "dst", "x", "y")
 
 
 def barabasi_albert_graph(spark, n: int, m: int, seed: int | None = None, initial_graph: Graph | None = None, directed: bool = False) -> Graph:
