@@ -10,7 +10,7 @@ from weftgraph.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["degrees", "degree_centrality", "descendants", "connected_components", "topological_generations", "adjacency_matrix", "subgraph", "contract_nodes", "tensor_product", "find_pattern", "grid_graph", "closeness_centrality", "edge_list", "incident_edge_index_map", "lollipop_graph", "barabasi_albert_graph", "euclidean_distance", "market_greedy_color", "flow_number_of_strong_components", "cycle_basis", "max_weight_matching", "greedy_color", "local_complement"]
+NAMES = ["degrees", "degree_centrality", "descendants", "connected_components", "topological_generations", "adjacency_matrix", "subgraph", "contract_nodes", "tensor_product", "find_pattern", "grid_graph", "closeness_centrality", "edge_list", "incident_edge_index_map", "lollipop_graph", "barabasi_albert_graph", "euclidean_distance", "market_greedy_color", "flow_number_of_strong_components", "cycle_basis", "tree_run_members", "hyperbolic_random_graph", "max_weight_matching", "greedy_color", "local_complement"]
 
 
 def norm(rows):

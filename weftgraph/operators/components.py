@@ -261,13 +261,13 @@ def is_planar(graph: Graph) -> bool:
 
 
 def stoer_wagner_min_cut(graph: Graph, weight: Weight = None) -> tuple[float, list[int]] | None:
-    """Weight of a lightest cut and one side. Graphs beyond PART_ROWS are contracted first; ``cuts.minimum_cut`` leaves the side in a table."""
-    from weftgraph.operators.cuts import minimum_cut
+    """Weight of a lightest cut and one side. Graphs of more than ``cuts.SMALL`` vertices are contracted first; ``cuts.minimum_cut`` leaves the side in a table."""
+    from weftgraph.operators import cuts
 
-    if within(local.PART_ROWS, graph.V, graph.E):
+    if within(cuts.SMALL, graph.V) and within(local.TASK_ROWS, graph.E):
         row = as_whole(graph.with_(directed=False), K.min_cut, "value double, side array<bigint>", weight).head()
         return None if row is None else (row[0], list(row[1]))
-    found = minimum_cut(graph, weight)
+    found = cuts.minimum_cut(graph, weight)
     return None if found is None else (found[0], sorted(r.id for r in found[1].collect()))
 
 

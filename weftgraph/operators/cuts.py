@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from weftgraph.operators.components import labels
 from weftgraph.operators.trees import minimum_spanning_edges
 from weftgraph.plans.fixpoint import checkpoint, written
 
+#: Vertices of a graph that goes to the kernel at once: it takes time with their cube (2,000 some seconds).
+SMALL = 1_000
+#: Vertices that the kernel takes where nothing can be contracted: a matrix of 800 MB. More are refused.
+MOST = 10_000
+
 
 def minimum_cut(graph: Graph, weight: Weight = None) -> tuple[float, DataFrame] | None:
     """The weight of a lightest cut and one side of it (id); None for fewer than two vertices.
@@ -20,9 +27,10 @@ def minimum_cut(graph: Graph, weight: Weight = None) -> tuple[float, DataFrame]
     forest are joined by k edge-disjoint paths of edges no lighter than w, itself among them, so no cut below k * w
     separates them; for an edge left over after k forests the bound is (k + 1) * w. Edges whose bound reaches the
     lightest cut seen so far (a single vertex, to begin with) are contracted, parallel edges added up, and forests
-    taken from what is left, until PART_ROWS or fewer rows go to the kernel. Weights that are no numbers count as
+    taken from what is left, until SMALL or fewer vertices go to the kernel. Before forests, vertices that hang by half of
+    their weight or more from one neighbour are contracted with it (:func:`_leaning`). Weights that are no numbers count as
     0, and negative ones are refused. Where forests use up all edges and contract nothing, the kernel takes the
-    graph, up to TASK_ROWS.
+    graph, up to MOST vertices.
     """
     arcs = graph.with_(directed=True).weighted(weight, 1.0).where("src != dst")
     arcs = arcs.select("src", "dst", F.nanvl(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
@@ -43,12 +51,16 @@ def minimum_cut(graph: Graph, weight: Weight = None) -> tuple[float, DataFrame]
         if best is None or low.w < best:
             best, side = low.w, names.where(F.col("at") == low.at).select("id")
         joined = None
-        if not local.within(local.PART_ROWS, edges, ends):
-            joined = _inseparable(edges, best, ends.count())
+        n = ends.count()
+        if n > SMALL:
+            joined = _leaning(edges, ends)
+            if joined is None or 10 * joined.count() < n:
+                joined = _inseparable(edges, best, n) or joined
         if joined is None:
+            if n > MOST:
+                raise ValueError(f"no edge can be contracted and {n} vertices are left: the kernel takes {MOST}")
             g = _graph(ends.select(F.col("at").alias("id")), edges)
-            found = local.as_whole(g, K.min_cut, "value double, side array<bigint>", "payload")
-            found = checkpoint(found)
+            found = checkpoint(local.as_whole(g, K.min_cut, "value double, side array<bigint>", "payload"))
             value = found.select("value").head()[0]
             if value < best:
                 best, side = value, names.join(found.select(F.explode("side").alias("at")), "at", "left_semi").select("id")
@@ -72,6 +84,25 @@ def _graph(nodes: DataFrame, edges: DataFrame) -> Graph:
     return Graph(nodes.select("id", F.lit(None).cast("string").alias("payload")), E)
 
 
+def _leaning(edges: DataFrame, ends: DataFrame) -> DataFrame | None:
+    """src, dst, w: edges that carry half of the weight of src or more, or None if there are none.
+
+    Any cut but that of src alone stays as light if src changes to the side of dst. That holds for many at once if no
+    dst is itself a src, so a coin parts the vertices; and a side of such vertices alone weighs at least half of their
+    weights together, so no less than the lightest of them alone.
+    """
+    both = edges.select("src", "dst", "w").union(edges.select("dst", "src", "w"))
+    heavy = checkpoint(both.join(ends.select(F.col("at").alias("src"), F.col("w").alias("all")), "src").where("2 * w >= all").select("src", "dst", "w"))
+    if heavy.isEmpty():
+        return None
+    for salt in count():
+        coin = [F.xxhash64(c, F.lit(salt)).bitwiseAND(F.lit(1)) for c in ("src", "dst")]
+        chosen = heavy.where((coin[0] == 1) & (coin[1] == 0)).groupBy("src").agg(F.max(F.struct("w", "dst")).alias("t"))
+        chosen = checkpoint(chosen.select("src", "t.dst", "t.w"))
+        if not chosen.isEmpty():
+            return chosen
+
+
 def _inseparable(edges: DataFrame, best: float, n: int) -> DataFrame | None:
     """src, dst, w of edges that no cut below ``best`` separates, as soon as they touch a tenth of the ``n`` vertices;
     fewer only if forests have used up all edges, and None if there are none."""

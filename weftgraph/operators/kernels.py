@@ -7,6 +7,8 @@ import math
 from collections import deque
 from itertools import count
 
+import numpy as np
+
 
 class StopSearch(Exception):
     """A visitor ends the search."""
@@ -710,37 +712,34 @@ def frontiers(g, start):
 
 
 def min_cut(g):
-    """Maximum-adjacency phases; the lightest cut of a phase and one side of it."""
-    if len(g.ids) < 2:
+    """Maximum-adjacency phases over a matrix of weights; the lightest cut of a phase and one side of it."""
+    n = len(g.ids)
+    if n < 2:
         return []
-    w = {v: {} for v in g.ids}
+    at = {v: i for i, v in enumerate(g.ids)}
+    w = np.zeros((n, n))
     for _, u, v, c in g.edges:
-        c = 0.0 if math.isnan(c) else c
-        if u != v:
-            w[u][v] = w[u].get(v, 0.0) + c
-            w[v][u] = w[v].get(u, 0.0) + c
-    group, best = {v: [v] for v in g.ids}, None
-    while len(w) > 1:
-        start = next(iter(w))
-        pull, left, order = {v: w[start].get(v, 0.0) for v in w if v != start}, set(w) - {start}, [start]
-        while left:
-            v = max(left, key=lambda x: (pull[x], -x))
-            left.discard(v)
-            order.append(v)
-            if not left:
-                cut = pull[v]
-            for x, c in w[v].items():
-                if x in left:
-                    pull[x] += c
-        s, t = order[-2], order[-1]
+        if u != v and not math.isnan(c):
+            w[at[u], at[v]] += c
+            w[at[v], at[u]] += c
+    groups, live, best = [[v] for v in g.ids], np.arange(n), None
+    while len(live) > 1:
+        m = w[np.ix_(live, live)]
+        pull, open_ = m[0].copy(), np.ones(len(live), dtype=bool)
+        pull[0], open_[0], before, last = -np.inf, False, 0, 0
+        for _ in range(len(live) - 1):
+            before, last = last, int(pull.argmax())
+            cut = float(pull[last])
+            pull[last], open_[last] = -np.inf, False
+            np.add(pull, m[last], out=pull, where=open_)
+        s, t = live[before], live[last]
         if best is None or cut < best[0]:
-            best = (cut, sorted(group[t]))
-        group[s] += group.pop(t)
-        for x, c in w.pop(t).items():
-            w[x].pop(t, None)
-            if x != s:
-                w[s][x] = w[s].get(x, 0.0) + c
-                w[x][s] = w[s][x]
+            best = (cut, sorted(groups[t]))
+        groups[s] += groups[t]
+        w[s] += w[t]
+        w[:, s] += w[:, t]
+        w[s, s] = 0.0
+        live = np.delete(live, last)
     return [best]
 
 

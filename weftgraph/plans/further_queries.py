@@ -630,14 +630,14 @@ def directed_barabasi_albert_graph(spark, d):
 
 @query("SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE sqrt((a.embedding[1]::DOUBLE - b.embedding[1]) ** 2 + (a.embedding[2]::DOUBLE - b.embedding[2]) ** 2) < 0.05")
 def random_geometric_graph(spark, d):
-    rows = read(spark, d, "embeddings").orderBy("vec_id").select(F.slice("embedding", 1, 2).cast("array<double>").alias("p")).collect()
-    return G.random_geometric_graph(spark, len(rows), 0.05, pos=[list(r.p) for r in rows]).edge_list()
+    pos = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).alias("pos"))
+    return G.random_geometric_graph(spark, 0, 0.05, pos=pos).edge_list()
 
 
-@query("WITH x AS (SELECT vec_id AS i, asinh(embedding[1]::DOUBLE * 20) AS u FROM embeddings) SELECT a.i AS src, b.i AS dst FROM x a JOIN x b ON a.i < b.i WHERE abs(a.u - b.u) < 0.7")
+@query("WITH p AS (SELECT vec_id AS i, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y FROM embeddings) SELECT a.i AS src, b.i AS dst FROM p a JOIN p b ON a.i < b.i WHERE acosh(greatest(1, sqrt(1 + (a.x * a.x + a.y * a.y)) * sqrt(1 + (b.x * b.x + b.y * b.y)) - (a.x * b.x + a.y * b.y))) < 0.7")
 def hyperbolic_random_graph(spark, d):
-    rows = read(spark, d, "embeddings").orderBy("vec_id").select((F.col("embedding")[0].cast("double") * 20).alias("p")).collect()
-    return G.hyperbolic_random_graph(spark, [[r.p] for r in rows], 0.7).edge_list()
+    pos = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double") * 20).alias("pos"))
+    return G.hyperbolic_random_graph(spark, pos, 0.7).edge_list()
 
 
 # --- the graph value ---------------------------------------------------------------------------

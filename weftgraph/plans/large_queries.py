@@ -13,6 +13,7 @@ from weftgraph.graph import Graph
 from weftgraph.operators import coloring as Col
 from weftgraph.operators import components as Co
 from weftgraph.operators import dag as D
+from weftgraph.operators import products as Pr
 from weftgraph.operators import trees as Tr
 from weftgraph.plans.queries import TREE, _row, query, read, tree
 
@@ -112,3 +113,33 @@ def tree_longest_path(spark, d):
 @query(MARKET + " SELECT count(*) - 1 AS edges FROM deg")
 def market_spanning_edges(spark, d):
     return _row(spark, edges=Tr.minimum_spanning_edges(market(spark, d)).count())
+
+
+@query(MARKET + f""", w AS (SELECT l_partkey AS src, l_suppkey + {SUPPLIER} AS dst, sum(l_quantity)::BIGINT AS w FROM lineitem GROUP BY 1, 2),
+ws AS (SELECT src AS id, w FROM w UNION ALL SELECT dst, w FROM w) SELECT min(n)::DOUBLE AS value FROM (SELECT sum(w) AS n FROM ws WHERE id < {SUPPLIER} GROUP BY id)""")
+def market_minimum_cut(spark, d):
+    """Edges carry the quantity shipped, those of nations and regions more than any cut through a part; the lightest cut
+    sets the part apart that was shipped least."""
+    shipped = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).agg(F.sum("l_quantity").cast("double").alias("w"))
+    g = market(spark, d)
+    E = g.E.join(shipped, ["src", "dst"], "left").select("eid", "src", "dst", F.coalesce("w", F.lit(1e6)).alias("payload"))
+    return _row(spark, value=Co.stoer_wagner_min_cut(g.with_(E=E).cached(), "payload")[0])
+
+
+@query(MARKET + " SELECT id, id + 5000000000 AS other FROM deg")
+def market_isomorphism(spark, d):
+    """To itself under other ids. Parts, suppliers and nations differ by their neighbours; customers of a nation go by rank."""
+    g = market(spark, d)
+    moved = lambda c: (F.col(c) + 5 * 10**9).alias(c)
+    h = g.with_(g.V.select(moved("id"), "payload"), g.E.select("eid", moved("dst").alias("src"), moved("src").alias("dst"), "payload"))
+    return Pr.isomorphism(g, h.cached())
+
+
+@query(TREE + """, n AS (SELECT id, coalesce(min(dst), id) AS head FROM v LEFT JOIN e ON src = id WHERE id BETWEEN 100 AND 999999999 GROUP BY id),
+r AS (SELECT e.src AS id, min(head) AS head FROM e JOIN n ON n.id = e.dst GROUP BY 1)
+SELECT head, id FROM n UNION ALL SELECT head, id FROM r UNION ALL SELECT id, id FROM v WHERE id >= 1000000000""")
+def tree_run_members(spark, d):
+    """Of the tree turned round: from a nation's least customer or supplier, and on to the region from the least of its nations."""
+    g = tree(spark, d)
+    up = g.with_(E=g.E.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "payload"))
+    return D.run_members(up.cached(), "true").select("head", "id")
