@@ -1,4 +1,4 @@
-"""Directed acyclic graphs: levels by peeling, longest paths by relaxation along levels, runs and dominators as kernels."""
+"""Directed acyclic graphs: levels by peeling, longest paths by relaxation along levels, runs by doubling, dominators as kernels."""
 
 from __future__ import annotations
 
