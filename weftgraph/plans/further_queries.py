@@ -670,10 +670,11 @@ def check_cycle(spark, d):
 
     g = upward(spark, d).cached()
     h, refused, one = g.set_check_cycle(True), False, g.E.orderBy("eid").head()
-    try:
-        h.add_edge(one.dst, one.src, 0)
-    except DAGWouldCycle:
-        refused = True
+    if one is not None:
+        try:
+            h.add_edge(one.dst, one.src, 0)
+        except DAGWouldCycle:
+            refused = True
     return _row(spark, before=g.check_cycle, later=h.check_cycle, refused=refused)
 
 
