@@ -9,6 +9,7 @@ NAMES = [
     "astar_shortest_path",
     "check_cycle",
     "edge_subgraph",
+    "find_negative_cycle",
 ]
 
 
