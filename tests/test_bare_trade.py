@@ -10,6 +10,7 @@ NAMES = [
     "check_cycle",
     "edge_subgraph",
     "find_negative_cycle",
+    "find_adjacent_node_by_edge",
 ]
 
 

@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from weftgraph.errors import NoSuitableNeighbors
 from weftgraph.functions import distances as Di
 from weftgraph.graph import DAG, Graph
 from weftgraph.operators import centrality as C
@@ -748,6 +749,15 @@ def out_degree(spark, d):
     return _row(spark, n=trade(spark, d).out_degree(2))
 
 
+def _payload(spark, find):
+    """The payload found, or null: the edge that names the vertex may not exist, or no neighbour suit."""
+    try:
+        value = find()
+    except (IndexError, NoSuitableNeighbors):
+        value = None
+    return spark.createDataFrame([(value,)], "payload string")
+
+
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.dst = v.id WHERE src = (SELECT src FROM e WHERE eid = 5) AND w > 10")
 def find_successor_node_by_edge(spark, d):
     g = trade(spark, d)
@@ -757,7 +767,7 @@ def find_successor_node_by_edge(spark, d):
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.dst = v.id WHERE src = (SELECT src FROM e WHERE eid = 5) AND w > 10")
 def find_adjacent_node_by_edge(spark, d):
     g = trade(spark, d)
-    return _row(spark, payload=g.find_adjacent_node_by_edge(_pair(g)[0], "payload > 10"))
+    return _payload(spark, lambda: g.find_adjacent_node_by_edge(_pair(g)[0], "payload > 10"))
 
 
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.src = v.id WHERE dst = (SELECT dst FROM e WHERE eid = 5) AND w > 10")
