@@ -11,6 +11,7 @@ NAMES = [
     "edge_subgraph",
     "find_negative_cycle",
     "find_adjacent_node_by_edge",
+    "get_all_edge_data",
 ]
 
 

@@ -736,7 +736,8 @@ def get_edge_data(spark, d):
 @query(TRADE + " SELECT eid, w AS payload FROM e WHERE eid = 5")
 def get_all_edge_data(spark, d):
     g = trade(spark, d)
-    return g.get_all_edge_data(*_pair(g))
+    pairs = _pairs(g, 5)
+    return g.get_all_edge_data(*pairs[0]) if pairs else g.E.limit(0).select("eid", "payload")
 
 
 @query(TRADE + " SELECT count(*)::BIGINT AS n FROM e WHERE dst = 2")
