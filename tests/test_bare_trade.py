@@ -12,6 +12,7 @@ NAMES = [
     "find_negative_cycle",
     "find_adjacent_node_by_edge",
     "get_all_edge_data",
+    "find_predecessor_node_by_edge",
 ]
 
 

@@ -774,7 +774,7 @@ def find_adjacent_node_by_edge(spark, d):
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.src = v.id WHERE dst = (SELECT dst FROM e WHERE eid = 5) AND w > 10")
 def find_predecessor_node_by_edge(spark, d):
     g = trade(spark, d)
-    return _row(spark, payload=g.find_predecessor_node_by_edge(_pair(g)[1], "payload > 10"))
+    return _payload(spark, lambda: g.find_predecessor_node_by_edge(_pair(g)[1], "payload > 10"))
 
 
 @query("SELECT n_nationkey::BIGINT AS id, n_name AS payload FROM nation UNION ALL VALUES (25, 'x')")
