@@ -13,6 +13,7 @@ NAMES = [
     "find_adjacent_node_by_edge",
     "get_all_edge_data",
     "find_predecessor_node_by_edge",
+    "find_successor_node_by_edge",
 ]
 
 

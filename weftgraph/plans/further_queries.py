@@ -762,7 +762,7 @@ def _payload(spark, find):
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.dst = v.id WHERE src = (SELECT src FROM e WHERE eid = 5) AND w > 10")
 def find_successor_node_by_edge(spark, d):
     g = trade(spark, d)
-    return _row(spark, payload=g.find_successor_node_by_edge(_pair(g)[0], "payload > 10"))
+    return _payload(spark, lambda: g.find_successor_node_by_edge(_pair(g)[0], "payload > 10"))
 
 
 @query(TRADE + " SELECT arg_min(payload, v.id) AS payload FROM v JOIN e ON e.dst = v.id WHERE src = (SELECT src FROM e WHERE eid = 5) AND w > 10")
