@@ -14,6 +14,7 @@ NAMES = [
     "get_all_edge_data",
     "find_predecessor_node_by_edge",
     "find_successor_node_by_edge",
+    "get_edge_data",
 ]
 
 

@@ -25,7 +25,7 @@ from weftgraph.operators import trees as Tr
 from weftgraph.operators.visitors import BFSVisitor, DFSVisitor, DijkstraVisitor, StopSearch
 from weftgraph.plans.fixpoint import spot
 from weftgraph.plans.more_queries import AROUND, ROUTES, _path, _proper, _sizes
-from weftgraph.plans.queries import CHAINS, GROWN, HOPS, RELAX, SIGMA, SUPPLY, TRADE, TREE, _row, chains, grown, query, read, supply, trade, tree
+from weftgraph.plans.queries import CHAINS, GROWN, HOPS, RELAX, SIGMA, SUPPLY, TRADE, TREE, _found, _row, chains, grown, query, read, supply, trade, tree
 from weftgraph.sources import files as Fi
 from weftgraph.sources import generators as G
 from weftgraph.streaming.incremental import TopologicalSorter
@@ -730,7 +730,7 @@ def _pairs(g, *eids):
 @query(TRADE + " SELECT w AS payload FROM e WHERE eid = 5")
 def get_edge_data(spark, d):
     g = trade(spark, d)
-    return _row(spark, payload=g.get_edge_data(*_pair(g)))
+    return _found(spark, "payload bigint", lambda: (g.get_edge_data(*_pair(g)),), IndexError)
 
 
 @query(TRADE + " SELECT eid, w AS payload FROM e WHERE eid = 5")
