@@ -15,6 +15,7 @@ NAMES = [
     "find_predecessor_node_by_edge",
     "find_successor_node_by_edge",
     "get_edge_data",
+    "get_edge_data_by_index",
 ]
 
 
