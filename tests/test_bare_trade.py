@@ -16,6 +16,7 @@ NAMES = [
     "find_successor_node_by_edge",
     "get_edge_data",
     "get_edge_data_by_index",
+    "get_edge_endpoints_by_index",
 ]
 
 
