@@ -17,6 +17,7 @@ NAMES = [
     "get_edge_data",
     "get_edge_data_by_index",
     "get_edge_endpoints_by_index",
+    "remove_edge",
 ]
 
 

@@ -805,7 +805,9 @@ def extend_from_weighted_edge_list(spark, d):
 @query(TRADE + " SELECT eid FROM e WHERE eid <> 5")
 def remove_edge(spark, d):
     g = trade(spark, d)
-    return g.remove_edge(*_pair(g)).edge_indices()
+    for pair in _pairs(g, 5):
+        g = g.remove_edge(*pair)
+    return g.edge_indices()
 
 
 @query(TRADE + " SELECT eid FROM e WHERE eid NOT IN (5, 6)")
