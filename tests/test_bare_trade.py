@@ -18,6 +18,7 @@ NAMES = [
     "get_edge_data_by_index",
     "get_edge_endpoints_by_index",
     "remove_edge",
+    "remove_edges_from",
 ]
 
 

@@ -813,7 +813,7 @@ def remove_edge(spark, d):
 @query(TRADE + " SELECT eid FROM e WHERE eid NOT IN (5, 6)")
 def remove_edges_from(spark, d):
     g = trade(spark, d)
-    return g.remove_edges_from([_pair(g), g.get_edge_endpoints_by_index(6)]).edge_indices()
+    return g.remove_edges_from(_pairs(g, 5, 6)).edge_indices()
 
 
 @query(TRADE + " SELECT eid, CASE eid WHEN 5 THEN 1 ELSE w END AS payload FROM e")
