@@ -19,6 +19,7 @@ NAMES = [
     "get_edge_endpoints_by_index",
     "remove_edge",
     "remove_edges_from",
+    "update_edge",
 ]
 
 

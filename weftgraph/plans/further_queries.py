@@ -819,7 +819,9 @@ def remove_edges_from(spark, d):
 @query(TRADE + " SELECT eid, CASE eid WHEN 5 THEN 1 ELSE w END AS payload FROM e")
 def update_edge(spark, d):
     g = trade(spark, d)
-    return g.update_edge(*_pair(g), 1).E.select("eid", "payload")
+    for pair in _pairs(g, 5):
+        g = g.update_edge(*pair, 1)
+    return g.E.select("eid", "payload")
 
 
 @query(TRADE + " SELECT CASE src WHEN 3 THEN 4 ELSE src END AS src, CASE dst WHEN 3 THEN 4 ELSE dst END AS dst FROM e")
