@@ -20,6 +20,7 @@ NAMES = [
     "remove_edge",
     "remove_edges_from",
     "update_edge",
+    "update_edge_by_index",
 ]
 
 
