@@ -21,6 +21,7 @@ NAMES = [
     "remove_edges_from",
     "update_edge",
     "update_edge_by_index",
+    "dag_weighted_longest_path",
 ]
 
 
