@@ -22,6 +22,7 @@ NAMES = [
     "update_edge",
     "update_edge_by_index",
     "dag_weighted_longest_path",
+    "hits",
 ]
 
 
