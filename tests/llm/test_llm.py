@@ -310,6 +310,18 @@ def test_terms_beyond_the_bytes_of_the_table_are_matched_without_edits():
         assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (0, 1), (-1, 0)]
 
 
+def test_terms_beyond_the_bytes_of_the_table_are_matched_with_their_edits():
+    rng = random.Random(5)
+    terms = list(dict.fromkeys("".join(rng.choices("abc", k=rng.choice([4, 5, 6, 7]))) for _ in range(60))) + ["zzzzz*", "yyy*yy"]
+    whole, trie = toxicity.FuzzyTrie.within(terms), toxicity.FuzzyTrie.within(terms, 4_000)
+    assert not whole.more and len(trie.more) > 30
+    tests = ["".join(rng.choices("abcd", k=rng.choice([3, 4, 5, 6, 7, 8]))) for _ in range(3000)] + terms + ["zzzzzq", "zzzz", "yyy*y", "w" * 30]
+    for word, k, e, k_, e_ in zip(tests, *whole.match(tests), *trie.match(tests), strict=True):
+        assert (k < 0) == (k_ < 0) and (k < 0 or e == e_), word  # of several terms at one edit either may be taken
+        if k_ >= 0 and e_ == 1:
+            assert edits1(word, terms[k_]) == 1 and len(terms[k_]) >= 5
+
+
 def test_scores_without_labels_or_rows(spark):
     none, docs = spark.createDataFrame([], LAB), spark.createDataFrame([(1, "a b"), (2, None)], DOC)
     assert len(rows(toxicity.toxic_scores(docs, none))) == 2

@@ -18,7 +18,7 @@ from weftgraph.llm._util import Scratch, map_batches
 
 #: Least contexts of a term, least length.
 CONTEXTS, LEAST = 6, 3
-#: Bytes of the trie's table, at most; terms of less weight that it has no room for are matched without edits.
+#: Bytes of the trie's table, at most; terms of less weight that it has no room for are matched beside it, by their forms less a character.
 BYTES = 64 << 20
 #: Labelled training rows that the logistic model is fitted on, at most: those of the least hash of their id.
 SAMPLE = 20_000
@@ -48,6 +48,10 @@ def bare(token: str) -> str:
     return token.strip(_edge)
 
 
+def _less_one(word: str) -> list[tuple[int, str]]:
+    return [(i, word[:i] + word[i + 1 :]) for i in range(len(word))]
+
+
 class FuzzyTrie:
     """The product of the lexicon's trie and the Levenshtein automaton of distance 1, as a table.
 
@@ -60,12 +64,13 @@ class FuzzyTrie:
     #: Words that are no misspelled forms although they lie that near to a term.
     barred: frozenset[str] = frozenset()
 
-    #: Terms outside the trie, matched without edits.
+    #: Terms outside the trie, and which of them take edits: by each form less one character, with the place it had.
     more: dict[str, int] = {}
+    shorter: dict[str, list[tuple[int, int]]] = {}
 
     @classmethod
     def within(cls, terms: list[str], most: int = BYTES) -> FuzzyTrie:
-        """All ``terms``: as many of the first as a table of ``most`` bytes holds in the trie, the rest beside it."""
+        """All ``terms``: as many of the first as a table of ``most`` bytes holds in the trie, the rest beside it, with their edits."""
         n = len(terms)
         while True:
             try:
@@ -75,8 +80,20 @@ class FuzzyTrie:
                 n = n * 3 // 4
         trie.terms, trie.more = terms, {t: k for k, t in enumerate(terms) if k >= n}
         trie.whole = {t: k for k, t in enumerate(terms) if not t.endswith("*")}
+        trie.shorter = {}
+        for t, k in trie.more.items():
+            if len(t) >= 5 and not t.endswith("*"):
+                for i, form in _less_one(t):
+                    trie.shorter.setdefault(form, []).append((k, i))
         return trie
 
+    def near(self, word: str) -> int:
+        """The first term outside the trie at one edit from ``word`` (-1: none): one of them less a character is the other, or both less the character at one place are equal."""
+        got = [self.more[form] for _, form in _less_one(word) if len(form) >= 5 and not form.endswith("*") and form in self.more]
+        got += [k for k, _ in self.shorter.get(word, ())]
+        got += [k for i, form in _less_one(word) for k, j in self.shorter.get(form, ()) if i == j]
+        return min(got, default=-1)
+
     def __init__(self, terms: list[str], width: int = 24, most: int | None = None):
         import numpy as np
 
@@ -204,6 +221,8 @@ class FuzzyTrie:
                 k = next((k for t in (w, *(w[:n] + "*" for n in STEMS if len(w) >= n)) if (k := self.more.get(t)) is not None), None)
                 if k is not None:
                     term[i], edits[i] = k, 0
+                elif term[i] < 0 and (k := self.near(w)) >= 0:
+                    term[i], edits[i] = k, 1
         for i in np.flatnonzero((term >= 0) & ((edits > 0) | self.starred[np.minimum(term, len(self.starred) - 1)])):
             if edits[i] == 0:
                 term[i] = self.whole.get(words[i], term[i])
