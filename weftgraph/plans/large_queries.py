@@ -72,9 +72,15 @@ def market_biconnected_components(spark, d):
     return Co.biconnected_components(market(spark, d))
 
 
-@query(MARKET + f" SELECT DISTINCT id, CASE WHEN id >= {REGION} THEN 0 WHEN id >= {NATION} THEN 1 WHEN id >= {CUSTOMER} THEN 0 WHEN id >= {SUPPLIER} THEN 0 ELSE 1 END::BIGINT AS color FROM ends")
+@query(MARKET + """, adj AS (SELECT src AS id, dst AS other FROM e UNION ALL SELECT dst, src FROM e),
+before AS (SELECT adj.id, other FROM adj JOIN deg x ON x.id = adj.id JOIN deg y ON y.id = other WHERE y.n > x.n OR y.n = x.n AND other < adj.id),
+r AS (SELECT 0 AS k, id, NULL::BIGINT AS color FROM deg UNION ALL
+SELECT k + 1, id, CASE WHEN color IS NOT NULL THEN color WHEN told = given THEN list_min([x for x in range(len(seen) + 1) if NOT list_contains(seen, x)]) END
+FROM (SELECT r.k, r.id, r.color, count(b.other) AS told, count(p.color) AS given, coalesce(list(DISTINCT p.color) FILTER (WHERE p.color IS NOT NULL), []) AS seen FROM r LEFT JOIN before b ON b.id = r.id LEFT JOIN r p ON p.id = b.other
+WHERE EXISTS (SELECT 1 FROM r WHERE color IS NULL) GROUP BY r.k, r.id, r.color))
+SELECT id, color FROM r WHERE k = (SELECT max(k) FROM r)""")
 def market_greedy_color(spark, d):
-    """Suppliers have more neighbours than nations, those more than parts, regions and customers."""
+    """By falling degree, then id, each vertex takes the least colour that no neighbour before it has."""
     return Col.greedy_color(market(spark, d))
 
 
