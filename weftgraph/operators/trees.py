@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, Weight
-from weftgraph.operators.paths import all_pairs_dijkstra_path_lengths, all_pairs_dijkstra_shortest_paths
+from weftgraph.operators import kernels as K
+from weftgraph.operators.local import can_broadcast, fan_out
+from weftgraph.operators.paths import _checked, all_pairs_by_joins
 from weftgraph.plans.fixpoint import checkpoint, fixpoint, meet
 
 
@@ -57,16 +59,34 @@ def minimum_spanning_tree(graph: Graph, weight: Weight = None, default: float =
 
 
 def metric_closure(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
-    """src, dst, dist, path of every pair src < dst; a graph that is not connected raises."""
-    dist = all_pairs_dijkstra_path_lengths(graph, weight, default).where("src < dst")
-    paths = all_pairs_dijkstra_shortest_paths(graph, weight, default).where("src < dst")
-    out = checkpoint(dist.join(paths, ["src", "dst"]))
+    """src, dst, dist, path of every pair src < dst; a graph that is not connected raises.
+
+    The result is quadratic: one search per source gives its distances and paths, so that no pairs are joined.
+    """
+    from weftgraph.operators.components import labels
+
+    _checked(graph, weight, default)
+    if labels(graph).select("component").distinct().limit(2).count() > 1:
+        raise ValueError("the graph is not connected")
+    if can_broadcast(graph):
+        out = fan_out(graph, _from_source, "src bigint, dst bigint, dist double, path array<bigint>", weight, default)
+        if not graph.directed:
+            return out
+        out = checkpoint(out)
+    else:
+        dist = all_pairs_by_joins(graph, weight, default).where("src < dst")
+        out = checkpoint(dist.hint("merge").join(all_pairs_by_joins(graph, weight, default, paths=True).where("src < dst"), ["src", "dst"]))
     n = graph.num_nodes()
     if out.count() != n * (n - 1) // 2:
         raise ValueError("the graph is not connected")
     return out
 
 
+def _from_source(g, s):
+    dist, via = K.dijkstra(g, s)
+    return [(s, v, float(d), K.path_to(via, v)) for v, d in dist.items() if v > s]
+
+
 def steiner_tree(graph: Graph, terminals, weight: Weight = None, default: float = 1.0) -> Graph:
     """An approximation within 2(1 - 1/t): vertices join the nearest terminal, bridges between the regions
     make a graph of terminals, its minimum spanning tree is written out as paths, leaves that are no terminals go."""
