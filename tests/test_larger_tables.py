@@ -5,7 +5,9 @@ import random
 import pytest
 
 from tests.test_operators import make
+from weftgraph.operators import paths as P
 from weftgraph.operators import trees as Tr
+from weftgraph.operators.local import Local
 
 
 def test_metric_closure_joins_no_pairs(spark):
@@ -16,3 +18,15 @@ def test_metric_closure_joins_no_pairs(spark):
     assert sorted((r.src, r.dst, r.dist, r.path) for r in got.collect()) == [(0, 1, 1.0, [0, 1]), (0, 2, 2.0, [0, 1, 2]), (0, 3, 2.0, [0, 1, 3]), (1, 2, 1.0, [1, 2]), (1, 3, 1.0, [1, 3]), (2, 3, 2.0, [2, 1, 3])]
     with pytest.raises(ValueError):
         Tr.metric_closure(make(spark, [(0, 1)], 3).with_(directed=False))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_steps_to_a_target_are_those_of_the_walks(directed):
+    rng = random.Random(directed)
+    for _ in range(40):
+        n = rng.randint(1, 25)
+        edges = [(i, rng.randrange(n), rng.randrange(n), 1.0) for i in range(rng.randint(0, 2 * n))]
+        g, pos = Local(range(n), edges, directed), {v: [rng.choice([rng.gauss(0, 3), rng.randint(-2, 2)]) for _ in range(2)] for v in range(n)}
+        steps = P._Steps(g, pos)
+        for t in range(n):
+            assert steps.arriving(t) == sum(P._greedy(g, pos, s, t) is not None for s in range(n) if s != t)
