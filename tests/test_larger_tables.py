@@ -1,10 +1,12 @@
 """Steps that failed, or grew faster than their input, on larger copies of the tables."""
 
 import random
+import time
 
 import pytest
 
 from tests.test_operators import make
+from weftgraph.operators import kernels as K
 from weftgraph.operators import paths as P
 from weftgraph.operators import trees as Tr
 from weftgraph.operators.local import Local
@@ -30,3 +32,17 @@ def test_steps_to_a_target_are_those_of_the_walks(directed):
         steps = P._Steps(g, pos)
         for t in range(n):
             assert steps.arriving(t) == sum(P._greedy(g, pos, s, t) is not None for s in range(n) if s != t)
+
+
+def test_colours_of_edges_at_a_hub_take_time_in_proportion():
+    n = 40_000
+    start = time.time()
+    got = K.bipartite_edges(Local(range(n + 1), [(i, 0, i + 1, 1.0) for i in range(n)], False), None)
+    assert time.time() - start < 10 and sorted(c for _, c in got) == list(range(n))
+    rng = random.Random(2)
+    for _ in range(100):
+        n = rng.randint(1, 12)
+        edges = [(i, rng.randrange(n), n + rng.randrange(n), 1.0) for i in range(rng.randint(0, 5 * n))]
+        got = dict(K.bipartite_edges(Local(range(2 * n), edges, False), None))
+        ends = [(x, got[e]) for e, u, v, _ in edges for x in (u, v)]
+        assert len(ends) == len(set(ends)) and len(set(got.values())) <= max((sum(x in (u, v) for _, u, v, _ in edges) for x in range(2 * n)), default=0)
