@@ -6,6 +6,7 @@ import time
 import pytest
 
 from tests.test_operators import make
+from weftgraph.operators import components as Co
 from weftgraph.operators import kernels as K
 from weftgraph.operators import paths as P
 from weftgraph.operators import trees as Tr
@@ -46,3 +47,12 @@ def test_colours_of_edges_at_a_hub_take_time_in_proportion():
         got = dict(K.bipartite_edges(Local(range(2 * n), edges, False), None))
         ends = [(x, got[e]) for e, u, v, _ in edges for x in (u, v)]
         assert len(ends) == len(set(ends)) and len(set(got.values())) <= max((sum(x in (u, v) for _, u, v, _ in edges) for x in range(2 * n)), default=0)
+
+
+def test_planarity_does_not_hang_on_leaves(spark, monkeypatch):
+    monkeypatch.setattr(Co.local, "PART_ROWS", 0)
+    five = [(i, j) for i in range(5) for j in range(i)]
+    twigs = [(i % 5, 5 + i) for i in range(30)] + [(5 + i, 35 + i) for i in range(30)] + [(0, 1), (2, 2)]
+    assert Co._without_leaves(make(spark, five[1:] + twigs)).V.count() == 5
+    assert Co._without_leaves(make(spark, twigs)).V.isEmpty()
+    assert not Co.is_planar(make(spark, five + twigs)) and Co.is_planar(make(spark, five[2:] + twigs)) and Co.is_planar(make(spark, twigs))
