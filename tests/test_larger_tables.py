@@ -9,6 +9,7 @@ from tests.test_operators import make
 from weftgraph.operators import components as Co
 from weftgraph.operators import kernels as K
 from weftgraph.operators import paths as P
+from weftgraph.operators import traversal as T
 from weftgraph.operators import trees as Tr
 from weftgraph.operators.local import Local
 
@@ -56,3 +57,14 @@ def test_planarity_does_not_hang_on_leaves(spark, monkeypatch):
     assert Co._without_leaves(make(spark, five[1:] + twigs)).V.count() == 5
     assert Co._without_leaves(make(spark, twigs)).V.isEmpty()
     assert not Co.is_planar(make(spark, five + twigs)) and Co.is_planar(make(spark, five[2:] + twigs)) and Co.is_planar(make(spark, twigs))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_searches_take_only_what_they_reach(spark, monkeypatch, directed):
+    rng = random.Random(3)
+    g = make(spark, [(rng.randrange(12), rng.randrange(12)) for _ in range(14)] + [(20, 21), (21, 22), (22, 3)], 25, directed)
+    searches = [lambda s, f=f: [tuple(r) for r in f(g, s).orderBy("pos").collect()] for f in (T.bfs_search, T.dfs_search)]
+    want = [f(s) for f in searches for s in ([1], [4, 21])]
+    monkeypatch.setattr(T, "PART_ROWS", 0)
+    assert [f(s) for f in searches for s in ([1], [4, 21])] == want
+    assert T._reached(g, [20]).V.count() < 25
