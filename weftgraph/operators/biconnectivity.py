@@ -6,6 +6,8 @@ forest edges lie in one block if a chain of these conditions links them:
 
 * an edge outside the forest joins two vertices of which neither is an ancestor of the other: their edges;
 * the subtree of a child reaches beyond its parent's subtree: the child's edge and the parent's.
+
+Components of small diameter have the shorter form of :mod:`weftgraph.operators.shallow`.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.operators import shallow
 from weftgraph.operators.euler import range_extremes, rooted
 from weftgraph.operators.trees import minimum_spanning_edges
 from weftgraph.plans.fixpoint import checkpoint, meet
@@ -37,8 +40,15 @@ def reached(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return checkpoint(forest.join(far.select("id", F.col("lo").alias("low"), F.col("hi").alias("high")), "id", "left")), rest
 
 
+def _shallow(graph: Graph) -> DataFrame | None:
+    return shallow.forest(graph.E.select("eid", "src", "dst"), graph.V.where("id = payload").select("id"), graph.V.count())
+
+
 def bridges(graph: Graph) -> DataFrame:
     """src, dst of forest edges whose lower subtree no other edge leaves."""
+    tree = _shallow(graph)
+    if tree is not None:
+        return shallow.bridges(graph, tree)
     forest, _ = reached(graph)
     cut = forest.where("parent IS NOT NULL AND low >= pre AND high < pre + size").select(F.col("via").alias("eid"))
     return graph.E.join(cut, "eid", "left_semi").select("src", "dst")
@@ -48,6 +58,9 @@ def blocks(graph: Graph) -> tuple[DataFrame, DataFrame]:
     """(id, parent, via, block) of the forest's edges and (eid, block) of the others; block is a vertex id."""
     from weftgraph.operators.components import labels
 
+    tree = _shallow(graph)
+    if tree is not None:
+        return shallow.blocks(graph, tree)
     forest, rest = reached(graph)
     down = forest.where("parent IS NOT NULL")
     above = down.select(F.col("id").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("zp"))  # parents that are no roots

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.operators import shallow
 from weftgraph.operators.euler import climb, lifted, lowest_common_ancestors, rooted
 from weftgraph.operators.trees import minimum_spanning_edges
 from weftgraph.plans.fixpoint import checkpoint, meet
@@ -23,6 +24,9 @@ def fundamental_cycles(graph: Graph, root: int | None = None) -> DataFrame:
     pairs = graph.E.select("eid", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).groupBy("src", "dst").agg(F.min("eid").alias("eid"))
     pairs = checkpoint(pairs.select("eid", "src", "dst"))
     loops = pairs.where("src = dst").select(F.array("src").alias("cycle"))
+    low = shallow.forest(pairs, graph.V.where("id = payload").select("id"), graph.V.count())
+    if low is not None:  # short cycles; those of any spanning forest may be as long as its paths
+        return shallow.cycles(pairs.where("src != dst"), low).union(loops)
     tree = checkpoint(minimum_spanning_edges(graph.with_(E=pairs.withColumn("payload", F.lit(1.0)))).select("eid", "src", "dst"))
     forest = rooted(tree, graph.V.where("id = payload").select("id"))
     rest = pairs.where("src != dst").join(tree.select("eid"), "eid", "left_anti").select("eid", F.col("src").alias("u"), F.col("dst").alias("w"))
