@@ -1,5 +1,6 @@
 """Breadth-first forests with paths, the contraction of large graphs, and generators that shuffle nothing."""
 
+import math
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ from tests.test_operators import make
 from weftgraph.operators import biconnectivity, components as Co, shallow
 from weftgraph.operators import kernels as K
 from weftgraph.operators.local import Local
+from weftgraph.sources import generators as G
 
 
 def random_edges(seed, n, m):
@@ -66,3 +68,29 @@ def test_contraction_names_parts_by_their_least_vertex(spark, monkeypatch):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert {r.id: r.component for r in Co.labels(make(spark, edges, 60)).collect()} == want and max(Counter(want.values()).values()) == 21
+
+
+def test_generators_make_pairs_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(G, "STRIP", 3)
+    for n in (0, 1, 2, 3, 7):
+        for directed in (False, True):
+            g = G.complete_graph(spark, n, directed=directed)
+            want = [(a, b) for a in range(n) for b in range(n) if a != b and (directed or a < b)]
+            assert [tuple(r) for r in g.E.orderBy("eid").select("eid", "src", "dst").collect()] == [(i, *e) for i, e in enumerate(want)]
+    graphs = [G.sbm_random_graph(spark, [4, 3], [[1.0, 0.5], [0.5, 0.0]], True, 1), G.sbm_random_graph(spark, [4, 3], [[0.0, 1.0], [0.0, 0.4]], False, 1, True), G.directed_gnp_random_graph(spark, 20, 0.3, 1)]
+    for g in graphs:
+        plan = g.edge_list()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "NestedLoop" not in plan and "Existing" not in plan
+        ends = sorted(tuple(r) for r in g.edge_list().collect())
+        assert [tuple(r) for r in g.E.orderBy("eid").select("eid", "src", "dst").collect()] == [(i, *e) for i, e in enumerate(ends)] and g.num_edges() == len(ends) == len(set(ends))
+        assert not g.has_parallel_edges() and g.cached().num_edges() == len(ends)
+    want = [(a, b) for a in range(4) for b in range(a, 4)]
+    assert [e for e in sorted(tuple(r) for r in graphs[0].edge_list().collect()) if e[1] < 4] == want
+    assert {tuple(r) for r in graphs[1].edge_list().collect()} >= {(a, b) for a in range(4) for b in range(4, 7)}
+
+
+def test_geometric_graphs_number_no_edges_for_a_list(spark):
+    g = G.random_geometric_graph(spark, 60, 0.3, 3, seed=2)
+    pos = {r.id: r.payload.pos for r in g.V.collect()}
+    want = sorted((a, b) for a in pos for b in pos if a < b and math.dist(pos[a], pos[b]) < 0.3)
+    assert "Existing" not in g.edge_list()._jdf.queryExecution().executedPlan().toString() and sorted(tuple(r) for r in g.edge_list().collect()) == want
