@@ -94,3 +94,13 @@ def test_geometric_graphs_number_no_edges_for_a_list(spark):
     pos = {r.id: r.payload.pos for r in g.V.collect()}
     want = sorted((a, b) for a in pos for b in pos if a < b and math.dist(pos[a], pos[b]) < 0.3)
     assert "Existing" not in g.edge_list()._jdf.queryExecution().executedPlan().toString() and sorted(tuple(r) for r in g.edge_list().collect()) == want
+
+
+@pytest.mark.parametrize("source", [None, 2, 40])
+def test_chains_do_not_hang_on_twigs(spark, monkeypatch, source):
+    edges = random_edges(4, 12, 16) + [(a % 12, 20 + a) for a in range(12)] + [(20 + a, 32 + a) for a in range(12)] + [(1, 50), (1, 50)]
+    g = make(spark, edges, 52)
+    want = sorted(K.chains(local(edges, 52), source))
+    monkeypatch.setattr(Co.local, "PART_ROWS", 0)
+    assert sorted(tuple(r) for r in Co.chain_decomposition(g, source).collect()) == want and want
+    assert Co._without_twigs(g, source).V.count() < 35 and Co._without_twigs(make(spark, edges[-26:-2], 44), None).E.isEmpty()
