@@ -12,6 +12,8 @@ Components of small diameter have the shorter form of :mod:`weftgraph.operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +42,30 @@ def reached(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return checkpoint(forest.join(far.select("id", F.col("lo").alias("low"), F.col("hi").alias("high")), "id", "left")), rest
 
 
-def _shallow(graph: Graph) -> DataFrame | None:
-    return shallow.forest(graph.E.select("eid", "src", "dst"), graph.V.where("id = payload").select("id"), graph.V.count())
+def _shallow(graph: Graph) -> tuple[DataFrame, DataFrame | None, int]:
+    """The ends of all edges, the breadth-first forest where it is shallow, and the number of vertices."""
+    ends, n = shallow.pairs(graph.E), graph.V.count()
+    return ends, shallow.hung(ends, graph.V.where("id = payload").select("id"), n), n
 
 
 def bridges(graph: Graph) -> DataFrame:
     """src, dst of forest edges whose lower subtree no other edge leaves."""
-    tree = _shallow(graph)
+    ends, tree, n = _shallow(graph)
     if tree is not None:
-        return shallow.bridges(graph, tree)
+        return shallow.bridges(graph, ends, tree, n)
     forest, _ = reached(graph)
     cut = forest.where("parent IS NOT NULL AND low >= pre AND high < pre + size").select(F.col("via").alias("eid"))
     return graph.E.join(cut, "eid", "left_semi").select("src", "dst")
 
 
-def blocks(graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """(id, parent, via, block) of the forest's edges and (eid, block) of the others; block is a vertex id."""
+def blocks(graph: Graph) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(id, parent, block) of the forest's edges, and what gives eid, src, dst, block of every edge but loops; block is a vertex id."""
     from weftgraph.operators.components import labels
 
-    tree = _shallow(graph)
+    ends, tree, n = _shallow(graph)
     if tree is not None:
-        return shallow.blocks(graph, tree)
+        low = shallow.blocks(ends, tree, n)
+        return low.select("id", "parent", "block"), lambda: shallow.of_edges(graph.E, low, tree.where("parent IS NULL"))
     forest, rest = reached(graph)
     down = forest.where("parent IS NOT NULL")
     above = down.select(F.col("id").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("zp"))  # parents that are no roots
@@ -69,4 +74,9 @@ def blocks(graph: Graph) -> tuple[DataFrame, DataFrame]:
     links = checkpoint(out.union(across).distinct())
     same = checkpoint(labels(Graph.from_edges(links, down.select("id"))).withColumnRenamed("component", "block"))
     tree = checkpoint(down.select("id", "parent", "via").join(same, "id"))
-    return tree, meet(rest.select("eid", F.col("b").alias("id")), same, "id").select("eid", "block")
+
+    def edges() -> DataFrame:
+        named = tree.select(F.col("via").alias("eid"), "block").union(meet(rest.select("eid", F.col("b").alias("id")), same, "id").select("eid", "block"))
+        return checkpoint(graph.E.select("eid", "src", "dst").join(named, "eid"))
+
+    return tree.select("id", "parent", "block"), edges

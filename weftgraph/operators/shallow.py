@@ -70,35 +70,117 @@ def between(rest: DataFrame, tree: DataFrame) -> DataFrame:
     return rest
 
 
-def reached(graph: Graph, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, parent, via, at, up) of the forest's edges and (eid, src, dst, k, ps, pd) of the others. k is the place of
-    the ends' common ancestor on their paths, ps and pd are those of the ends, ``at`` is that of the vertex. ``up`` is the least k
-    among edges that leave the vertex's subtree; null where none does."""
-    rest = graph.E.where("src != dst").join(tree.select(F.col("via").alias("eid")).where("eid IS NOT NULL"), "eid", "left_anti").select("eid", "src", "dst")
-    rest = between(checkpoint(rest), tree).select("eid", "src", "dst", common("p", "q").alias("k"), F.size("p").alias("ps"), F.size("q").alias("pd"))
-    rest = checkpoint(rest)
-    low = rest.where("ps > k").select(F.col("src").alias("id"), "k").union(rest.where("pd > k").select("dst", "k")).groupBy("id").agg(F.min("k").alias("k"))
-    over = tree.join(low, "id").select(F.explode(F.expr("slice(path, k + 1, size(path) - k)")).alias("id"), "k").groupBy("id").agg(F.min("k").alias("up"))
-    down = tree.where("parent IS NOT NULL").select("id", "parent", "via", F.size("path").alias("at"))
-    return checkpoint(down.join(over, "id", "left").select("id", "parent", "via", "at", "up")), rest
-
-
-def bridges(graph: Graph, tree: DataFrame) -> DataFrame:
-    """src, dst of forest edges whose lower subtree no other edge leaves."""
-    cut = reached(graph, tree)[0].where("up IS NULL").select(F.col("via").alias("eid"))
-    return graph.E.join(cut, "eid", "left_semi").select("src", "dst")
-
-
-def blocks(graph: Graph, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As :func:`weftgraph.operators.biconnectivity.blocks`, by the same two conditions."""
+def pairs(E: DataFrame) -> DataFrame:
+    """a < b, the ends of every edge but loops, as a table."""
+    return written(E.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
+
+
+def flood(ends: DataFrame, roots: DataFrame, left: int, most: int) -> tuple[list[DataFrame], int]:
+    """The breadth-first levels (id, parent) of ``roots`` (id; at most one per component) along ``ends`` (a, b), ``most`` below the
+    roots at most, the last one empty where there are fewer; and how many of ``left`` vertices they lack."""
+    levels = [written(roots.select("id", F.lit(None).cast("bigint").alias("parent")))]
+    here = levels[0].count()
+    left, hubs = left - here, None
+    while left > 0 and here and len(levels) <= most:
+        if here > fix.IDS and hubs is None:
+            hubs = {c: hot_keys(ends, c) for c in "ab"}
+        out = []
+        for near, far in ("ab", "ba"):
+            at = levels[-1].select(F.col("id").alias(near))
+            hit = ends.join(F.broadcast(at), near) if here <= fix.IDS else meet(ends, at, near, hubs[near])
+            out.append(hit.select(F.col(far).alias("id"), F.col(near).alias("parent")))
+        found = out[0].union(out[1]).groupBy("id").agg(F.min("parent").alias("parent"))
+        for level in levels[-2:]:
+            found = found.join(level.select("id"), "id", "left_anti")
+        levels.append(written(found))
+        here = levels[-1].count()
+        left -= here
+    return levels, left
+
+
+def joined(levels: list[DataFrame]) -> DataFrame:
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.union(level)
+    return every
+
+
+def hung(ends: DataFrame, roots: DataFrame, n: int) -> DataFrame | None:
+    """id, parent, path of the ``n`` vertices that ``roots`` reach along ``ends``, as :func:`forest` has them; None if one lies more than DEEP levels down."""
+    levels, left = flood(ends, roots, n, DEEP)
+    if left:
+        return None
+    paths = [written(levels[0].select("id", "parent", F.array("id").alias("path")))]
+    for level in levels[1:]:
+        above, count = paths[-1].select(F.col("id").alias("parent"), F.col("path").alias("above")), paths[-1].count()
+        below = level.join(handy(above, count), "parent") if count <= fix.STATE else meet(level, above, "parent")
+        paths.append(written(below.select("id", "parent", F.array_append("above", F.col("id")).alias("path"))))
+    return joined(paths)
+
+
+def covered(ends: DataFrame, tree: DataFrame, n: int) -> DataFrame:
+    """id, parent, at, up, name of all but the roots. ``at`` is the vertex's place on its path and ``name`` its part in the graph without
+    the edges between parents and children. ``up`` is the place of the highest common ancestor of a part that the
+    vertex's subtree meets and that reaches beyond it; null where none does.
+
+    In a breadth-first forest an edge outside joins no vertex to its ancestor, so its cycle holds the edges above both its
+    ends: edges outside that hang together lie in one block, and close what any links between the same vertices would. So
+    a part counts as one, however many edges it has.
+    """
     from weftgraph.operators.components import labels
 
-    down, rest = reached(graph, tree)
-    out = down.where("up < at - 1").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    links = out.union(rest.where("ps > k AND pd > k").select("src", "dst")).withColumn("eid", F.lit(0).cast("bigint"))
-    same = checkpoint(labels(Graph.from_edges(links, down.select("id"))).withColumnRenamed("component", "block"))
-    lower = rest.select("eid", F.when(F.col("ps") > F.col("k"), F.col("src")).otherwise(F.col("dst")).alias("id"))
-    return checkpoint(down.select("id", "parent", "via").join(same, "id")), meet(lower, same, "id").select("eid", "block")
+    up = tree.where("parent IS NOT NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    rest = written(ends.join(F.broadcast(up) if n <= fix.STATE else up.hint("shuffle_hash"), ["a", "b"], "left_anti"))
+    none = F.lit(None).cast("string").alias("payload")
+    part = labels(Graph(tree.select("id", none), rest.select(F.lit(0).cast("bigint").alias("eid"), F.col("a").alias("src"), F.col("b").alias("dst"), none)))
+    spots = written(tree.join(part.withColumnRenamed("component", "name"), "id"))
+    # what the least and the greatest path begin with, all between begin with
+    tops = spots.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("p"), F.max("path").alias("q")).where("n > 1")
+    tops = written(tops.select("name", common("p", "q").alias("k")))
+    over = meet(spots.select("name", "path"), tops, "name").select(F.explode(F.expr("slice(path, k + 1, size(path) - k)")).alias("id"), "k")
+    over = over.groupBy("id").agg(F.min("k").alias("up"))
+    down = spots.where("parent IS NOT NULL").join(over, "id", "left")
+    return written(down.select("id", "parent", F.size("path").alias("at"), "up", "name"))
+
+
+def bridges(graph: Graph, ends: DataFrame, tree: DataFrame, n: int) -> DataFrame:
+    """src, dst of edges between parent and child that no cycle covers and that have no parallel."""
+    cut = covered(ends, tree, n).where("up IS NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    cut, both = written(cut), graph.E.select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    found = both.join(F.broadcast(cut) if cut.count() <= fix.STATE else cut.hint("shuffle_hash"), ["a", "b"])
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("src").alias("src"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
+
+
+def blocks(ends: DataFrame, tree: DataFrame, n: int) -> DataFrame:
+    """id, parent, at, block of all but the roots: the block of the edge to the parent, and of every edge to a vertex no deeper."""
+    from weftgraph.operators.components import labels
+
+    down = covered(ends, tree, n)
+    links = meet(down.where("up < at - 1").select("parent", F.col("name").alias("src")), down.select(F.col("id").alias("parent"), F.col("name").alias("dst")), "parent")
+    links = written(links.where("src != dst").select("src", "dst").distinct().withColumn("eid", F.lit(0).cast("bigint")))
+    if links.isEmpty():
+        return down.select("id", "parent", "at", F.col("name").alias("block"))
+    same = written(labels(Graph.from_edges(links)).select(F.col("id").alias("name"), F.col("component").alias("block")))
+    named = down.join(F.broadcast(same), "name", "left") if same.count() <= fix.STATE else down.join(same, "name", "left")
+    return written(named.select("id", "parent", "at", F.coalesce("block", "name").alias("block")))
+
+
+def of_edges(E: DataFrame, down: DataFrame, roots: DataFrame) -> DataFrame:
+    """eid, src, dst, block of the edges ``E`` but loops: the child's block between a parent and a child, elsewhere that of both ends.
+    Where most vertices share a block and the others are few, only those are looked up, and no edge is shuffled."""
+    most = down.groupBy("block").count().orderBy(F.desc("count"), "block").head()
+    usual = F.lit(None if most is None else most.block).cast("bigint")
+    other = down.where(F.col("block") != usual).select("id", "parent", "block")
+    few = other.count() <= fix.STATE
+    none = F.lit(None).cast("bigint")
+    every = other if few else down.select("id", "parent", "block").union(roots.select("id", none, none)).hint("shuffle_hash")
+    E = E.where("src != dst").select("eid", "src", "dst")
+    hubs = None if few else {end: hot_keys(E, end) for end in ("src", "dst")}
+    for end, p, b in (("src", "pu", "bu"), ("dst", "pv", "bv")):
+        spots = every.select(F.col("id").alias(end), F.col("parent").alias(p), F.col("block").alias(b))
+        E = E.join(F.broadcast(spots), end, "left") if few else meet(E, spots, end, hubs[end])
+    block = F.when(F.col("pu") == F.col("dst"), F.col("bu")).when(F.col("pv") == F.col("src"), F.col("bv")).when(F.col("bu") == F.col("bv"), F.col("bu")).otherwise(usual)
+    return written(E.select("eid", "src", "dst", block.alias("block")))
 
 
 def cycles(pairs: DataFrame, tree: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from weftgraph.operators import components as Co
 from weftgraph.operators import dag as D
 from weftgraph.operators import products as Pr
 from weftgraph.operators import trees as Tr
+from weftgraph.plans.fixpoint import written
 from weftgraph.plans.queries import TREE, _row, query, read, tree
 
 #: Where the ids of suppliers, customers, nations and regions begin; parts keep their keys.
@@ -29,7 +30,8 @@ def market(spark, d):
     shipped = read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
     E = shipped.select((F.col("src") * 10**10 + F.col("dst")).alias("eid"), "src", "dst")
     E = E.union(hung("supplier", "s_suppkey", SUPPLIER, "s_nationkey", NATION)).union(hung("customer", "c_custkey", CUSTOMER, "c_nationkey", NATION)).union(hung("nation", "n_nationkey", NATION, "n_regionkey", REGION))
-    return Graph.from_edges(E.withColumn("payload", F.lit(1.0))).cached()
+    g = Graph.from_edges(written(E.withColumn("payload", F.lit(1.0))))  # vertices come from the table of edges, not from line items again
+    return g.with_(V=written(g.V))
 
 
 MARKET = f"""WITH RECURSIVE e AS (SELECT src * 10000000000 + dst AS eid, src, dst FROM (SELECT DISTINCT l_partkey AS src, l_suppkey + {SUPPLIER} AS dst FROM lineitem)
@@ -89,8 +91,6 @@ def market_cycle_basis(spark, d):
     """As many cycles as edges outside a spanning tree; each a closed walk along edges without a repeated vertex."""
     g = market(spark, d)
     found = Co.cycle_basis(g).select(F.monotonically_increasing_id().alias("k"), "cycle")
-    from weftgraph.plans.fixpoint import written
-
     found = written(found)
     steps = found.select("k", "cycle", F.posexplode("cycle").alias("i", "a")).select("a", F.expr("cycle[(i + 1) % size(cycle)]").alias("b"))
     known = g.E.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))
