@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.graph import Graph, condition
-from weftgraph.plans.fixpoint import checkpoint, meet, written
+from weftgraph.plans.fixpoint import checkpoint, handy, hot_keys, meet, written
 
 
 def isomorphism(first: Graph, second: Graph, node_key: Column | str | None = None, edge_key: Column | str | None = None) -> DataFrame | None:
@@ -28,11 +28,20 @@ def isomorphism(first: Graph, second: Graph, node_key: Column | str | None = Non
     key = lambda k: F.lit(0).cast("bigint") if k is None else F.xxhash64(condition(k, F.col("payload")))
     sides = [(0, first), (1, second)]
     V = [g.V.select(F.lit(s).alias("g"), "id", key(node_key).alias("c")) for s, g in sides]
-    arcs = [g.arcs().select("*", key(edge_key).alias("k")).groupBy(F.lit(s).alias("g"), "src", "dst", "k").agg(F.count("*").alias("m")) for s, g in sides]
-    arcs = written(arcs[0].union(arcs[1]))
-    if not _balanced(arcs, "k", F.sum("m")):
+    a, b = (F.col("src"), F.col("dst")) if first.directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+    links = [g.E.select(a.alias("src"), b.alias("dst"), key(edge_key).alias("k")).groupBy(F.lit(s).alias("g"), "src", "dst", "k").agg(F.count("*").alias("m")) for s, g in sides]
+    links = written(links[0].union(links[1]))
+    if not _balanced(links, "k", F.sum("m")):
         return None
-    return _search(checkpoint(V[0].union(V[1])), arcs, first.directed)
+    return _search(written(V[0].union(V[1])), links, _Whole(links, first.directed))
+
+
+class _Whole:
+    """All links (g, src, dst, k, m: edges of a key between two vertices, the lesser first if undirected) and their hubs."""
+
+    def __init__(self, links: DataFrame, directed: bool):
+        self.links, self.directed = links, directed
+        self.hubs = {c: hot_keys(links.select(F.struct("g", F.col(c).alias("id")).alias("v")), "v") for c in ("src", "dst")}
 
 
 def _balanced(rows: DataFrame, by: str, total: Column) -> bool:
@@ -41,30 +50,55 @@ def _balanced(rows: DataFrame, by: str, total: Column) -> bool:
     return one.groupBy(by, "t").agg(F.sum(F.when(F.col("g") == 0, 1).otherwise(-1)).alias("d")).where("d != 0").isEmpty()
 
 
-def _refined(colours: DataFrame, arcs: DataFrame, directed: bool) -> DataFrame | None:
-    """g, id, c with stable colours; None once the graphs differ in how often a colour occurs."""
-    n = -1
+def _refined(colours: DataFrame, links: DataFrame, whole: _Whole) -> tuple[DataFrame, DataFrame] | None:
+    """g, id, c with stable colours, and what the next call needs of ``links``; None once the graphs differ in how often a colour occurs.
+
+    The colour of a single vertex a graph stays as it is, so a round needs the links of the other vertices only.
+    """
+    n, least = -1, colours.count()
     while True:
-        if not _balanced(colours, "c", F.count("*")):
+        sizes = written(colours.groupBy("c").agg(F.sum(1 - F.col("g")).alias("n"), F.count("*").alias("both")))
+        if not sizes.where("2 * n != both").isEmpty():
             return None
-        k = colours.select("c").distinct().count()
+        k = sizes.count()
         if k == n:
-            return colours
+            return colours, links
         n = k
-        for near, far in (("dst", "src"), ("src", "dst"))[: 2 if directed else 1]:
-            seen = meet(arcs.select("g", near, far, "k", "m").withColumn("v", F.struct("g", near)), colours.select(F.struct("g", F.col("id").alias(near)).alias("v"), "c"), "v")
-            h = F.xxhash64("c", "k", "m", F.lit(near))
-            # both halves of the hashes are added up: sums do not depend on the order
-            sums = seen.groupBy("g", F.col(far).alias("id")).agg(F.sum(h.bitwiseAND(F.lit(2**31 - 1))).alias("a"), F.sum(F.shiftrightunsigned(h, 33)).alias("b"))
-            colours = checkpoint(colours.join(sums, ["g", "id"], "left").select("g", "id", F.xxhash64("c", "a", "b").alias("c")))
-
-
-def _twins(colours: DataFrame, arcs: DataFrame) -> DataFrame | None:
+        parted = written(meet(colours, sizes.select("c", "n"), "c").select("g", "id", "c", "n"))
+        loose = parted.where("n > 1").select("g", "id", "c")
+        left = loose.count()
+        if not left:
+            return colours, links
+        if 2 * left <= least:
+            links, least = _touching(links, loose, left), left
+        rows = []
+        for near, far in (("dst", "src"), ("src", "dst")):
+            seen = links.select("k", "m", F.struct("g", F.col(near).alias("id")).alias("v"), F.col(far).alias("id"))
+            if k == 1:
+                seen = seen.withColumn("c", F.lit(sizes.head().c))
+            else:
+                seen = meet(seen, colours.select(F.struct("g", "id").alias("v"), "c").hint("shuffle_hash"), "v", whole.hubs[near])
+            h = F.xxhash64("c", "k", "m", F.lit(near if whole.directed else "")).alias("h")
+            rows.append(seen.select(F.col("v.g").alias("g"), "id", h))
+        # both halves of the hashes are added up: sums do not depend on the order
+        sums = rows[0].union(rows[1]).groupBy("g", "id").agg(F.sum(F.col("h").bitwiseAND(F.lit(2**31 - 1))).alias("a"), F.sum(F.shiftrightunsigned("h", 33)).alias("b"))
+        new = loose.join(sums, ["g", "id"], "left").select("g", "id", F.xxhash64("c", "a", "b").alias("c"))
+        colours = written(new.union(parted.where("n = 1").select("g", "id", "c")))
+
+
+def _touching(links: DataFrame, loose: DataFrame, count: int) -> DataFrame:
+    """``links`` of which an end is in ``loose`` (g, id and more columns)."""
+    for c in ("src", "dst"):
+        links = links.join(handy(loose.select("g", F.col("id").alias(c), F.lit(True).alias(f"_{c}")), count), ["g", c], "left")
+    return written(links.where("_src OR _dst").select("g", "src", "dst", "k", "m"))
+
+
+def _twins(colours: DataFrame, links: DataFrame) -> DataFrame | None:
     """Colours with the rank added inside classes of several vertices a graph of which no member has a neighbour, itself
     included, in such a class; None if there is no such class."""
     several = colours.where("g = 0").groupBy("c").count().where("count > 1").select("c")
     loose = checkpoint(colours.join(several, "c", "left_semi").select("g", "id", "c"))
-    pairs = arcs.where("g = 0").select("src", "dst")
+    pairs = links.where("g = 0").select("src", "dst")
     near = loose.where("g = 0")
     both = pairs.join(near.select(F.col("id").alias("src"), F.col("c").alias("x")), "src").join(near.select(F.col("id").alias("dst"), F.col("c").alias("y")), "dst")
     tied = both.select(F.col("x").alias("c")).union(both.select("y")).distinct()
@@ -85,34 +119,40 @@ def _rank(rows: DataFrame) -> DataFrame:
     return placed.join(least, ["g", "c"]).select("g", "id", "c", (F.col("r") - F.col("low")).alias("r"))
 
 
-def _search(colours: DataFrame, arcs: DataFrame, directed: bool) -> DataFrame | None:
+def _search(colours: DataFrame, links: DataFrame, whole: _Whole) -> DataFrame | None:
     while True:
-        colours = _refined(colours, arcs, directed)
-        if colours is None:
+        stable = _refined(colours, links, whole)
+        if stable is None:
             return None
-        ranked = _twins(colours, arcs)
+        colours, links = stable
+        ranked = _twins(colours, links)
         if ranked is None:
             break
         colours = ranked
     classes = colours.where("g = 0").groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     tied = classes.where("n > 1").orderBy("n", "id").head()
     if tied is None:
-        return _verified(colours, arcs)
+        return _verified(colours, whole)
     # one vertex is set apart, and each of the other graph's that it may go to is tried
     options = colours.where((F.col("g") == 1) & (F.col("c") == tied.c)).select("id").orderBy("id")
     for other in options.toLocalIterator():
         chosen = (F.col("g") == 0) & (F.col("id") == tied.id) | (F.col("g") == 1) & (F.col("id") == other.id)
-        found = _search(checkpoint(colours.withColumn("c", F.when(chosen, F.xxhash64("c", F.lit(1))).otherwise(F.col("c")))), arcs, directed)
+        found = _search(checkpoint(colours.withColumn("c", F.when(chosen, F.xxhash64("c", F.lit(1))).otherwise(F.col("c")))), links, whole)
         if found is not None:
             return found
     return None
 
 
-def _verified(colours: DataFrame, arcs: DataFrame) -> DataFrame | None:
+def _verified(colours: DataFrame, whole: _Whole) -> DataFrame | None:
+    """Links are different from each other, and so are their images: as many of them, all found, are the same."""
     a, b = (colours.where(F.col("g") == g).select(F.col("id").alias(n), "c") for g, n in ((0, "id"), (1, "other")))
-    pairs = checkpoint(a.join(b, "c").select("id", "other"))
-    one = arcs.where("g = 0").join(pairs.select(F.col("id").alias("src"), F.col("other").alias("s")), "src").join(pairs.select(F.col("id").alias("dst"), F.col("other").alias("t")), "dst")
-    moved = one.select(F.col("s").alias("src"), F.col("t").alias("dst"), "k", "m")
-    other = arcs.where("g = 1").select("src", "dst", "k", "m")
-    same = moved.exceptAll(other).isEmpty() and other.exceptAll(moved).isEmpty()
-    return pairs if same else None
+    pairs = written(a.join(b, "c").select("id", "other"))
+    one, other = (whole.links.where(F.col("g") == g).select("src", "dst", "k", "m") for g in (0, 1))
+    if one.count() != other.count():
+        return None
+    for c in ("src", "dst"):
+        one = meet(one, pairs.select(F.col("id").alias(c), F.col("other").alias(f"_{c}")).hint("shuffle_hash"), c)
+    if not whole.directed:
+        one = one.withColumns({"_src": F.least("_src", "_dst"), "_dst": F.greatest("_src", "_dst")})
+    moved = one.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "k", "m")
+    return pairs if moved.join(other, ["src", "dst", "k", "m"], "left_anti").isEmpty() else None
