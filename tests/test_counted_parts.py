@@ -33,3 +33,14 @@ def test_labels_of_what_an_edge_is_near(spark, monkeypatch, near):
     edges = [(ids[i], ids[i + 1]) for i in range(12)] + [(ids[20], x) for x in ids[21:27]] + [(ids[28], ids[28])]
     want = {i: i for i in ids} | dict.fromkeys(ids[:13], min(ids[:13])) | dict.fromkeys(ids[20:27], min(ids[20:27]))
     assert {r.id: r.component for r in Co.labels(make(spark, edges, 30)).collect()} == want
+
+
+def test_a_tree_is_not_broadcast_to_itself(spark, monkeypatch):
+    """Blocks of a tree were found by broadcasts of nearly all its vertices, which pass the driver."""
+    monkeypatch.setattr(Co.local, "PART_ROWS", 0)
+    sent = []
+    monkeypatch.setattr(shallow.F, "broadcast", lambda df, mark=shallow.F.broadcast: (sent.append(df.columns), mark(df))[1])
+    edges = [(i, 3 * i + j) for i in range(7) for j in (1, 2, 3)]
+    got = sorted(tuple(r) for r in Co.biconnected_components(make(spark, edges, 22)).collect())
+    assert got == sorted(K.biconnected(local(edges, 22)))
+    assert ["a", "b"] not in sent and not [c for c in sent if "pu" in c or "pv" in c]

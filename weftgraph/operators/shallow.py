@@ -130,7 +130,7 @@ def covered(ends: DataFrame, tree: DataFrame, n: int) -> DataFrame:
     from weftgraph.operators.components import labels
 
     up = tree.where("parent IS NOT NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
-    rest = written(ends.join(F.broadcast(up) if n <= fix.STATE else up.hint("shuffle_hash"), ["a", "b"], "left_anti"))
+    rest = written(ends.join(fix.lent(up, n, ends), ["a", "b"], "left_anti"))
     none = F.lit(None).cast("string").alias("payload")
     part = labels(Graph(tree.select("id", none), rest.select(F.lit(0).cast("bigint").alias("eid"), F.col("a").alias("src"), F.col("b").alias("dst"), none)))
     spots = written(tree.join(part.withColumnRenamed("component", "name"), "id"))
@@ -147,7 +147,7 @@ def bridges(graph: Graph, ends: DataFrame, tree: DataFrame, n: int) -> DataFrame
     """src, dst of edges between parent and child that no cycle covers and that have no parallel."""
     cut = covered(ends, tree, n).where("up IS NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
     cut, both = written(cut), graph.E.select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    found = both.join(F.broadcast(cut) if cut.count() <= fix.STATE else cut.hint("shuffle_hash"), ["a", "b"])
+    found = both.join(fix.lent(cut, cut.count(), ends), ["a", "b"])
     return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("src").alias("src"), F.min("dst").alias("dst")).where("n = 1").select("src", "dst")
 
 
@@ -171,7 +171,7 @@ def of_edges(E: DataFrame, down: DataFrame, roots: DataFrame) -> DataFrame:
     most = down.groupBy("block").count().orderBy(F.desc("count"), "block").head()
     usual = F.lit(None if most is None else most.block).cast("bigint")
     other = down.where(F.col("block") != usual).select("id", "parent", "block")
-    few = other.count() <= fix.STATE
+    few = fix.pays(other.count(), E)
     none = F.lit(None).cast("bigint")
     every = other if few else down.select("id", "parent", "block").union(roots.select("id", none, none)).hint("shuffle_hash")
     E = E.where("src != dst").select("eid", "src", "dst")
