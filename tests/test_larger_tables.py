@@ -68,3 +68,19 @@ def test_searches_take_only_what_they_reach(spark, monkeypatch, directed):
     monkeypatch.setattr(T, "PART_ROWS", 0)
     assert [f(s) for f in searches for s in ([1], [4, 21])] == want
     assert T._reached(g, [20]).V.count() < 25
+
+
+def test_metric_closure_searches_no_leaves(spark, monkeypatch):
+    """Every leaf was the source of a search."""
+    rng = random.Random(5)
+    star = [(i, 0, i) for i in range(1, 9)]
+    twigs = [(0, 1, 2), (1, 2, 2), (2, 0, 5), (2, 2, 1), (5, 2, 1)] + [(i, i % 3, rng.randint(1, 9)) for i in range(3, 14)] + [(i + 11, i, 4) for i in range(3, 14)]
+    searched, fan_out = [], Tr.fan_out
+    monkeypatch.setattr(Tr, "fan_out", lambda graph, *a: searched.append(graph.num_nodes()) or fan_out(graph, *a))
+    monkeypatch.setattr(Tr, "STRIP", 2)
+    for edges in (star, twigs):
+        g = make(spark, rng.sample(edges, len(edges)))
+        want, got = (monkeypatch.setattr(Tr, "SEARCHED", n) or sorted(tuple(r) for r in Tr.metric_closure(g, "payload").collect()) for n in (500, 0))
+        assert got == want
+    assert searched == [9, 1, 25, 3]
+    assert Tr._leaves(make(spark, [(0, 1)]).weighted()).collect() == [(1, 0, 1.0)]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph, Weight
+from weftgraph.graph import Graph, Weight, number
 from weftgraph.operators import kernels as K
-from weftgraph.operators.local import can_broadcast, fan_out
+from weftgraph.operators.local import can_broadcast, fan_out, within
 from weftgraph.operators.paths import _checked, all_pairs_by_joins
+from weftgraph.plans import fixpoint as fix
 from weftgraph.plans.fixpoint import checkpoint, fixpoint, meet
 
 
@@ -58,14 +59,26 @@ def minimum_spanning_tree(graph: Graph, weight: Weight = None, default: float =
     return graph.with_(E=graph.E.join(keep, "eid", "left_semi"))
 
 
+#: Vertices and edges of a graph that is searched from every vertex, leaves or not.
+SEARCHED = 500
+
+
 def metric_closure(graph: Graph, weight: Weight = None, default: float = 1.0) -> DataFrame:
     """src, dst, dist, path of every pair src < dst; a graph that is not connected raises.
 
-    The result is quadratic: one search per source gives its distances and paths, so that no pairs are joined.
+    The result is quadratic: one search per source gives its distances and paths, so that no pairs are joined. Of a large
+    graph whose vertices are leaves by a quarter or more, only the rest is searched; leaves follow from what they hang on.
     """
     from weftgraph.operators.components import labels
 
-    _checked(graph, weight, default)
+    arcs = _checked(graph, weight, default)
+    if not graph.directed and not within(SEARCHED, graph.V, graph.E):
+        leaves, n = _leaves(arcs), graph.num_nodes()
+        if 4 * leaves.count() >= n:
+            gone = leaves.select("id")
+            E = graph.E.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+            core = graph.with_(graph.V.join(gone, "id", "left_anti"), E.select("eid", "src", "dst", "payload")).cached()
+            return _hung(metric_closure(core, weight, default), core.V, leaves, n)
     if labels(graph).select("component").distinct().limit(2).count() > 1:
         raise ValueError("the graph is not connected")
     if can_broadcast(graph):
@@ -82,6 +95,43 @@ def metric_closure(graph: Graph, weight: Weight = None, default: float = 1.0) ->
     return out
 
 
+def _leaves(arcs: DataFrame) -> DataFrame:
+    """id, top, w of the vertices with one neighbour, and the least weight there; of two that have only each other, one."""
+    one = arcs.where("src != dst").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("top"), F.max("dst").alias("most"), F.min("w").alias("w")).where("top = most").select("id", "top", "w")
+    one = checkpoint(one)
+    pairs = one.join(one.select(F.col("id").alias("top"), F.col("top").alias("id")), ["id", "top"], "left_semi").where("id < top")
+    return checkpoint(one.join(pairs.select("id"), "id", "left_anti"))
+
+
+#: Vertices in a strip (a task keeps the pairs of two strips at a time), strips on a side of what goes to one task, and pairs per task.
+STRIP, SIDE, TASK_PAIRS = 64, 16, 16_000_000
+
+
+def _hung(closure: DataFrame, V: DataFrame, leaves: DataFrame, n: int) -> DataFrame:
+    """The closure of all ``n`` vertices from that of ``V``, on which ``leaves`` (id, top, w) hang.
+
+    Vertices are put into strips by what they hang on; pairs of strips are dealt to tasks, and a task writes the pairs of their
+    vertices out, so that nothing but strips is ever joined. A sum of weights may end on another digit than along the path.
+    """
+    every = leaves.union(V.select("id", F.col("id").alias("top"), F.lit(0.0).alias("w")))
+    every = number(every.withColumn("i", F.lit(0)), "i", ["top", "id"])
+    strips = every.groupBy("top", F.expr(f"i div {STRIP}").alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("ids"))
+    strips = checkpoint(number(strips.withColumn("s", F.lit(0)), "s", ["top", "k"]).select("s", "top", "ids"))
+    own = V.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), F.array("id").alias("path"))
+    near = closure.select("src", "dst", "dist", "path").union(own).withColumnsRenamed({"src": "a", "dst": "b"}).hint("merge")
+    x, y = (strips.select(F.col("s").alias(k), F.col("top").alias(t), F.col("ids").alias(k + k)) for k, t in ("xa", "yb"))
+    near = near.join(x.select("x", "a"), "a").join(y.select("y", "b"), "b").where("a != b OR x <= y")
+    tasks = max(V.sparkSession.sparkContext.defaultParallelism, n * n // 2 // TASK_PAIRS)
+    x, y = (F.broadcast(s) if n <= fix.IDS else s for s in (x.drop("a"), y.drop("b")))
+    both = near.repartition(tasks, F.expr(f"x div {SIDE}"), F.expr(f"y div {SIDE}")).join(x, "x").join(y, "y")
+    u = both.select("a", "b", "dist", "path", "x", "y", "yy", F.inline("xx").alias("u", "uw"))
+    v = u.select("a", "b", "dist", "path", "x", "y", "u", "uw", F.inline("yy").alias("v", "vw")).where("x != y OR u < v")
+    lone = lambda c, top: F.when(F.col(c) == F.col(top), F.array().cast("array<bigint>")).otherwise(F.array(c))
+    path = F.concat(lone("u", "a"), "path", lone("v", "b"))
+    path = F.when(F.col("u") < F.col("v"), path).otherwise(F.reverse(path))
+    return v.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), (F.col("uw") + F.col("dist") + F.col("vw")).alias("dist"), path.alias("path"))
+
+
 def _from_source(g, s):
     dist, via = K.dijkstra(g, s)
     return [(s, v, float(d), K.path_to(via, v)) for v, d in dist.items() if v > s]
