@@ -84,3 +84,20 @@ def test_metric_closure_searches_no_leaves(spark, monkeypatch):
         assert got == want
     assert searched == [9, 1, 25, 3]
     assert Tr._leaves(make(spark, [(0, 1)]).weighted()).collect() == [(1, 0, 1.0)]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_depth_first_edges_of_a_large_graph_take_no_twigs(spark, monkeypatch, directed):
+    """All vertices and edges went to one task, which refuses more than TASK_ROWS."""
+    rng = random.Random(11 + directed)
+    core = [(i, (i + 1) % 6) for i in range(6)] + [(0, 3), (3, 1), (0, 3), (2, 2)]
+    twigs = [(i % 6, i) for i in range(6, 18)] + [(i - 12, i) for i in range(18, 24)] + [(18, 24), (7, 19)]
+    edges = core + twigs + ([(20, 8)] if directed else [])
+    g = make(spark, rng.sample(edges, len(edges)), 26, directed)
+    shown = lambda s: [tuple(r) for r in T.dfs_edges(g, s).orderBy("pos").collect()]
+    want = [shown(s) for s in (0, 4, None)]
+    taken, as_whole = [], T.as_whole
+    monkeypatch.setattr(T, "as_whole", lambda part, *a: taken.append(part.V.count()) or as_whole(part, *a))
+    monkeypatch.setattr(T, "PART_ROWS", 0)
+    assert [shown(s) for s in (0, 4, None)] == want
+    assert max(taken[:2]) <= 9 and taken[2] <= 11, taken
