@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_operators import make
 from weftgraph.operators import components as Co
@@ -12,6 +13,7 @@ from weftgraph.operators import paths as P
 from weftgraph.operators import traversal as T
 from weftgraph.operators import trees as Tr
 from weftgraph.operators.local import Local
+from weftgraph.sources import generators as G
 
 
 def test_metric_closure_joins_no_pairs(spark):
@@ -101,3 +103,19 @@ def test_depth_first_edges_of_a_large_graph_take_no_twigs(spark, monkeypatch, di
     monkeypatch.setattr(T, "PART_ROWS", 0)
     assert [shown(s) for s in (0, 4, None)] == want
     assert max(taken[:2]) <= 9 and taken[2] <= 11, taken
+
+
+def test_parallel_edges_of_a_dense_drawn_graph_are_seen_from_bits(spark, monkeypatch):
+    """Every edge was written out and sent to a grouping by its ends."""
+    general = G.Graph.has_parallel_edges
+    monkeypatch.delattr(G.Graph, "has_parallel_edges")
+    monkeypatch.setattr(G, "STRIP", 8)
+    for directed in (True, False):
+        g = G.gnp_random_graph(spark, 50, 0.3, 1, directed)
+        ends, n = g.edge_list(), g.num_edges()
+        assert not g.has_parallel_edges() and g.num_edges() == n == ends.distinct().count()
+        for more in (ends.limit(1), ends.orderBy("src").limit(1).select(F.col("dst").alias("src"), F.col("src").alias("dst"))):
+            both = ends.union(more).localCheckpoint()
+            h = G._Unnumbered(g.V, both, directed, 50)
+            assert h.has_parallel_edges() == general(g.with_(E=both)) and h.num_edges() == n + 1
+    assert not G.gnp_random_graph(spark, 1, 0.3, 1).has_parallel_edges()

@@ -114,11 +114,19 @@ def _numbered(E: DataFrame, order: list[str]) -> DataFrame:
     return number(E.withColumn("eid", F.lit(0)), "eid", order)
 
 
+#: Neighbouring numbers of pairs whose bits a row holds where parallel edges are looked for in a dense graph.
+BITS = 256
+
+
 class _Unnumbered(Graph):
-    """A graph whose edges (src, dst) get their ids, in that order, when ids are first asked for: lists and counts of edges need none."""
+    """A graph whose edges (src, dst) get their ids, in that order, when ids are first asked for: lists and counts of edges need none.
+
+    ``dense`` says that the vertices are 0 to dense - 1 and a fair share of all pairs has an edge: whether two have the same ends is
+    then seen from a row of bits for each BITS neighbouring pairs and the number of edges there, and no edge has to be sent.
+    """
 
-    def __init__(self, V: DataFrame, ends: DataFrame, directed: bool):
-        self._ends, self._edges = ends, None
+    def __init__(self, V: DataFrame, ends: DataFrame, directed: bool, dense: int | None = None):
+        self._ends, self._edges, self._dense, self._told = ends, None, dense, None
         super().__init__(V, None, directed, True)
 
     @property
@@ -135,17 +143,27 @@ class _Unnumbered(Graph):
         return self._ends
 
     def num_edges(self) -> int:
-        return self._ends.count()
+        return self._ends.count() if self._told is None else self._told[0]
 
     def has_parallel_edges(self) -> bool:
-        return self.with_(E=self._ends).has_parallel_edges()
+        if self._dense is None:
+            return self.with_(E=self._ends).has_parallel_edges()
+        if self._told is None:
+            a, b = ("src", "dst") if self.directed else ("least(src, dst)", "greatest(src, dst)")
+            pairs = self._ends.select(F.expr(f"{a} * {self._dense} + {b}").alias("k"))
+            words = [F.expr(f"bit_or(IF(k div 64 % {BITS // 64} = {i}, shiftleft(1L, int(k % 64)), 0L))") for i in range(BITS // 64)]
+            rows = pairs.groupBy(F.expr(f"k div {BITS}")).agg(F.count("*").alias("n"), F.array(*words).alias("bits"))
+            rows = rows.select("n", F.expr("aggregate(bits, 0, (s, x) -> s + bit_count(x))").alias("apart"))
+            n, most = rows.agg(F.sum("n"), F.max(F.col("n") - F.col("apart"))).head()
+            self._told = (n or 0, bool(most))
+        return self._told[1]
 
     def cached(self) -> Graph:
-        return _Unnumbered(written(self.V), written(self._ends), self.directed)
+        return _Unnumbered(written(self.V), written(self._ends), self.directed, self._dense)
 
 
-def _drawn(spark, n: int, ends: DataFrame, directed: bool) -> Graph:
-    return _Unnumbered(spark.range(n).select("id", F.lit(None).cast("string").alias("payload")), ends, directed)
+def _drawn(spark, n: int, ends: DataFrame, directed: bool, dense: bool = False) -> Graph:
+    return _Unnumbered(spark.range(n).select("id", F.lit(None).cast("string").alias("payload")), ends, directed, n if dense else None)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -351,7 +369,7 @@ def karate_club_graph(spark, multigraph: bool = True) -> Graph:
 
 def _unit(seed: int | None, *keys: Column) -> Column:
     """A uniform number in [0, 1) that depends on the seed and the keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed or 0), *keys), F.lit(2**53)) / float(2**53)
+    return F.xxhash64(F.lit(seed or 0), *keys).bitwiseAND(F.lit(2**53 - 1)) / float(2**53)
 
 
 def _share(p: float) -> None:
@@ -359,12 +377,20 @@ def _share(p: float) -> None:
         raise ValueError("a probability lies between 0 and 1")
 
 
+#: The chance of a pair from which on all pairs are looked at.
+DENSE = 1 / 64
+
+
 def gnp_random_graph(spark, num_nodes: int, probability: float, seed: int | None = None, directed: bool = False) -> Graph:
-    """Each pair by itself. Pair numbers are drawn by geometric gaps inside blocks, so the work follows the edges and not the pairs."""
+    """Each pair by itself. From DENSE on every pair is looked at, which takes less than a gap; below it pair numbers are drawn by
+    geometric gaps inside blocks, so the work follows the edges and not the pairs."""
     _share(probability)
     n = num_nodes
     if probability in (0.0, 1.0):
         return complete_graph(spark, n, directed=directed) if probability else empty_graph(spark, n, directed=directed)
+    if probability >= DENSE:
+        box = _strips(spark, (0, n), (0, n), None if directed else 1).where("src != dst")
+        return _drawn(spark, n, box.where(_unit(seed, F.col("src"), F.col("dst")) < probability), directed, dense=True)
     total = n * (n - 1) if directed else n * (n - 1) // 2
     block = max(1, int(64 / probability))
     gaps = 64 + 12 * 8  # mean 64 with 12 deviations of room; the last gaps run past the block
