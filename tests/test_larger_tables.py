@@ -1,5 +1,6 @@
 """Steps that failed, or grew faster than their input, on larger copies of the tables."""
 
+import math
 import random
 import time
 
@@ -119,3 +120,15 @@ def test_parallel_edges_of_a_dense_drawn_graph_are_seen_from_bits(spark, monkeyp
             h = G._Unnumbered(g.V, both, directed, 50)
             assert h.has_parallel_edges() == general(g.with_(E=both)) and h.num_edges() == n + 1
     assert not G.gnp_random_graph(spark, 1, 0.3, 1).has_parallel_edges()
+
+
+def test_steps_far_out_are_right_and_few():
+    """The product of norms lost the digits that tell near points apart, and vertices of almost equal distance were compared one by one."""
+    n = 3000
+    line, pos = Local(range(n), [(i, i, i + 1, 1.0) for i in range(n - 1)], False), {i: [600 + 0.0016 * i, 0.0] for i in range(n)}
+    steps = P._Steps(line, pos)
+    start = time.time()
+    assert {steps.arriving(t) for t in range(0, n, 50)} == {n - 1} and time.time() - start < 10
+    assert P._greedy(line, pos, 10, 400) == list(range(10, 401))
+    assert math.isclose(P._apart([600.0, 0.0], [600.0016, 0.0]), 0.0016**2 / (2 * (1 + 600**2)), rel_tol=1e-5)
+    assert math.isclose(P._apart([3.0, -1.0], [-2.0, 0.5]), math.sqrt(11 * 5.25) + 6.5 - 1)

@@ -411,9 +411,30 @@ def longest_simple_path(graph: Graph) -> list[int] | None:
 # --- hyperbolic routing ------------------------------------------------------------------------
 
 
+def _heights(a, b, a0=None):
+    """cosh(distance) - 1 of points on the hyperboloid, for numbers or arrays of them (one per coordinate) alike:
+    (|a - b|^2 + |a ^ b|^2) / (1 + a0 b0 + ab), which keeps its digits where points lie near each other and far out."""
+    import numpy as np
+
+    def dot(p, q):
+        out = 0.0
+        for x, y in zip(p, q, strict=True):
+            out = out + x * y
+        return out
+
+    d = [x - y for x, y in zip(a, b, strict=True)]
+    near, ab = dot(d, d), dot(a, b)
+    for i in range(len(b)):
+        for j in range(i):
+            w = d[i] * b[j] - d[j] * b[i]
+            near = near + w * w
+    both = (np.sqrt(1 + dot(a, a)) if a0 is None else a0) * np.sqrt(1 + dot(b, b))
+    out, opposite = near / (1 + both + ab), ab < -0.5 * both
+    return np.where(opposite, both - ab - 1, out) if np.any(opposite) else out
+
+
 def _apart(a, b):
-    z = math.sqrt(1 + sum(x * x for x in a)) * math.sqrt(1 + sum(x * x for x in b)) - sum(x * y for x, y in zip(a, b, strict=True))
-    return math.acosh(max(1.0, z))
+    return float(_heights(a, b))
 
 
 def _greedy(g, pos, s, t):
@@ -435,39 +456,63 @@ def _greedy(g, pos, s, t):
 class _Steps:
     """The step of :func:`_greedy` from every vertex to a target at once."""
 
-    #: Heights on the hyperboloid nearer to each other than this, relative to the product of norms, are compared as :func:`_greedy` does.
-    NEAR = 1e-9
+    #: Points whose distances are found at a time, so that they stay in the processor's cache.
+    BLOCK = 8192
 
     def __init__(self, g, pos):
+        self._set(g.ids, [e[1] for e in g.edges], [e[2] for e in g.edges], g.directed, pos)
+
+    @classmethod
+    def of(cls, ids, src, dst, directed, pos):
+        out = cls.__new__(cls)
+        out._set(ids, src, dst, directed, pos)
+        return out
+
+    def _set(self, ids, src, dst, directed, pos):
+        import numpy as np
+
+        self.ids = np.sort(np.array(ids, np.int64))
+        points = np.array([pos[v] for v in self.ids.tolist()], float).reshape(len(self.ids), -1)
+        self.points, self.zero = [x for x in np.ascontiguousarray(points.T) if x.any()], np.sqrt(1 + sum((x * x for x in points.T), np.zeros(len(self.ids))))
+        a, b = (np.searchsorted(self.ids, np.array(x, np.int64)) for x in (src, dst))
+        if not directed:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        arcs = np.unique(a * max(1, len(self.ids)) + b)  # by tail, then head
+        a, self.heads = np.divmod(arcs, max(1, len(self.ids)))
+        self.tails, self.starts, self.sizes = np.unique(a, return_index=True, return_counts=True)
+        self.guess = self.heads[self.starts]  # of each tail, a neighbour that was nearer to the last target
+
+    def _least(self, z, rows):
+        """Of ``rows`` of the tails the neighbour of least ``z``, the first of equals."""
         import numpy as np
 
-        self.ids, at = g.ids, {v: i for i, v in enumerate(g.ids)}
-        self.pos = [pos[v] for v in g.ids]
-        near = [[at[x] for x in g.neighbors(v)] for v in g.ids]
-        self.tails = np.flatnonzero([bool(x) for x in near])
-        sizes = np.array([len(near[v]) for v in self.tails], np.int64)
-        self.starts = np.cumsum(sizes) - sizes
-        self.heads = np.array([x for v in self.tails for x in near[v]], np.int64)
-        self.row = np.repeat(np.arange(len(self.tails)), sizes)
-        self.points = np.array(self.pos, float).reshape(len(g.ids), -1)
-        self.norms = np.sqrt(1 + (self.points**2).sum(axis=1))
-        self.at = at
+        sizes = self.sizes[rows]
+        first = np.cumsum(sizes) - sizes
+        heads = self.heads[np.repeat(self.starts[rows] - first, sizes) + np.arange(sizes.sum())]
+        near = z[heads]
+        hit = np.flatnonzero(near == np.repeat(np.minimum.reduceat(near, first), sizes))
+        at = np.searchsorted(first, hit, "right")
+        return heads[hit[np.flatnonzero(np.diff(at, prepend=0))]]
 
     def arriving(self, target):
-        """How many other vertices' walks end at the target."""
+        """How many other vertices' walks end at the target: all, where each vertex has a neighbour that is nearer to it."""
         import numpy as np
 
-        t, n = self.at[target], len(self.ids)
+        t, n = int(np.searchsorted(self.ids, target)), len(self.ids)
+        to, z = [float(x[t]) for x in self.points], np.empty(n)
+        for i in range(0, n, self.BLOCK):
+            z[i : i + self.BLOCK] = _heights([x[i : i + self.BLOCK] for x in self.points], to, self.zero[i : i + self.BLOCK])
+        own = z if len(self.tails) == n else z[self.tails]
+        stuck = np.flatnonzero(~(z[self.guess] < own))
+        stuck = stuck[self.tails[stuck] != t]
+        if len(stuck):
+            self.guess[stuck] = self._least(z, stuck)
+            stuck = stuck[~(z[self.guess[stuck]] < own[stuck])]
+        if not len(stuck) and len(self.tails) + (t not in self.tails if len(self.tails) < n else 0) == n:
+            return n - 1
         step = np.full(n + 1, n)  # the last stands for no way on
         if len(self.tails):
-            z = np.maximum(1.0, self.norms * self.norms[t] - self.points @ self.points[t])[self.heads]
-            least = np.minimum.reduceat(z, self.starts)
-            wide = (self.NEAR * self.norms[t] * self.norms)[self.heads]
-            close = np.flatnonzero(z <= least[self.row] + wide + self.NEAR * z)
-            rows, first, count = np.unique(self.row[close], return_index=True, return_counts=True)
-            step[self.tails[rows]] = self.heads[close[first]]
-            for r, i, k in zip(rows[count > 1], first[count > 1], count[count > 1], strict=True):
-                step[self.tails[r]] = min((int(x) for x in self.heads[close[i : i + k]]), key=lambda x: (_apart(self.pos[x], self.pos[t]), self.ids[x]))
+            step[self.tails] = self._least(z, np.arange(len(self.tails)))
         step[t] = t
         for _ in range(n.bit_length()):
             step = step[step]
@@ -487,14 +532,20 @@ def hyperbolic_greedy_success_rate(graph: Graph, pos: dict[int, list[float]]) ->
         return math.nan
     """Share of the ordered pairs between which the greedy walk arrives. All walks to one target take the same step from
     a vertex, so a target costs one step per vertex and not one walk."""
-    n = len(pos)
+    n, spark = len(pos), graph.spark
+    if not can_broadcast(graph):
+        raise ValueError(f"more than {local.BROADCAST_EDGES} vertices or edges: the steps to a target are found in one task")
+    ids, ends = graph.V.select("id").toPandas()["id"].to_numpy(), graph.E.select("src", "dst").toPandas()
+    shared = spark.sparkContext.broadcast(_Steps.of(ids, ends["src"].to_numpy(), ends["dst"].to_numpy(), graph.directed, pos))
+
+    def run(batches):
+        import pandas as pd
 
-    def kernel(g, t):
-        if not hasattr(g, "steps"):
-            g.steps = _Steps(g, pos)
-        return [(g.steps.arriving(t),)]
+        for pdf in batches:
+            yield pd.DataFrame({"ok": [sum(shared.value.arriving(int(t)) for t in pdf["id"])]})
 
-    got = fan_out(graph, kernel, "ok bigint").agg(F.sum("ok")).head()[0]
+    tasks = max(1, min(len(ids), max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    got = graph.V.select("id").repartitionByRange(tasks, "id").mapInPandas(run, "ok bigint").agg(F.sum("ok")).head()[0]
     return got / (n * (n - 1)) if n > 1 else math.nan
 
 

@@ -288,12 +288,8 @@ def longest_simple_path(spark, d):
 
 def _along(spark, d):
     """Points on a line, one per embedding: the farther on, the greater the sum of the lengths so far."""
-    rows = read(spark, d, "embeddings").select("vec_id", F.expr("0.001D + 0.01D * abs(embedding[0])").alias("step")).orderBy("vec_id").collect()
-    out, at = {}, 0.0
-    for r in rows:
-        at += r.step
-        out[r.vec_id] = [at, 0.0]
-    return out
+    rows = read(spark, d, "embeddings").select("vec_id", F.expr("0.001D + 0.01D * abs(embedding[0])").alias("step")).orderBy("vec_id").toPandas()
+    return {i: [at, 0.0] for i, at in zip(rows["vec_id"].tolist(), rows["step"].cumsum().tolist(), strict=True)}
 
 
 @query("SELECT string_agg(vec_id::VARCHAR, '-' ORDER BY vec_id) AS path, count(*) AS steps FROM embeddings")
