@@ -132,3 +132,12 @@ def test_steps_far_out_are_right_and_few():
     assert P._greedy(line, pos, 10, 400) == list(range(10, 401))
     assert math.isclose(P._apart([600.0, 0.0], [600.0016, 0.0]), 0.0016**2 / (2 * (1 + 600**2)), rel_tol=1e-5)
     assert math.isclose(P._apart([3.0, -1.0], [-2.0, 0.5]), math.sqrt(11 * 5.25) + 6.5 - 1)
+
+
+def test_ordered_pairs_hold_no_strips(spark, monkeypatch):
+    """A task held a strip of copied rows before it passed them on."""
+    monkeypatch.setattr(G, "STRIP", 8)
+    for n in (0, 1, 7, 8, 21):
+        pairs = G.directed_mesh_graph(spark, n).edge_list()
+        assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in pairs.collect()) == [(i, j) for i in range(n) for j in range(n) if i != j]
